@@ -100,3 +100,121 @@ def with_fx(body: str, *extra_ctes: str) -> str:
     """Compose an oracle query: the fixture CTEs, any extra CTEs, then the body."""
     ctes = [FX_OUTCOMES_CTES.strip()] + [c.strip() for c in extra_ctes if c.strip()]
     return round6_sql("WITH " + ",\n".join(ctes) + "\n" + body.strip())
+
+
+# ---------------------------------------------------------------------------
+# Text fixtures (FIXTURES.md 3.2-3.6)
+# ---------------------------------------------------------------------------
+
+TEST_SEP = " ;; "  # separator used to show a list of tests as one comparable string
+
+
+def _fx_tests(doc_id, n_chars, lang, source):
+    return [
+        F.concat(F.lit("assert f("), doc_id.cast("string"), F.lit(") == "), n_chars.cast("string")),
+        F.concat(F.lit('assert g("'), lang, F.lit('", "a\\nb") == "'), source, F.lit('"')),
+        F.concat(F.lit("assert h("), n_chars.cast("string"), F.lit(") is True")),
+    ]
+
+
+def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, response, text, lang, source, n_chars): model-like responses built from documents."""
+    d = read_table(spark, sf_dir, "documents")
+    tests = F.array(*_fx_tests(F.col("doc_id"), F.col("n_chars"), F.col("lang"), F.col("source")))
+    base = F.to_json(F.struct(F.substring("text", 1, 200).alias("question"), tests.alias("tests")))
+    k = F.col("doc_id") % 6
+    response = (
+        F.when(k == 0, base)
+        .when(k == 1, F.concat(F.lit("Here you go:\n```json\n"), base, F.lit("\n```\nHope it helps.")))
+        .when(k == 2, F.concat(F.lit("```python\n"), base, F.lit("\n```")))
+        .when(k == 3, F.concat(F.lit("```json\n"), F.expr("substring(base_json, 1, length(base_json) - 6)")))
+        .when(k == 4, F.lit("ERROR: Timeout after 3 attempts"))
+    )
+    return d.withColumn("base_json", base).select(
+        "doc_id", response.alias("response"), "text", "lang", "source", "n_chars"
+    )
+
+
+def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(problem_id, solution_id, turn, text, raw_text): assistant turns wrapped four ways."""
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    v = (F.col("conv_id") + F.col("turn")) % 4
+    t = F.col("turn").cast("string")
+    raw = (
+        F.when(v == 0, F.col("text"))
+        .when(v == 1, F.concat(F.lit("Let me think about turn "), t, F.lit(".</think>"), F.col("text")))
+        .when(v == 2, F.concat(F.lit("Here:\n```python\n"), F.col("text"), F.lit("\n```\nDone.")))
+        .otherwise(
+            F.concat(
+                F.lit("```python\nx = "), t, F.lit("\nprint(x)\n```\nand then\n```python\n"), F.col("text"),
+                F.lit("\n    printer = 1\n```"),
+            )
+        )
+    )
+    return c.select(
+        F.col("conv_id").alias("problem_id"),
+        (F.row_number().over(w) - 1).cast("long").alias("solution_id"),
+        "turn",
+        "text",
+        raw.alias("raw_text"),
+    )
+
+
+def fx_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, source, key, question, starter_code, solution) from benchmark and documents."""
+    b = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("id"), F.col("item_id").alias("key"), "text"
+    )
+    d = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs_"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("key"), "text"
+    )
+    u = b.unionByName(d)
+    m = F.col("key") % 3
+    k = F.col("key").cast("string")
+    return u.select(
+        "id",
+        F.split_part(F.col("id"), F.lit("_"), F.lit(1)).alias("source"),
+        "key",
+        F.substring("text", 1, 120).alias("question"),
+        F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("")).otherwise(F.lit("def f(x):")).alias(
+            "starter_code"
+        ),
+        F.when(m == 0, F.lit(None).cast("string"))
+        .when(m == 1, F.concat(F.lit("return "), k))
+        .otherwise(F.concat(F.lit("```python\nreturn "), k, F.lit("\n```")))
+        .alias("solution"),
+    )
+
+
+FX_TEXT_CTES = r"""
+fx_docs AS (SELECT * FROM documents),
+fx_tests AS (
+  SELECT doc_id,
+         'assert f(' || CAST(doc_id AS VARCHAR) || ') == ' || CAST(n_chars AS VARCHAR) AS t1,
+         'assert g("' || lang || '", "a\nb") == "' || source || '"' AS t2,
+         'assert h(' || CAST(n_chars AS VARCHAR) || ') is True' AS t3
+  FROM documents),
+fx_turns AS (
+  SELECT conv_id AS problem_id,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS solution_id,
+         turn, text, (conv_id + turn) % 4 AS v
+  FROM conversations WHERE role = 'assistant'),
+fx_problems AS (
+  SELECT id, split_part(id, '_', 1) AS source, key, left(text, 120) AS question,
+         CASE key % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'def f(x):' END AS starter_code,
+         CASE key % 3 WHEN 0 THEN NULL WHEN 1 THEN 'return ' || CAST(key AS VARCHAR)
+              ELSE 'return ' || CAST(key AS VARCHAR) END AS unwrapped,
+         CASE key % 3 WHEN 0 THEN NULL WHEN 1 THEN 'return ' || CAST(key AS VARCHAR)
+              ELSE '```python' || chr(10) || 'return ' || CAST(key AS VARCHAR) || chr(10) || '```' END AS solution
+  FROM (SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, item_id AS key, text FROM benchmark
+        UNION ALL SELECT 'docs_' || CAST(doc_id AS VARCHAR) AS id, doc_id AS key, text FROM documents))
+"""
+
+
+def with_text(body: str, *extra_ctes: str) -> str:
+    """Oracle query over the text fixtures."""
+    ctes = [FX_TEXT_CTES.strip()] + [c.strip() for c in extra_ctes if c.strip()]
+    return round6_sql("WITH " + ",\n".join(ctes) + "\n" + body.strip())
