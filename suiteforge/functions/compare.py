@@ -10,7 +10,7 @@ token-set rung never compares anything, so it is not a rung here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import py_strip, split_lines
@@ -106,3 +106,34 @@ def partial_score(passes: Column | str, cap: int = 10) -> Column:
     head = F.slice(p, 1, cap)
     frac = F.aggregate(head, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.greatest(F.size(head), F.lit(1))
     return F.when(F.forall(p, lambda x: x), F.lit(1.0)).otherwise(frac)
+
+
+def compare_outputs(df: DataFrame, actual: str, expected: str, out: str = "rung") -> DataFrame:
+    """H21 on a DataFrame, staged: the line arrays are computed once per row in
+    their own projection and every rung reads them (same rules as
+    :func:`compare_rung`)."""
+    d = df.withColumn("_out", split_lines(actual)).withColumn(
+        "_el", F.transform(F.filter(F.split(F.col(expected), "\n", -1), lambda x: F.length(x) > 0), py_strip)
+    )
+    d = d.withColumn("_nb", F.filter("_out", lambda x: F.length(x) > 0)).withColumn("_es", py_strip(expected))
+    pairs = F.arrays_zip(F.col("_nb").alias("o"), F.col("_el").alias("g"))
+    d = d.withColumn("_pairs", F.when(F.size("_nb") == F.size("_el"), pairs))
+    num = F.transform("_pairs", lambda p: F.struct(
+        (int_like(p["o"]) & int_like(p["g"])).alias("ints"),
+        p["o"].try_cast("double").alias("a"),
+        p["g"].try_cast("double").alias("b"),
+    ))
+    d = d.withColumn("_num", num)
+    all_ints = F.forall("_num", lambda x: x["ints"])
+    all_num = F.forall("_num", lambda x: x["a"].isNotNull() & x["b"].isNotNull())
+    close = F.forall("_num", lambda x: F.abs(x["a"] - x["b"]) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(x["b"]))
+    rung = (
+        F.when(py_strip(F.array_join("_out", "\n")) == F.col("_es"), F.lit("exact"))
+        .when(py_strip(F.array_join(F.transform("_out", py_strip), "\n")) == F.col("_es"), F.lit("line_strip"))
+        .when(F.col("_out") == F.array(F.col(expected)), F.lit("exact"))
+        .when(F.col("_out") == F.col("_el"), F.lit("line_strip"))
+        .when(F.col("_nb") == F.col("_el"), F.lit("blank_drop"))
+        .when(F.col("_num").isNotNull() & ~all_ints & all_num & close, F.lit("numeric"))
+        .otherwise(F.lit("none"))
+    )
+    return d.withColumn(out, rung).drop("_out", "_el", "_nb", "_es", "_pairs", "_num")

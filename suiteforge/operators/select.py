@@ -102,19 +102,26 @@ def diverse_triple(outcomes: DataFrame, rates: DataFrame | None = None) -> DataF
 def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     """Top two + the most diverse mid-band triple; under 3 candidates, up to 3
     seeded draws from the rest with rate > 0.1.  Returns one row per pick with
-    ``slot`` (0.. in solution order) and ``status`` ('ok' or 'insufficient')."""
-    rates = solution_pass_rate(outcomes)
-    top = top_two(rates)
-    cand = diverse_candidates(rates, top)
-    n_cand = cand.groupBy(P).agg(F.count(F.lit(1)).alias("n_cand"))
-    many = n_cand.where(F.col("n_cand") >= 3)
-    tri = best_triple(pair_hamming(outcomes, cand.join(many, P, "left_semi")))
+    ``slot`` (0.. in solution order) and ``status`` ('ok' or 'insufficient').
+
+    The roles (top two, candidate, fallback pool and its draw order) come from
+    window functions over one per-solution table partitioned by problem, so
+    the rates are aggregated once and no role needs a join.
+    """
+    rates = solution_pass_rate(outcomes).select(P, S, "pass_rate")
+    by_p = Window.partitionBy(P)
+    rank = F.row_number().over(by_p.orderBy(F.col("pass_rate").desc(), F.col(S)))
+    r = rates.withColumn("_rank", rank)
+    is_top = F.col("_rank") <= 2
+    is_cand = ~is_top & (F.col("pass_rate") >= MID_LOW) & (F.col("pass_rate") < MID_HIGH)
+    r = r.withColumn("_cand", is_cand).withColumn("_n_cand", F.sum(F.col("_cand").cast("int")).over(by_p))
+    pool = ~is_top & (F.col("pass_rate") > EXTRA_MIN) & (F.col("_n_cand") < 3)
+    draw = F.row_number().over(Window.partitionBy(P, pool).orderBy(seeded_key(seed, P, S)))
+    r = r.withColumn("_extra", pool & (draw <= 3))
+    cand = r.where(F.col("_cand") & (F.col("_n_cand") >= 3)).select(P, S)
+    tri = best_triple(pair_hamming(outcomes, cand))
     tri_rows = tri.select(P, F.explode(F.array("a", "b", "c")).alias(S))
-    rest = rates.join(top.select(P, S), [P, S], "left_anti").where(F.col("pass_rate") > EXTRA_MIN)
-    rest = rest.join(many, P, "left_anti")
-    w = Window.partitionBy(P).orderBy(seeded_key(seed, P, S))
-    extra = rest.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3).select(P, S)
-    picks = top.select(P, S).unionByName(tri_rows).unionByName(extra)
+    picks = r.where(is_top | F.col("_extra")).select(P, S).unionByName(tri_rows)
     return _finish(picks, "diverse")
 
 
@@ -170,45 +177,35 @@ def similar_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     """Pick five solutions that behave alike.
 
     If the problem has groups of identical outcome rows, one group is chosen
-    with probability proportional to its size (a seeded uniform *member* picks
-    its group: E6); a group of 5+ gives a seeded sample of 5 (E7), a smaller one
-    is filled by rising nearest distance with seeded ties (E8).  Without groups
-    the five with least total distance are taken (C10).
+    with probability proportional to its size (the seeded-first *member* of
+    all grouped solutions picks its group: E6); a group of 5+ gives a seeded
+    sample of 5 (E7), a smaller one is kept and filled by rising nearest
+    distance with seeded ties (E8).  Without groups the five with least total
+    distance are taken (C10).  Group sizes and the chosen group are window
+    aggregates over the per-solution pattern table.
     """
-    keys = solution_pattern_keys(outcomes)
-    gk = [P, "pat_h1", "pat_h2", "n_pass"]
-    sizes = keys.groupBy(*gk).agg(F.count(F.lit(1)).alias("gsize"))
-    grouped = keys.join(sizes.where(F.col("gsize") > 1), gk)
-    # The seeded-min member over all grouped solutions selects the group
-    chosen = grouped.groupBy(P).agg(
-        F.min_by(F.struct(*[F.col(c) for c in gk[1:]], F.col("gsize")), seeded_key(seed, P, S)).alias("g")
-    )
-    chosen = chosen.select(
-        P,
-        F.col("g.pat_h1").alias("pat_h1"),
-        F.col("g.pat_h2").alias("pat_h2"),
-        F.col("g.n_pass").alias("n_pass"),
-        F.col("g.gsize").alias("gsize"),
-    )
-    members = keys.join(chosen, gk)
-    # Group of 5+ -> seeded sample of five
-    wm = Window.partitionBy(P).orderBy(seeded_key(seed + 1, P, S))
-    big = members.where(F.col("gsize") >= PICKS).withColumn("_rn", F.row_number().over(wm)).where(
-        F.col("_rn") <= PICKS
-    ).select(P, S)
-    # Smaller group -> keep it, fill by nearest distance
-    small_seeds = members.where(F.col("gsize") < PICKS).select(P, S, "gsize")
-    small_problems = small_seeds.select(P, "gsize").distinct()
-    nd = nearest_distance(outcomes.join(small_problems, P, "left_semi"), small_seeds)
-    wf = Window.partitionBy(P).orderBy("min_distance", seeded_key(seed + 2, P, S))
+    keys = solution_pattern_keys(outcomes).select(P, S, "pat_h1", "pat_h2", "n_pass")
+    pat = F.struct("pat_h1", "pat_h2", "n_pass")
+    gsize = F.count(F.lit(1)).over(Window.partitionBy(P, "pat_h1", "pat_h2", "n_pass"))
+    k = keys.withColumn("_pat", pat).withColumn("_gsize", gsize)
+    draw = F.when(F.col("_gsize") > 1, seeded_key(seed, P, S))
+    k = k.withColumn("_chosen", F.min_by(F.struct("_pat", "_gsize"), draw).over(Window.partitionBy(P)))
+    members = k.where(F.col("_pat") == F.col("_chosen._pat"))
+    # A group of 5+ -> seeded sample of five
+    pick = F.row_number().over(Window.partitionBy(P).orderBy(seeded_key(seed + 1, P, S)))
+    big = members.where(F.col("_gsize") >= PICKS).withColumn("_rn", pick).where(F.col("_rn") <= PICKS).select(P, S)
+    # A smaller group -> keep it, fill by nearest distance
+    small = members.where(F.col("_gsize") < PICKS).select(P, S, F.col("_gsize").alias("gsize"))
+    nd = nearest_distance(outcomes.join(small.select(P).distinct(), P, "left_semi"), small)
+    fill_rank = F.row_number().over(Window.partitionBy(P).orderBy("min_distance", seeded_key(seed + 2, P, S)))
     fill = (
-        nd.join(small_problems, P)
-        .withColumn("_rn", F.row_number().over(wf))
+        nd.join(small.select(P, "gsize").distinct(), P)
+        .withColumn("_rn", fill_rank)
         .where(F.col("_rn") <= PICKS - F.col("gsize"))
         .select(P, S)
     )
     # No identical group
-    no_group = outcomes.join(chosen.select(P), P, "left_anti")
+    no_group = outcomes.join(k.where(F.col("_chosen").isNull()).select(P).distinct(), P, "left_semi")
     closest = closest_five(no_group).select(P, S)
-    picks = big.unionByName(small_seeds.select(P, S)).unionByName(fill).unionByName(closest)
+    picks = big.unionByName(small.select(P, S)).unionByName(fill).unionByName(closest)
     return _finish(picks, "similar")

@@ -203,7 +203,7 @@ FROM z
 def q_output_compare(spark, sf):
     o = fx_outputs(spark, sf)
     first = F.element_at(tx.split_lines("actual"), 1)
-    return o.select("case_id", cmp.compare_rung("actual", "expected").alias("rung"), cmp.int_like(first).alias("first_int"))
+    return cmp.compare_outputs(o, "actual", "expected").select("case_id", "rung", cmp.int_like(first).alias("first_int"))
 
 
 CALL_SQL = r"""

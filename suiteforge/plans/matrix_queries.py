@@ -15,6 +15,7 @@ from ..operators import select as sel
 from ..operators import stats as st
 from ..operators import suites as su
 from ..operators.outcomes import P, S, T
+from ..session import cut_lineage
 from .curation import final_curation
 from .registry import register
 
@@ -391,7 +392,7 @@ FROM fx_picks"""
 )
 def q_diverse_five(spark, sf):
     o = fx_outcomes(spark, sf)
-    return sel.diverse_five(su.keep_outcomes(o, su.surviving_tests(o)), seed=42)
+    return sel.diverse_five(cut_lineage(su.keep_outcomes(o, su.surviving_tests(o))), seed=42)
 
 
 TOTAL = """fx_total AS (
@@ -497,7 +498,7 @@ def q_nearest_fill(spark, sf):
 )
 def q_similar_five(spark, sf):
     o = fx_outcomes(spark, sf)
-    return sel.similar_five(su.keep_outcomes(o, su.dedup_tests(o, keep=1, seed=42)), seed=42)
+    return sel.similar_five(cut_lineage(su.keep_outcomes(o, su.dedup_tests(o, keep=1, seed=42))), seed=42)
 
 
 # ---------------------------------------------------------------- M4 report
