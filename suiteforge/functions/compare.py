@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .text import py_strip, split_lines
 
 # fixed values: tolerance of the numeric rung (numpy.allclose defaults)
@@ -112,7 +113,7 @@ def compare_outputs(df: DataFrame, actual: str, expected: str, out: str = "rung"
     """H21 on a DataFrame, staged: the line arrays are computed once per row in
     their own projection and every rung reads them (same rules as
     :func:`compare_rung`)."""
-    d = df.withColumn("_out", split_lines(actual)).withColumn(
+    d = spread(df).withColumn("_out", split_lines(actual)).withColumn(
         "_el", F.transform(F.filter(F.split(F.col(expected), "\n", -1), lambda x: F.length(x) > 0), py_strip)
     )
     d = d.withColumn("_nb", F.filter("_out", lambda x: F.length(x) > 0)).withColumn("_es", py_strip(expected))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .text import FENCE, WS, after_first, py_strip
 
 # fixed values
@@ -54,7 +55,7 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
     fallback are computed once per row and reused by every rule below.
     """
     s = F.col(text)
-    d = df.withColumn("_region", json_region(s))
+    d = spread(df).withColumn("_region", json_region(s))
     d = d.withColumn("_v", F.try_parse_json("_region"))
     v = F.col("_v")
     d = d.withColumn(
