@@ -34,19 +34,35 @@ def packed_rows(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy(P, S, F.floor(F.col(T) / WORD).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def pair_hamming(outcomes: DataFrame, solutions: DataFrame | None = None) -> DataFrame:
+PAIR_CHUNK = 2048  # solutions per salt slice of a hot (problem, word) key
+
+
+def pair_hamming(outcomes: DataFrame, solutions: DataFrame | None = None, chunk: int = PAIR_CHUNK) -> DataFrame:
     """Hamming distance of every solution pair a < b within a problem.
 
     ``solutions`` optionally restricts both sides (e.g. to candidates) before
     the pair join, so only the wanted pairs are ever built.
+
+    Hot keys are salted: a ``(problem, word)`` key with n solutions is split
+    into ceil(n / chunk) slices of its left side, and its right side is
+    replicated once per slice, so one huge problem becomes many tasks of at
+    most ``chunk x n`` pairs.  Ordinary keys get one slice (no replication).
     """
     rows = packed_rows(outcomes)
     if solutions is not None:
         rows = rows.join(solutions.select(P, S), [P, S], "left_semi")
-    a = rows.select(P, "word", F.col(S).alias("a"), F.col("bits").alias("ba"))
-    b = rows.select(P, "word", F.col(S).alias("b"), F.col("bits").alias("bb"))
+    sizes = rows.groupBy(P, "word").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"))
+    rows = rows.join(sizes, [P, "word"])
+    a = rows.select(
+        P, "word", F.col(S).alias("a"), F.col("bits").alias("ba"),
+        F.pmod(F.xxhash64(F.col(S)), F.col("_k")).cast("int").alias("_salt"),
+    )
+    b = rows.select(
+        P, "word", F.col(S).alias("b"), F.col("bits").alias("bb"),
+        F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt"),
+    )
     return (
-        a.join(b, [P, "word"])
+        a.join(b, [P, "word", "_salt"])
         .where(F.col("a") < F.col("b"))
         .groupBy(P, "a", "b")
         .agg(F.sum(F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))).cast("long").alias("distance"))

@@ -53,14 +53,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory; create a scratch one only when unset (tests)."""
-    d = checkpoint_dir(spark)
-    if d is None:
-        d = tempfile.mkdtemp(prefix="suiteforge-ckpt-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(d)
-    else:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    """Return the shared checkpoint directory; set one only when none is defined.
+
+    A directory the context already uses is left alone (setting it again
+    would nest a fresh sub-folder on every call).  The ``spark.checkpoint.dir``
+    setting is used when present; a scratch folder is made only when the
+    session names none (local tests).
+    """
+    sc = spark.sparkContext
+    opt = sc._jsc.sc().getCheckpointDir()
+    if opt.isDefined():
+        return opt.get()
+    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="suiteforge-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(d)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
