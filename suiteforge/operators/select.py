@@ -98,7 +98,9 @@ def best_triple(pairs: DataFrame) -> DataFrame:
 def top_two(rates: DataFrame) -> DataFrame:
     """The two highest pass rates per problem, ties to the lower solution id."""
     w = Window.partitionBy(P).orderBy(F.col("pass_rate").desc(), F.col(S))
-    return rates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2).select(P, S, "pass_rate", "rank")
+    return rates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2).select(
+        P, S, "pass_rate", F.col("rank").cast("long").alias("rank")
+    )
 
 
 def diverse_candidates(rates: DataFrame, top: DataFrame) -> DataFrame:
