@@ -101,7 +101,10 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
         .when(~has_run, F.lit(None).cast("array<string>"))
         .otherwise(fb_tests)
     )
-    return d.withColumn(problem, out_problem).withColumn(tests, out_tests).drop("_region", "_v", "_p", "_f")
+    # The result comes out of a one-row generator: a later filter on it cannot be
+    # pushed below the generator, so the parse runs once and after the spread.
+    keep = [c for c in d.columns if c not in ("_region", "_v", "_p", "_f")]
+    return d.select(*keep, F.inline(F.array(F.struct(out_problem.alias(problem), out_tests.alias(tests)))))
 
 
 def is_valid_response(response: Column, tests: Column) -> Column:
