@@ -71,10 +71,16 @@ def resume_split(items: DataFrame, done: DataFrame, key: str = "id") -> tuple[Da
 
 
 def completion_index(df: DataFrame, text: str, order: list[str], out: str = "occurrence") -> DataFrame:
-    """Occurrence number (from 0) of each identical text, in the stated order."""
-    h = F.sha2(F.col(text), 256)
-    w = Window.partitionBy(h).orderBy(*order)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    """Occurrence number (from 0) of each identical text, in the stated order.
+
+    Identical copies can be a large share of all rows, so the numbering is the
+    two-phase :func:`group_row_index` keyed by the text hash, never one window
+    partition per text.
+    """
+    from .sampling import group_row_index
+
+    h = df.withColumn("_h", F.sha2(F.col(text), 256))
+    return group_row_index(h, ["_h"], order, out).drop("_h")
 
 
 GeneratorFn = Callable[[pd.DataFrame], pd.DataFrame]

@@ -32,6 +32,29 @@ def row_index(df: DataFrame, order: list[str], name: str = "i", partitions: int
     )
 
 
+def group_row_index(df: DataFrame, group: list[str], order: list[str], name: str = "i", partitions: int | None = None) -> DataFrame:
+    """0-based position of every row inside its group, in the stated (unique) order.
+
+    A hot group (say, a third of all rows) is not numbered in one task: rows
+    are range-partitioned by (group, order), each range numbers its slice of
+    the group, and the offsets of earlier slices come from a small table of
+    per-(group, partition) counts.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
+    counts = r.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid", *group).orderBy(*order)
+    return (
+        r.withColumn("_local", F.row_number().over(local))
+        .join(offsets, [*group, "_pid"])
+        .withColumn(name, (F.col("_off") + F.col("_local") - 1).cast("long"))
+        .drop("_pid", "_local", "_off")
+    )
+
+
 def row_slice(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
     """The rows at positions [start, end) of the stated order."""
     return row_index(df, order, "_i").where((F.col("_i") >= start) & (F.col("_i") < end)).drop("_i")

@@ -8,11 +8,11 @@ tests) -> dense re-index of the kept tests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.outcomes import P, T
-from ..operators.suites import dedup_tests, keep_outcomes, max_perfect, min_suite, reindex_tests
+from ..operators.suites import dedup_tests, keep_outcomes, max_perfect
 from ..operators.outcomes import solution_pass_rate
 
 
@@ -23,13 +23,19 @@ def final_curation(
     cap: int = 5,
     seed: int = 42,
 ) -> DataFrame:
-    """Curated suites: (problem_id, test_id, new_test_id, n_tests, n_perfect)."""
+    """Curated suites: (problem_id, test_id, new_test_id, n_tests, n_perfect).
+
+    Suite size and the dense re-index are one window over the kept tests
+    (same partitioning by problem); only the perfect-solution count needs a
+    join back, and it is one row per problem.
+    """
     kept = dedup_tests(outcomes, keep=cap, seed=seed)
-    big = min_suite(kept, min_tests)
-    kept = kept.join(big.select(P, "n_tests"), P)
+    by_p = Window.partitionBy(P)
+    kept = (
+        kept.withColumn("n_tests", F.count(F.lit(1)).over(by_p).cast("long"))
+        .withColumn("new_test_id", (F.row_number().over(by_p.orderBy(T)) - 1).cast("long"))
+        .where(F.col("n_tests") >= min_tests)
+    )
     rates = solution_pass_rate(keep_outcomes(outcomes, kept.select(P, T)))
     ok = max_perfect(rates, max_perfect_solutions)
-    kept = kept.join(ok, P)
-    return reindex_tests(kept.select(P, T)).join(kept, [P, T]).select(
-        P, T, "new_test_id", F.col("n_tests").cast("long").alias("n_tests"), "n_perfect"
-    )
+    return kept.join(ok, P).select(P, T, "new_test_id", "n_tests", "n_perfect")

@@ -118,3 +118,15 @@ def test_salted_pairs_equal_plain(spark):
     plain = sorted(map(tuple, sel.pair_hamming(o).collect()))
     salted = sorted(map(tuple, sel.pair_hamming(o, chunk=3).collect()))
     assert plain == salted
+
+
+def test_group_row_index_hot_group(spark):
+    from suiteforge.operators.sampling import group_row_index, row_index
+
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"), F.col("id"))
+    got = {(r.g, r.id): r.i for r in group_row_index(df, ["g"], ["id"], partitions=7).collect()}
+    for g in ("hot", "cold"):
+        ids = sorted(i for (gg, i) in got if gg == g)
+        assert [got[(g, i)] for i in ids] == list(range(len(ids)))
+    glob = {r.id: r.i for r in row_index(df, ["id"], partitions=5).collect()}
+    assert [glob[i] for i in range(3000)] == list(range(3000))
