@@ -3,7 +3,9 @@
 A global row number never goes through a single-partition window: rows are
 range-partitioned by the stated order, each range is numbered locally, and a
 per-partition offset (one row per partition, a size fixed by the partition
-count) is added.  Heads and samples are top-k plans (``orderBy().limit()``),
+count) is added.  Range bounds are sampled anew by every job, so the
+partition assignment is materialised once (reliable checkpoint) before the
+counts and the local numbers read it.  Heads and samples are top-k plans (``orderBy().limit()``),
 which keep k rows per task before the final merge.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .suites import seeded_key
 
 
@@ -19,7 +22,9 @@ def row_index(df: DataFrame, order: list[str], name: str = "i", partitions: int
     """0-based position of every row in the total order ``order`` (which must be unique)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    # Range bounds are sampled per job, so the partition id is computed once and
+    # materialised: counts and local numbers then see the same assignment.
+    r = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -42,7 +47,7 @@ def group_row_index(df: DataFrame, group: list[str], order: list[str], name: str
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
+    r = cut_lineage(df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -309,3 +309,45 @@ def top_problems(rates: DataFrame, k: int = 5) -> DataFrame:
     return easy.unionByName(hard).select(
         "kind", F.row_number().over(w).cast("long").alias("rank"), P, _r("best", "best"), _r("avg_rate", "avg_rate")
     )
+
+
+def _long(df: DataFrame, metric: str, key_col: str | None = None) -> DataFrame:
+    """One report section as long rows (metric, key, value, n)."""
+    ids = [key_col] if key_col else []
+    values = [c for c in df.columns if c not in ids]
+    long = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(
+        ids or [], values, "field", "value"
+    )
+    key = F.concat_ws("/", *([F.col(key_col).cast("string")] if key_col else []), F.col("field"))
+    return long.select(F.lit(metric).alias("metric"), key.alias("key"), "value", F.lit(None).cast("long").alias("n"))
+
+
+def report_metrics(rates: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """The whole evaluation report as one long table ``(metric, key, value, n)``.
+
+    Each section is a small aggregate; the union has one row per reported
+    number, so writing it as a single file (``sources.io.write_report``) is safe.
+    """
+    parts = [
+        _long(stats_basic(rates), "basic"),
+        _long(stats_pass_rate(rates), "pass_rate"),
+        _long(stats_percentiles(rates), "percentile", "percentile"),
+        _long(pass_at_k(rates), "pass_at_k", "k"),
+        _long(stats_quality(rates), "quality"),
+        _long(stats_histogram(rates).drop("lower", "upper"), "histogram", "bin"),
+        _long(stats_problem(rates), "problem"),
+        _long(stats_difficulty(rates), "difficulty"),
+    ]
+    if details is not None:
+        parts += [
+            _long(stats_tests(details), "tests"),
+            _long(stats_test_counts(details), "tests_per_solution"),
+            _long(stats_reasons(details), "reasons", "reason"),
+            _long(stats_errors(details).drop("error_tests"), "errors", "error"),
+            _long(stats_timeouts(details), "timeouts"),
+            _long(stats_time_limits(details).select("time_limit", "n", "pct"), "time_limits", "time_limit"),
+        ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -86,3 +86,19 @@ def test_point_lookup_pushdown(spark):
     plan = io.point_lookup(df, "doc_id", 7)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
     assert F is not None
+
+
+def test_report_metrics_table(spark, tmp_path):
+    from suiteforge.fixtures import fx_outcome_details
+    from suiteforge.operators import outcomes as oc
+    from suiteforge.operators import stats as st
+
+    d = fx_outcome_details(spark, SF_SMALL)
+    rates = oc.solution_pass_rate(d)
+    m = st.report_metrics(rates, d)
+    got = {(r.metric, r.key): r.value for r in m.collect()}
+    basic = st.stats_basic(rates).first()
+    assert got[("basic", "total_solutions")] == basic.total_solutions
+    assert got[("pass_at_k", "1/pass_at_k")] == st.pass_at_k(rates).where("k = 1").first().pass_at_k
+    io.write_report(m, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == len(got)
