@@ -24,17 +24,36 @@ def _int(c: Column | str) -> Column:
     return c.cast("int")
 
 
-def complete_grid(outcomes: DataFrame, solutions: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+GRID_CHUNK = 4096  # solutions per salt slice when a problem's grid is expanded
+
+
+def expand_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, chunk: int) -> DataFrame:
+    """Equi-join whose output per key is |left| x |right|, with hot keys split.
+
+    A key with n left rows is cut into ceil(n / chunk) slices of its left
+    side (by a hash of ``left_id``) and its right rows are replicated once per
+    slice, so one huge key becomes many tasks; ordinary keys get one slice.
+    """
+    k = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"))
+    lft = left.join(k, keys).withColumn("_salt", F.pmod(F.xxhash64(F.col(left_id)), F.col("_k")).cast("int"))
+    rgt = right.join(k, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return lft.drop("_k").join(rgt.drop("_k"), [*keys, "_salt"]).drop("_salt")
+
+
+def complete_grid(
+    outcomes: DataFrame, solutions: DataFrame | None = None, tests: DataFrame | None = None, chunk: int = GRID_CHUNK
+) -> DataFrame:
     """Every solution x every test of its problem; missing cells are ``unexecuted`` and fail.
 
     ``solutions`` / ``tests`` default to the keys seen in ``outcomes``.  Extra
-    outcome columns are carried through (null for unexecuted cells).
+    outcome columns are carried through (null for unexecuted cells).  The
+    solution x test expansion is salted for problems with many solutions.
     """
     if solutions is None:
         solutions = outcomes.select(P, S).distinct()
     if tests is None:
         tests = outcomes.select(P, T).distinct()
-    grid = solutions.select(P, S).join(tests.select(P, T), P)
+    grid = expand_join(solutions.select(P, S), tests.select(P, T), [P], S, chunk)
     cols = outcomes.columns
     joined = grid.join(outcomes, [P, S, T], "left")
     has_reason = "reason" in cols

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .outcomes import P, S, T, solution_pass_rate, solution_pattern_keys, test_pass_mean
+from .outcomes import P, S, T, expand_join, solution_pass_rate, solution_pattern_keys, test_pass_mean
+from ..session import cut_lineage
 from .suites import seeded_key
 
 WORD = 63  # tests per packed word (bit 63 left clear so every word is a non-negative long)
@@ -51,28 +52,43 @@ def pair_hamming(outcomes: DataFrame, solutions: DataFrame | None = None, chunk:
     rows = packed_rows(outcomes)
     if solutions is not None:
         rows = rows.join(solutions.select(P, S), [P, S], "left_semi")
-    sizes = rows.groupBy(P, "word").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"))
-    rows = rows.join(sizes, [P, "word"])
-    a = rows.select(
-        P, "word", F.col(S).alias("a"), F.col("bits").alias("ba"),
-        F.pmod(F.xxhash64(F.col(S)), F.col("_k")).cast("int").alias("_salt"),
-    )
-    b = rows.select(
-        P, "word", F.col(S).alias("b"), F.col("bits").alias("bb"),
-        F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt"),
-    )
+    a = rows.select(P, "word", F.col(S).alias("a"), F.col("bits").alias("ba"))
+    b = rows.select(P, "word", F.col(S).alias("b"), F.col("bits").alias("bb"))
     return (
-        a.join(b, [P, "word", "_salt"])
+        expand_join(a, b, [P, "word"], "a", chunk)
         .where(F.col("a") < F.col("b"))
         .groupBy(P, "a", "b")
         .agg(F.sum(F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))).cast("long").alias("distance"))
     )
 
 
+def _greedy_floor(pairs: DataFrame) -> DataFrame:
+    """Per problem, the least pair distance of one valid triple: the farthest pair
+    (x, y) plus the z maximising min(d(x, z), d(y, z)).  The best triple's
+    minimum is at least this, so pairs below it cannot be in the answer."""
+    far = pairs.groupBy(P).agg(F.max_by(F.struct("a", "b"), F.struct("distance", -F.col("a"), -F.col("b"))).alias("xy"))
+    ends = far.select(P, F.col("xy.a").alias("x"), F.col("xy.b").alias("y"))
+    sym = pairs.select(P, "a", "b", "distance").unionByName(
+        pairs.select(P, F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+    )
+    touch = sym.join(ends, P).where((F.col("a") == F.col("x")) | (F.col("a") == F.col("y")))
+    touch = touch.where((F.col("b") != F.col("x")) & (F.col("b") != F.col("y")))
+    per_z = touch.groupBy(P, "b").agg(F.count(F.lit(1)).alias("_n"), F.min("distance").alias("_m"))
+    return per_z.where(F.col("_n") == 2).groupBy(P).agg(F.max("_m").alias("floor"))
+
+
 def best_triple(pairs: DataFrame) -> DataFrame:
     """Per problem the triple a<b<c maximising (min pair distance, total distance);
-    the first triple in index order wins ties.  Triangles are built from the pair
-    table only (never from tests) and reduced with a map-side ``max`` of a struct."""
+    the first triple in index order wins ties.
+
+    Triangles are built from the pair table only (never from tests), after an
+    exact prune: a greedy triple's minimum is a floor for the optimum's, so
+    pairs below the floor are dropped first.  Ties survive the prune because
+    every triple at the optimum has all its pairs at or above the floor.
+    """
+    pairs = cut_lineage(pairs)  # read six times below: materialise once
+    floor = _greedy_floor(pairs)
+    pairs = pairs.join(floor, P, "left").where(F.col("floor").isNull() | (F.col("distance") >= F.col("floor"))).drop("floor")
     ab = pairs.select(P, "a", "b", F.col("distance").alias("d_ab"))
     ac = pairs.select(P, "a", F.col("b").alias("c"), F.col("distance").alias("d_ac"))
     bc = pairs.select(P, F.col("a").alias("b"), F.col("b").alias("c"), F.col("distance").alias("d_bc"))
