@@ -33,8 +33,12 @@ def expand_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     A key with n left rows is cut into ceil(n / chunk) slices of its left
     side (by a hash of ``left_id``) and its right rows are replicated once per
     slice, so one huge key becomes many tasks; ordinary keys get one slice.
+    One planning aggregate (a single number: the largest key) decides whether
+    any key is hot; when none is, the plain join is used.
     """
     k = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"))
+    if (k.agg(F.max("_k")).first()[0] or 1) <= 1:
+        return left.join(right, keys)
     lft = left.join(k, keys).withColumn("_salt", F.pmod(F.xxhash64(F.col(left_id)), F.col("_k")).cast("int"))
     rgt = right.join(k, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return lft.drop("_k").join(rgt.drop("_k"), [*keys, "_salt"]).drop("_salt")

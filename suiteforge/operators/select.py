@@ -77,7 +77,10 @@ def _greedy_floor(pairs: DataFrame) -> DataFrame:
     return per_z.where(F.col("_n") == 2).groupBy(P).agg(F.max("_m").alias("floor"))
 
 
-def best_triple(pairs: DataFrame) -> DataFrame:
+PRUNE_MIN = 64  # candidates per problem above which the exact floor prune pays off
+
+
+def best_triple(pairs: DataFrame, prune: bool = True) -> DataFrame:
     """Per problem the triple a<b<c maximising (min pair distance, total distance);
     the first triple in index order wins ties.
 
@@ -85,10 +88,14 @@ def best_triple(pairs: DataFrame) -> DataFrame:
     exact prune: a greedy triple's minimum is a floor for the optimum's, so
     pairs below the floor are dropped first.  Ties survive the prune because
     every triple at the optimum has all its pairs at or above the floor.
+    Callers skip the prune (``prune=False``) when no problem has more than
+    PRUNE_MIN candidates: the triangles are then few and the prune's extra
+    stages cost more than they save.
     """
-    pairs = cut_lineage(pairs)  # read six times below: materialise once
-    floor = _greedy_floor(pairs)
-    pairs = pairs.join(floor, P, "left").where(F.col("floor").isNull() | (F.col("distance") >= F.col("floor"))).drop("floor")
+    if prune:
+        pairs = cut_lineage(pairs)  # read six times below: materialise once
+        floor = _greedy_floor(pairs)
+        pairs = pairs.join(floor, P, "left").where(F.col("floor").isNull() | (F.col("distance") >= F.col("floor"))).drop("floor")
     ab = pairs.select(P, "a", "b", F.col("distance").alias("d_ab"))
     ac = pairs.select(P, "a", F.col("b").alias("c"), F.col("distance").alias("d_ac"))
     bc = pairs.select(P, F.col("a").alias("b"), F.col("b").alias("c"), F.col("distance").alias("d_bc"))
@@ -111,6 +118,12 @@ def best_triple(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _needs_prune(cand: DataFrame) -> bool:
+    """One planning number: does any problem have more than PRUNE_MIN candidates?"""
+    biggest = cand.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (biggest or 0) > PRUNE_MIN
+
+
 def top_two(rates: DataFrame) -> DataFrame:
     """The two highest pass rates per problem, ties to the lower solution id."""
     w = Window.partitionBy(P).orderBy(F.col("pass_rate").desc(), F.col(S))
@@ -130,7 +143,7 @@ def diverse_triple(outcomes: DataFrame, rates: DataFrame | None = None) -> DataF
     """C9 as used by S1: the best triple among the mid-band candidates of problems with 3+ of them."""
     rates = rates if rates is not None else solution_pass_rate(outcomes)
     cand = diverse_candidates(rates, top_two(rates))
-    return best_triple(pair_hamming(outcomes, cand))
+    return best_triple(pair_hamming(outcomes, cand), prune=_needs_prune(cand))
 
 
 def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
@@ -153,7 +166,7 @@ def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     draw = F.row_number().over(Window.partitionBy(P, pool).orderBy(seeded_key(seed, P, S)))
     r = r.withColumn("_extra", pool & (draw <= 3))
     cand = r.where(F.col("_cand") & (F.col("_n_cand") >= 3)).select(P, S)
-    tri = best_triple(pair_hamming(outcomes, cand))
+    tri = best_triple(pair_hamming(outcomes, cand), prune=_needs_prune(cand))
     tri_rows = tri.select(P, F.explode(F.array("a", "b", "c")).alias(S))
     picks = r.where(is_top | F.col("_extra")).select(P, S).unionByName(tri_rows)
     return _finish(picks, "diverse")

@@ -130,3 +130,21 @@ def test_group_row_index_hot_group(spark):
         assert [got[(g, i)] for i in ids] == list(range(len(ids)))
     glob = {r.id: r.i for r in row_index(df, ["id"], partitions=5).collect()}
     assert [glob[i] for i in range(3000)] == list(range(3000))
+
+
+def test_triple_prune_is_exact(spark):
+    o = fx_outcomes(spark, SF_SMALL)
+    rates = oc.solution_pass_rate(o)
+    cand = sel.diverse_candidates(rates, sel.top_two(rates))
+    pairs = sel.pair_hamming(o, cand)
+    a = sorted(map(tuple, sel.best_triple(pairs, prune=True).collect()))
+    b = sorted(map(tuple, sel.best_triple(pairs, prune=False).collect()))
+    assert a == b
+
+
+def test_expand_join_salted_equals_plain(spark):
+    o = fx_outcomes(spark, SF_SMALL)
+    sols, tests = o.select("problem_id", "solution_id").distinct(), o.select("problem_id", "test_id").distinct()
+    plain = sorted(map(tuple, oc.expand_join(sols, tests, ["problem_id"], "solution_id", 10**6).collect()))
+    salted = sorted(map(tuple, oc.expand_join(sols, tests, ["problem_id"], "solution_id", 3).select("problem_id", "solution_id", "test_id").collect()))
+    assert plain == sorted((p, s, t) for p, s, t in plain) and [tuple(x) for x in plain] == salted
