@@ -27,17 +27,22 @@ def _int(c: Column | str) -> Column:
 GRID_CHUNK = 4096  # solutions per salt slice when a problem's grid is expanded
 
 
-def expand_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, chunk: int) -> DataFrame:
+def expand_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: str, chunk: int, hot: bool | None = None
+) -> DataFrame:
     """Equi-join whose output per key is |left| x |right|, with hot keys split.
 
     A key with n left rows is cut into ceil(n / chunk) slices of its left
     side (by a hash of ``left_id``) and its right rows are replicated once per
     slice, so one huge key becomes many tasks; ordinary keys get one slice.
-    One planning aggregate (a single number: the largest key) decides whether
-    any key is hot; when none is, the plain join is used.
+    ``hot`` tells whether any key can exceed ``chunk`` left rows; when the
+    caller does not know (None), one planning aggregate (a single number: the
+    largest key) decides.  Without hot keys the plain join is used.
     """
     k = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"))
-    if (k.agg(F.max("_k")).first()[0] or 1) <= 1:
+    if hot is None:
+        hot = (k.agg(F.max("_k")).first()[0] or 1) > 1
+    if not hot:
         return left.join(right, keys)
     lft = left.join(k, keys).withColumn("_salt", F.pmod(F.xxhash64(F.col(left_id)), F.col("_k")).cast("int"))
     rgt = right.join(k, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -45,7 +50,11 @@ def expand_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
 
 
 def complete_grid(
-    outcomes: DataFrame, solutions: DataFrame | None = None, tests: DataFrame | None = None, chunk: int = GRID_CHUNK
+    outcomes: DataFrame,
+    solutions: DataFrame | None = None,
+    tests: DataFrame | None = None,
+    chunk: int = GRID_CHUNK,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Every solution x every test of its problem; missing cells are ``unexecuted`` and fail.
 
@@ -57,7 +66,7 @@ def complete_grid(
         solutions = outcomes.select(P, S).distinct()
     if tests is None:
         tests = outcomes.select(P, T).distinct()
-    grid = expand_join(solutions.select(P, S), tests.select(P, T), [P], S, chunk)
+    grid = expand_join(solutions.select(P, S), tests.select(P, T), [P], S, chunk, hot)
     cols = outcomes.columns
     joined = grid.join(outcomes, [P, S, T], "left")
     has_reason = "reason" in cols

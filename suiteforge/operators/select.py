@@ -38,7 +38,9 @@ def packed_rows(outcomes: DataFrame) -> DataFrame:
 PAIR_CHUNK = 2048  # solutions per salt slice of a hot (problem, word) key
 
 
-def pair_hamming(outcomes: DataFrame, solutions: DataFrame | None = None, chunk: int = PAIR_CHUNK) -> DataFrame:
+def pair_hamming(
+    outcomes: DataFrame, solutions: DataFrame | None = None, chunk: int = PAIR_CHUNK, hot: bool | None = None
+) -> DataFrame:
     """Hamming distance of every solution pair a < b within a problem.
 
     ``solutions`` optionally restricts both sides (e.g. to candidates) before
@@ -55,7 +57,7 @@ def pair_hamming(outcomes: DataFrame, solutions: DataFrame | None = None, chunk:
     a = rows.select(P, "word", F.col(S).alias("a"), F.col("bits").alias("ba"))
     b = rows.select(P, "word", F.col(S).alias("b"), F.col("bits").alias("bb"))
     return (
-        expand_join(a, b, [P, "word"], "a", chunk)
+        expand_join(a, b, [P, "word"], "a", chunk, hot)
         .where(F.col("a") < F.col("b"))
         .groupBy(P, "a", "b")
         .agg(F.sum(F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))).cast("long").alias("distance"))
@@ -118,10 +120,16 @@ def best_triple(pairs: DataFrame, prune: bool = True) -> DataFrame:
     )
 
 
-def _needs_prune(cand: DataFrame) -> bool:
-    """One planning number: does any problem have more than PRUNE_MIN candidates?"""
-    biggest = cand.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (biggest or 0) > PRUNE_MIN
+def _largest_group(cand: DataFrame) -> int:
+    """One planning number: the most candidates any problem has.  It decides
+    both whether the pair join needs salting and whether the prune pays off."""
+    return cand.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _triple_of(outcomes: DataFrame, cand: DataFrame) -> DataFrame:
+    biggest = _largest_group(cand)
+    pairs = pair_hamming(outcomes, cand, hot=biggest > PAIR_CHUNK)
+    return best_triple(pairs, prune=biggest > PRUNE_MIN)
 
 
 def top_two(rates: DataFrame) -> DataFrame:
@@ -143,7 +151,7 @@ def diverse_triple(outcomes: DataFrame, rates: DataFrame | None = None) -> DataF
     """C9 as used by S1: the best triple among the mid-band candidates of problems with 3+ of them."""
     rates = rates if rates is not None else solution_pass_rate(outcomes)
     cand = diverse_candidates(rates, top_two(rates))
-    return best_triple(pair_hamming(outcomes, cand), prune=_needs_prune(cand))
+    return _triple_of(outcomes, cand)
 
 
 def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
@@ -166,7 +174,7 @@ def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     draw = F.row_number().over(Window.partitionBy(P, pool).orderBy(seeded_key(seed, P, S)))
     r = r.withColumn("_extra", pool & (draw <= 3))
     cand = r.where(F.col("_cand") & (F.col("_n_cand") >= 3)).select(P, S)
-    tri = best_triple(pair_hamming(outcomes, cand), prune=_needs_prune(cand))
+    tri = _triple_of(outcomes, cand)
     tri_rows = tri.select(P, F.explode(F.array("a", "b", "c")).alias(S))
     picks = r.where(is_top | F.col("_extra")).select(P, S).unionByName(tri_rows)
     return _finish(picks, "diverse")
