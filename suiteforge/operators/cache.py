@@ -64,10 +64,16 @@ def pending(items: DataFrame, cache: DataFrame, key: str = "hash_id", retry_erro
     return items.join(latest.select(key), key, "left_anti")
 
 
+def mark_done(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """C4 in one pass: every item with ``done`` = whether an earlier run has its result."""
+    d = done.select(key).distinct().withColumn("done", F.lit(True))
+    return items.join(d, key, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
 def resume_split(items: DataFrame, done: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """C4: (already done, still to do) by id -- a semi and an anti join."""
-    d = done.select(key).distinct()
-    return items.join(d, key, "left_semi"), items.join(d, key, "left_anti")
+    """C4: (already done, still to do) by id, both read from one marked pass."""
+    m = mark_done(items, done, key)
+    return m.where(F.col("done")).drop("done"), m.where(~F.col("done")).drop("done")
 
 
 def completion_index(df: DataFrame, text: str, order: list[str], out: str = "occurrence") -> DataFrame:

@@ -120,8 +120,8 @@ def q_cache_pending(spark, sf):
 def q_resume_split(spark, sf):
     items = fx_problems(spark, sf).select("id", "key")
     done_rows = items.where(F.col("key") % 4 == 1)  # a results table written by an earlier run
-    done, todo = ca.resume_split(items, done_rows, "id")
-    return done.select("id", F.lit("done").alias("status")).unionByName(todo.select("id", F.lit("todo").alias("status")))
+    m = ca.mark_done(items, done_rows, "id")
+    return m.select("id", F.when(F.col("done"), F.lit("done")).otherwise(F.lit("todo")).alias("status"))
 
 
 @register(
