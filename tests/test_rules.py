@@ -173,3 +173,12 @@ def test_complete_grid_unexecuted(spark):
 def test_parse_code_modes_no_blocks(spark, mode):
     df = spark.createDataFrame([("no code here",)], "s string")
     assert df.select(tx.parse_code("s", mode).alias("c")).first().c == ""
+
+
+def test_request_params(spark):
+    from suiteforge.functions.requests import request_params
+
+    df = spark.createDataFrame([("o3-mini", 0.7, 0.9, 100, None), ("gpt-x", 0.7, 0.9, 100, 5)], "m string, t double, p double, n long, s long")
+    got = [r.r for r in df.select(request_params(F.col("m"), F.col("t"), F.col("p"), F.col("n"), F.col("s")).alias("r")).collect()]
+    assert (got[0].temperature, got[0].top_p, got[0].seed) == (None, None, None)
+    assert (got[1].temperature, got[1].top_p, got[1].seed) == (0.7, 0.9, 5)
