@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .text import FENCE, WS, after_first, py_strip
+from .text import FENCE, after_first, py_strip
 
 # fixed values
 ERROR_QUESTION = "Error in question generation"
@@ -120,4 +120,4 @@ def is_valid_response(response: Column, tests: Column) -> Column:
     )
 
 
-__all__ = ["ERROR_QUESTION", "ERROR_TESTS", "parse_responses", "is_valid_response", "WS"]
+__all__ = ["ERROR_QUESTION", "ERROR_TESTS", "parse_responses", "is_valid_response"]

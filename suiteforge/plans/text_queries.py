@@ -6,7 +6,6 @@ The oracle side rebuilds the expected values either from the source columns
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import TEST_SEP, fx_outcomes, fx_problems, fx_responses, fx_turns, with_fx, with_text
@@ -442,5 +441,3 @@ def q_batch_assign(spark, sf):
 def q_point_lookup(spark, sf):
     return fx_problems(spark, sf).where(F.col("id") == "docs_7").select("id", "source", "key", "question")
 
-
-_ = Window  # window specs are built inside the operators

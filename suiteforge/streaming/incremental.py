@@ -10,7 +10,6 @@ files.  Per-test and per-solution counts are re-aggregated from the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.outcomes import P, S, T, solution_pass_rate, test_pass_mean
 from ..sources.io import path_exists
@@ -52,4 +51,4 @@ def outcome_counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return test_pass_mean(table), solution_pass_rate(table)
 
 
-__all__ = ["ingest_outcomes", "outcome_counts", "F"]
+__all__ = ["ingest_outcomes", "outcome_counts"]
