@@ -80,3 +80,30 @@ def evolve_round(
     suite = cut_lineage(grown.select(P, F.col("new_test_id").alias(T), "test_text", "origin"))
     new_outcomes = evaluate_grid(solutions.join(alive, P, "left_semi"), suite, evaluate)
     return suite, cut_lineage(new_outcomes)
+
+
+def run_rounds(
+    outcomes: DataFrame,
+    tests: DataFrame,
+    solutions: DataFrame,
+    generate: TestGeneratorFn,
+    evaluate: EvaluatorFn,
+    rounds: int,
+    base_path: str,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """S3 repeated: round N reads round N-1's outputs from the round-partitioned
+    layout (A10) and writes its own partition, so every round starts from a
+    short plan over stored tables and a rerun of one round replaces only it."""
+    from ..sources.io import read_round, write_round
+
+    spark = outcomes.sparkSession
+    for r in range(1, rounds + 1):
+        if r > 1:
+            tests = read_round(spark, f"{base_path}/tests", r)
+            outcomes = read_round(spark, f"{base_path}/outcomes", r)
+        suite, new_outcomes = evolve_round(outcomes, tests, solutions, generate, evaluate, seed=seed + r - 1)
+        write_round(suite.select(P, T, "test_text"), f"{base_path}/tests", r)
+        write_round(new_outcomes, f"{base_path}/outcomes", r)
+    last = rounds + 1
+    return read_round(spark, f"{base_path}/tests", last), read_round(spark, f"{base_path}/outcomes", last)
