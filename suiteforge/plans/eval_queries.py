@@ -206,7 +206,17 @@ def q_output_compare(spark, sf):
     return cmp.compare_outputs(o, "actual", "expected").select("case_id", "rung", cmp.int_like(first).alias("first_int"))
 
 
-CALL_SQL = r"""
+# JSON values compare like Python objects: numbers by value (69.0 == 69), so the
+# oracle drops trailing fractional zeros from the minified text before comparing.
+def _jnorm(x: str) -> str:
+    return (
+        "regexp_replace(regexp_replace(CAST(json(" + x + ") AS VARCHAR), "
+        "'(\\.[0-9]*?)0+([^0-9]|$)', '\\1\\2', 'g'), '\\.([^0-9]|$)', '\\1', 'g')"
+    )
+
+
+CALL_SQL = (
+    r"""
 WITH x AS (
   SELECT event_id, props AS actual,
          CASE event_id % 4 WHEN 0 THEN replace(replace(props, '{', '{ '), ':', ' : ')
@@ -215,11 +225,20 @@ WITH x AS (
                            ELSE '[]' END AS expected
   FROM events)
 SELECT event_id,
-       coalesce(json(actual) = json(expected), false)
+       coalesce("""
+    + _jnorm("actual")
+    + " = "
+    + _jnorm("expected")
+    + """, false)
        OR (json_type(expected) = 'ARRAY' AND json_array_length(expected) > 0
-           AND coalesce(json(actual) = json(json_extract(expected, '$[0]')), false)) AS matched
+           AND coalesce("""
+    + _jnorm("actual")
+    + " = "
+    + _jnorm("json_extract(expected, '$[0]')")
+    + """, false)) AS matched
 FROM x
 """
+)
 
 
 @register("call_compare", CALL_SQL)

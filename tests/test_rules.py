@@ -66,7 +66,8 @@ def test_compare_ladder(spark):
 
 
 def test_call_result_match(spark):
-    rows = [("[1, 2]", "[1,2]", True), ("3", "[3, 4]", True), ("3", "[]", False), ('{"a": 1}', '{ "a" : 1 }', True), ("1", "2", False)]
+    rows = [("[1, 2]", "[1,2]", True), ("3", "[3, 4]", True), ("3", "[]", False), ('{"a": 1}', '{ "a" : 1 }', True), ("1", "2", False),
+            ('{"k": 69}', '{"k": 69.0}', True), ('{"k": 6.5}', '{"k": 6.50}', True)]
     df = spark.createDataFrame([(a, e) for a, e, _ in rows], "a string, e string")
     got = [r.m for r in df.select(cmp.call_result_match("a", "e").alias("m")).collect()]
     assert got == [x for _, _, x in rows]
