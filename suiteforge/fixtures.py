@@ -127,7 +127,7 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, response, text, lang, source, n_chars): model-like responses built from documents."""
     d = read_table(spark, sf_dir, "documents")
     tests = F.array(*_fx_tests(F.col("doc_id"), F.col("n_chars"), F.col("lang"), F.col("source")))
-    base = F.to_json(F.struct(F.substring("text", 1, 200).alias("question"), tests.alias("tests")))
+    base = F.to_json(F.struct(F.col("text").alias("question"), tests.alias("tests")))
     k = F.col("doc_id") % 6
     response = (
         F.when(k == 0, base)
@@ -184,7 +184,7 @@ def fx_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         F.split_part(F.col("id"), F.lit("_"), F.lit(1)).alias("source"),
         "key",
-        F.substring("text", 1, 120).alias("question"),
+        F.col("text").alias("question"),
         F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("")).otherwise(F.lit("def f(x):")).alias(
             "starter_code"
         ),
@@ -209,7 +209,7 @@ fx_turns AS (
          turn, text, (conv_id + turn) % 4 AS v
   FROM conversations WHERE role = 'assistant'),
 fx_problems AS (
-  SELECT id, split_part(id, '_', 1) AS source, key, left(text, 120) AS question,
+  SELECT id, split_part(id, '_', 1) AS source, key, text AS question,
          CASE key % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'def f(x):' END AS starter_code,
          CASE key % 3 WHEN 0 THEN NULL WHEN 1 THEN 'return ' || CAST(key AS VARCHAR)
               ELSE 'return ' || CAST(key AS VARCHAR) END AS unwrapped,

@@ -37,7 +37,7 @@ def _n(arr):
 
 SALVAGE_EXPECTED = f"""fx_expected AS (
   SELECT d.doc_id, d.doc_id % 6 AS k,
-         CASE d.doc_id % 6 WHEN 5 THEN 'Error in question generation' WHEN 4 THEN 'null' ELSE left(d.text, 200) END AS problem,
+         CASE d.doc_id % 6 WHEN 5 THEN 'Error in question generation' WHEN 4 THEN 'null' ELSE d.text END AS problem,
          CASE d.doc_id % 6 WHEN 5 THEN 'assert False' WHEN 4 THEN NULL
               WHEN 3 THEN t.t1 || '{TEST_SEP}' || t.t2
               ELSE t.t1 || '{TEST_SEP}' || t.t2 || '{TEST_SEP}' || t.t3 END AS tests_text,
@@ -260,16 +260,16 @@ def q_truncate_mid(spark, sf):
     """SELECT doc_id,
               CASE WHEN trim(left(text, 256), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE left(text, 256) END AS error,
               'Traceback (most recent call last):' || chr(10) || '  ' ||
-              CASE WHEN doc_id % 2 = 0 THEN 'File "<string>", line ' || CAST(doc_id AS VARCHAR) || chr(10) || left(text, 50)
-                   ELSE right(left(text, 50), 1) END AS traceback
+              CASE WHEN doc_id % 2 = 0 THEN 'File "<string>", line ' || CAST(doc_id AS VARCHAR) || chr(10) || text
+                   ELSE right(text, 1) END AS traceback
        FROM documents""",
 )
 def q_error_text(spark, sf):
     d = read_table(spark, sf, "documents")
     tb = F.when(
         F.col("doc_id") % 2 == 0,
-        F.concat(F.lit('junk\nFile "<string>", line '), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 50)),
-    ).otherwise(F.substring("text", 1, 50))
+        F.concat(F.lit('junk\nFile "<string>", line '), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")),
+    ).otherwise(F.col("text"))
     return d.select("doc_id", tx.error_text("text").alias("error"), tx.clean_traceback(tb).alias("traceback"))
 
 
