@@ -128,7 +128,7 @@ def _largest_group(cand: DataFrame) -> int:
 
 def _triple_of(outcomes: DataFrame, cand: DataFrame) -> DataFrame:
     biggest = _largest_group(cand)
-    pairs = pair_hamming(outcomes, cand, hot=biggest > PAIR_CHUNK)
+    pairs = pair_hamming(outcomes, cand, chunk=PAIR_CHUNK, hot=biggest > PAIR_CHUNK)
     return best_triple(pairs, prune=biggest > PRUNE_MIN)
 
 
