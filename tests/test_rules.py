@@ -183,3 +183,22 @@ def test_request_params(spark):
     got = [r.r for r in df.select(request_params(F.col("m"), F.col("t"), F.col("p"), F.col("n"), F.col("s")).alias("r")).collect()]
     assert (got[0].temperature, got[0].top_p, got[0].seed) == (None, None, None)
     assert (got[1].temperature, got[1].top_p, got[1].seed) == (0.7, 0.9, 5)
+
+
+def test_message_keys(spark):
+    import hashlib
+    import json
+
+    from suiteforge.functions.hashing import messages_key, messages_key_compat, text_key
+
+    rows = [([("user", "Hello"), ("assistant", "Hi!")],), ([("user", "Grüße")],)]
+    df = spark.createDataFrame(rows, "m array<struct<role:string, content:string>>")
+    got = df.select(messages_key("m").alias("a"), messages_key_compat("m").alias("b")).collect()
+    want = []
+    for (msgs,) in rows:
+        s = json.dumps([{"role": r, "content": c} for r, c in msgs], sort_keys=True, separators=(",", ":"))
+        want.append(hashlib.sha256(s.encode("utf-8")).hexdigest())
+    assert got[0].a == want[0] and got[0].b == want[0]  # ASCII: both paths agree
+    assert got[1].b == want[1]  # non-ASCII: the compat helper reproduces the escaping
+    t = spark.createDataFrame([("abc",)], "s string").select(text_key("s").alias("h")).first().h
+    assert t == hashlib.sha256(b"abc").hexdigest()
