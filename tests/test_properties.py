@@ -148,3 +148,24 @@ def test_expand_join_salted_equals_plain(spark):
     plain = sorted(map(tuple, oc.expand_join(sols, tests, ["problem_id"], "solution_id", 10**6).collect()))
     salted = sorted(map(tuple, oc.expand_join(sols, tests, ["problem_id"], "solution_id", 3).select("problem_id", "solution_id", "test_id").collect()))
     assert plain == sorted((p, s, t) for p, s, t in plain) and [tuple(x) for x in plain] == salted
+
+
+def test_approx_percentiles_close(spark):
+    rates = oc.solution_pass_rate(fx_outcomes(spark, SF_SMALL))
+    exact = {r.percentile: r.value for r in st.stats_percentiles(rates).collect()}
+    approx = {r.percentile: r.value for r in st.stats_percentiles(rates, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(exact[k] - approx[k]) <= 0.1 for k in exact)
+
+
+def test_shard_ranges_contiguous(spark):
+    from suiteforge.operators.sampling import shard_ranges
+
+    df = spark.range(103).withColumnRenamed("id", "k")
+    rows = sorted((r.k, r.shard) for r in shard_ranges(df, ["k"], 4).collect())
+    per = {}
+    for k, s in rows:
+        per.setdefault(s, []).append(k)
+    assert sorted(per) == [0, 1, 2, 3]
+    assert [len(per[s]) for s in range(4)] == [26, 26, 26, 25]
+    assert all(max(per[s]) < min(per[s + 1]) for s in range(3))
