@@ -202,3 +202,12 @@ def test_message_keys(spark):
     assert got[1].b == want[1]  # non-ASCII: the compat helper reproduces the escaping
     t = spark.createDataFrame([("abc",)], "s string").select(text_key("s").alias("h")).first().h
     assert t == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_line_guard_boundary(spark):
+    body = "```python\nx = 1\n```"
+    at_limit = body + "\n" * (500 - 3)  # 500 lines: extraction applies
+    over = body + "\n" * (501 - 3)  # 501 lines: raw text is kept
+    df = spark.createDataFrame([(at_limit,), (over,)], "s string")
+    got = [r.g for r in df.select(tx.guarded_code("s").alias("g")).collect()]
+    assert got == ["\nx = 1\n", over]
