@@ -29,16 +29,49 @@ def fanout(solutions: DataFrame, tests: DataFrame) -> DataFrame:
     return solutions.join(tests, P)
 
 
-def evaluate_with(cells: DataFrame, fn: EvaluatorFn, schema: str = OUTCOME_SCHEMA, partitions: int | None = None) -> DataFrame:
+def partition_keys(spark, n: int) -> DataFrame:
+    """(bucket, key): for each partition index 0..n-1 an integer whose ``hash()``
+    lands in that partition under ``repartition(n, key)``.  Found among the
+    first 64n integers; the table has n rows (a bound fixed by n)."""
+    cand = spark.range(64 * n).select(F.col("id").alias("key"), F.pmod(F.hash(F.col("id")), F.lit(n)).alias("bucket"))
+    return cand.groupBy("bucket").agg(F.min("key").alias("key"))
+
+
+def cost_spread(cells: DataFrame, cost: str, n: int, group: tuple[str, ...] = (P, S)) -> DataFrame:
+    """Spread evaluation work so every partition gets a similar total cost.
+
+    Groups (one solution's cells by default) are ordered by cost, largest
+    first, and dealt round-robin into n buckets (positions come from the
+    two-phase row numbering, not a single-partition window); bucket i goes to
+    partition i through a key from :func:`partition_keys`.
+    """
+    from .sampling import row_index
+
+    g = cells.groupBy(*group).agg(F.sum(cost).alias("_cost"))
+    ranked = row_index(g.withColumn("_neg", -F.col("_cost")), ["_neg", *group], "_pos")
+    buckets = ranked.select(*group, F.pmod(F.col("_pos"), F.lit(n)).cast("long").alias("bucket"))
+    keyed = buckets.join(F.broadcast(partition_keys(cells.sparkSession, n)), "bucket")
+    return cells.join(keyed.select(*group, "key"), list(group)).repartition(n, "key").drop("key")
+
+
+def evaluate_with(
+    cells: DataFrame,
+    fn: EvaluatorFn,
+    schema: str = OUTCOME_SCHEMA,
+    partitions: int | None = None,
+    cost: str | None = None,
+) -> DataFrame:
     """Run a user evaluator over (problem, solution, test) cells.
 
     Cells are spread by (problem, solution) so one solution's tests run
-    together and a slow problem is split over many tasks.  A batch whose
-    evaluator raises yields no rows; :func:`complete_grid` then marks those
-    cells ``unexecuted`` (D25/D26), so one bad row never aborts the job.
+    together and a slow problem is split over many tasks; with a ``cost``
+    column (e.g. expected run time) they are spread by total cost instead
+    (:func:`cost_spread`).  A batch whose evaluator raises yields no rows;
+    :func:`complete_grid` then marks those cells ``unexecuted`` (D25/D26), so
+    one bad row never aborts the job.
     """
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cells.repartition(n, P, S)
+    spread = cost_spread(cells, cost, n) if cost else cells.repartition(n, P, S)
     cols = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -94,3 +94,39 @@ def test_row_failure_default(spark):
     scores = spark.createDataFrame([(1, 0.5, [True, False])], "item long, score double, test_pass array<boolean>")
     got = {r.item: (r.score, r.test_pass, r.defaulted) for r in oc.row_failure_default(items, scores, ["item"]).collect()}
     assert got == {1: (0.5, [True, False], False), 2: (0.0, [False], True)}
+
+
+def test_cost_spread_balances(spark):
+    from suiteforge.operators.evaluate import cost_spread, partition_keys
+
+    keys = partition_keys(spark, 8).collect()
+    assert sorted(r.bucket for r in keys) == list(range(8))
+    # skewed costs: solution s of each problem costs s**2
+    cells = spark.createDataFrame(
+        [(p, s, t, float(s * s)) for p in range(20) for s in range(16) for t in range(2)],
+        "problem_id long, solution_id long, test_id long, cost double",
+    )
+    spread = cost_spread(cells, "cost", 8)
+    per = {r.pid: r.c for r in spread.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum("cost").alias("c")).collect()}
+    assert len(per) == 8
+    assert max(per.values()) <= 1.2 * min(per.values())
+    # every solution's cells stay together
+    owners = spread.withColumn("pid", F.spark_partition_id()).groupBy("problem_id", "solution_id").agg(F.countDistinct("pid").alias("k"))
+    assert owners.where("k > 1").count() == 0
+    assert spread.count() == cells.count()
+
+
+def test_evaluate_with_cost_same_results(spark):
+    def ok(b):
+        good = (b["solution_id"] + b["test_id"]) % 3 != 0
+        return pd.DataFrame({"problem_id": b["problem_id"], "solution_id": b["solution_id"], "test_id": b["test_id"],
+                             "pass": good, "reason": good.map({True: "pass", False: "fail"}),
+                             "error_message": None, "time_limit": 1.0})
+
+    cells = spark.createDataFrame(
+        [(p, s, t, float(s + 1)) for p in range(5) for s in range(6) for t in range(4)],
+        "problem_id long, solution_id long, test_id long, cost double",
+    )
+    a = sorted(map(tuple, ev.evaluate_with(cells, ok).collect()))
+    b = sorted(map(tuple, ev.evaluate_with(cells, ok, cost="cost").collect()))
+    assert a == b and len(a) == 120
