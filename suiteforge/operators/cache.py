@@ -99,17 +99,25 @@ def generate_with(
     prompt: str = "prompt",
     key: str = "hash_id",
     retry_errors: bool = True,
+    cost: str | None = None,
 ) -> DataFrame:
     """Run a user generator on pending prompts only, once per distinct hash.
 
     ``fn`` receives a pandas batch with ``hash_id`` and ``prompt`` and returns
     ``hash_id`` and ``response`` (failures as ``ERROR: ...`` text, which are
     cached like answers).  Returns the new cache rows (append them to the
-    cache table); rows are spread by hash so slow prompts do not pile up.
+    cache table); rows are spread by hash so slow prompts do not pile up, or
+    by total ``cost`` (a column of ``items``, e.g. the prompt length).
     """
-    todo = pending(items, cache, key, retry_errors).select(key, prompt).dropDuplicates([key])
+    cols = [key, prompt] + ([cost] if cost else [])
+    todo = pending(items, cache, key, retry_errors).select(*cols).dropDuplicates([key])
     n = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = todo.repartition(n, key)
+    if cost:
+        from .evaluate import cost_spread
+
+        todo = cost_spread(todo, cost, n, group=(key,))
+    else:
+        todo = todo.repartition(n, key)
     next_seq = cache.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).select("s").scalar()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -130,3 +130,11 @@ def test_evaluate_with_cost_same_results(spark):
     a = sorted(map(tuple, ev.evaluate_with(cells, ok).collect()))
     b = sorted(map(tuple, ev.evaluate_with(cells, ok, cost="cost").collect()))
     assert a == b and len(a) == 120
+
+
+def test_generate_with_cost_spread(spark):
+    items = _items(spark).withColumn("plen", F.length("prompt").cast("double"))
+    empty = spark.createDataFrame([], "hash_id string, response string, seq long")
+    a = sorted(map(tuple, ca.generate_with(items, empty, _gen).collect()))
+    b = sorted(map(tuple, ca.generate_with(items, empty, _gen, cost="plen").collect()))
+    assert a == b and len(a) == items.select("hash_id").distinct().count()
