@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from suiteforge.llm import decontam, pfair, quality, toxicity
+from suiteforge.llm import decontam, neardup, pfair, quality, toxicity
 from suiteforge.llm.common import stored
 from suiteforge.session import read_table
 
@@ -25,6 +25,11 @@ def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.reject(docs, quality.fit(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: the one with the smallest id."""
+    return neardup.keep_one(docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out of the texts."""
     return decontam.remove(docs, read_table(spark, sf_dir, "benchmark"))
@@ -35,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.mix(docs)
 
 
-STAGES = [("toxicity", toxic), ("quality", low_quality), ("decontaminate", leaks), ("mix", mix)]
+STAGES = [("toxicity", toxic), ("quality", low_quality), ("near duplicates", near_duplicates), ("decontaminate", leaks), ("mix", mix)]
 
 #: Fitted models cannot be written in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, pfair, quality, toxicity
+from . import decontam, neardup, pfair, quality, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs)).withColumn("keep", F.col("score") >= 0.5)
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest document id of its near-duplicate class and the size of that class."""
+    found = neardup.classes(read_table(spark, sf_dir, "documents"))
+    sizes = found.groupBy("class_node").agg(F.count(F.lit(1)).alias("class_size"))
+    return found.join(sizes, "class_node").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("keep"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document, learnt from the labelled rows outside fold 0 of 5."""
