@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, neardup, pfair, quality, toxicity
+from . import decontam, langid, neardup, pfair, prefix_tokens, quality, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,24 @@ FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: File of the public vocabulary of op4 and op7, and the token limit of op4.
+VOCABULARY = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by prefix dynamic programming, and the longest prefix within the limit."""
+    counted = prefix_tokens.token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_chars_within")
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mix of the sources, weights in proportion to the root of their sizes."""
@@ -59,6 +77,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op6_mix_sources"] = pfair.MIX_SQL
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from the labelled documents outside fold 1 of 3."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, vocabulary_path(), fold("doc_id", 3) != 1)
+    found = langid.predict(docs, model, vocabulary_path())
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-label quality of every document: posterior of its votes, scorer's probability, and whether it stays."""
