@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, langid, neardup, pfair, prefix_tokens, quality, toxicity
+from . import decontam, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_chars_within")
 
 
+@query
+def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text, and its likeness to its edited form and to the next document."""
+    return lz_fingerprint.against_next(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mix of the sources, weights in proportion to the root of their sizes."""
