@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity
+from . import decontam, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of the response of every page."""
+    return warc.derivatives(warc.responses_of_pages(read_table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
+ORACLE["op1_warc_derivatives"] = warc.derivatives_sql()
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark phrases of ten words in every whole document, by FM-index."""
