@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity, warc
+from . import decontam, gru_lm, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,13 @@ FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under the recurrent model and the unigram base, learnt outside fold 0 of 10."""
+    found = gru_lm.score(read_table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return found.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: File of the public vocabulary of op4 and op7, and the token limit of op4.
 VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
