@@ -84,11 +84,12 @@ def mix(
     ``weights`` (source, weight > 0) states the targets; without it a source
     of n rows gets a weight in proportion to n ** ``power``.
     """
-    columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")]
-    kinds = dict(docs.dtypes)
-    hashed = [F.col(f"`{c}`") for c in columns if not kinds[c].startswith(("map", "variant"))]
+    results = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+    columns = [f"`{c}`" for c in docs.columns if c not in results]
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if f"`{c}`" in columns and not kind.startswith(("map", "variant"))]
     draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], source_key(F.col(source_col)).alias("_mix_key"), draw.alias("_mix_draw"))
+    # the given columns travel in a struct, out of the way of the working columns
+    keyed = docs.select(F.struct(*columns).alias("_mix_given"), source_key(F.col(source_col)).alias("_mix_key"), draw.alias("_mix_draw"), F.xxhash64(*hashed).alias("_mix_tie"))
     keyed = keyed.withColumn("_mix_bucket", F.substring("_mix_draw", 1, digits))
     counts = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,13 +101,13 @@ def mix(
         target = counts.select(F.col("_mix_key").alias("key")).distinct().join(given, "key", "left").fillna({"weight": 1})
     plan = schedule(target, period).withColumnRenamed("key", "_mix_key")
 
-    place = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_draw", id_col, F.xxhash64(*hashed))
+    place = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_draw", F.col(f"_mix_given.`{id_col}`"), "_mix_tie")
     ranked = keyed.withColumn("_mix_row", F.row_number().over(place)).join(offsets, ["_mix_key", "_mix_bucket"])
     # one row per source, its slots of one period: bounded by the period
     rows = ranked.withColumn("_mix_row", F.col("_mix_row") + F.col("_mix_offset") - 1).join(F.broadcast(plan), "_mix_key")
     block = F.expr(f"_mix_row div {block_rows}")
     return rows.withColumn("mix_block", block.cast("long")).select(
-        *[F.col(f"`{c}`") for c in columns],
+        *[F.col(f"_mix_given.{c}") for c in columns],
         "mix_block",
         F.expr("(mix_block div parts) * period + slots[cast(mix_block % parts as int)]").cast("long").alias("mix_slot"),
         F.expr("(mix_block * period) div parts").cast("long").alias("mix_release"),
