@@ -83,7 +83,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[:-width] = rank[width:] + 1
-        key = rank * (n + 2 + len(symbols)) + ahead if width < n else rank
+        key = rank * (int(rank.max()) + 2) + ahead
         order = np.argsort(key, kind="stable")
         fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         rank = np.empty(n, np.int64)

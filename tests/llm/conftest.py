@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+SF_SMALL, SF_MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 OPS = (
     "op1_warc_derivatives op2_decontaminate op3_lm_score op4_token_counts op5_lz_fingerprints op6_mix_sources op7_language "
     "op8_quality op9_near_duplicates op10_toxicity"
