@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 from .text import py_strip, split_lines
 
 # fixed values: tolerance of the numeric rung (numpy.allclose defaults)
@@ -29,34 +28,21 @@ def int_like(s: Column | str) -> Column:
     return F.coalesce(_c(s).rlike("^[0-9]+$"), F.lit(False))
 
 
-def compare_rung(actual: Column | str, expected: Column | str) -> Column:
-    """The first matching rung for program output vs expected output."""
-    a, e = _c(actual), _c(expected)
-    out = split_lines(a)
-    joined = F.array_join(out, "\n")
-    joined_stripped = F.array_join(F.transform(out, py_strip), "\n")
-    e_lines = F.transform(F.filter(F.split(e, "\n", -1), lambda x: F.length(x) > 0), py_strip)
-    out_nb = F.filter(out, lambda x: F.length(x) > 0)
-    same_len = F.size(out_nb) == F.size(e_lines)
-    pairs = F.arrays_zip(out_nb.alias("o"), e_lines.alias("g"))
-    all_ints = F.forall(pairs, lambda p: int_like(p["o"]) & int_like(p["g"]))
-    all_num = F.forall(
-        pairs, lambda p: p["o"].try_cast("double").isNotNull() & p["g"].try_cast("double").isNotNull()
-    )
-    close = F.forall(
-        pairs,
-        lambda p: F.abs(p["o"].try_cast("double") - p["g"].try_cast("double"))
-        <= F.lit(ATOL) + F.lit(RTOL) * F.abs(p["g"].try_cast("double")),
-    )
-    return (
-        F.when(py_strip(joined) == py_strip(e), F.lit("exact"))
-        .when(py_strip(joined_stripped) == py_strip(e), F.lit("line_strip"))
-        .when(out == F.array(e), F.lit("exact"))
-        .when(out == e_lines, F.lit("line_strip"))
-        .when(out_nb == e_lines, F.lit("blank_drop"))
-        .when(same_len & ~all_ints & all_num & close, F.lit("numeric"))
-        .otherwise(F.lit("none"))
-    )
+# fixed values: what counts as a number in program output (no type suffixes), and an infinity
+FINITE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INFINITE = r"(?i)^[+-]?inf(inity)?$"
+
+
+def _number(s: Column) -> Column:
+    """The number a stripped line stands for, null for anything else (``nan`` too: it is close to nothing)."""
+    s = py_strip(s)
+    return F.when(s.rlike(FINITE), s.try_cast("double")).when(s.rlike(INFINITE), F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+
+
+def _close(a: Column, b: Column) -> Column:
+    """``abs(a - b) <= ATOL + RTOL * abs(b)``; an infinity is close to the same infinity only."""
+    infinite = F.abs(a).isin(float("inf")) | F.abs(b).isin(float("inf"))
+    return F.when(infinite, a == b).otherwise(F.abs(a - b) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(b))
 
 
 def canonical_json(s: Column | str) -> Column:
@@ -100,38 +86,34 @@ def test_kind(tests_json: Column | str) -> Column:
     return F.when(first == "[", F.lit("assert")).when(first == "{", F.lit("io"))
 
 
-def partial_score(passes: Column | str, cap: int = 10) -> Column:
-    """H28 (intended rule) over an array of per-test booleans in test order:
-    1.0 when every test passes, else the pass fraction of the first ``cap`` tests."""
-    p = _c(passes)
-    head = F.slice(p, 1, cap)
-    frac = F.aggregate(head, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.greatest(F.size(head), F.lit(1))
-    return F.when(F.forall(p, lambda x: x), F.lit(1.0)).otherwise(frac)
-
-
 def compare_outputs(df: DataFrame, actual: str, expected: str, out: str = "rung") -> DataFrame:
     """H21 on a DataFrame, staged: the line arrays are computed once per row in
-    their own projection and every rung reads them (same rules as
-    :func:`compare_rung`)."""
-    d = spread(df).withColumn("_out", split_lines(actual)).withColumn(
-        "_el", F.transform(F.filter(F.split(F.col(expected), "\n", -1), lambda x: F.length(x) > 0), py_strip)
+    their own projection and every rung reads them.
+
+    ``expected`` is the expected text, or an array of expected lines.
+    """
+    listed = dict(df.dtypes)[expected].startswith("array")
+    e_text = F.array_join(expected, "\n") if listed else F.col(expected)
+    e_lines = F.col(expected) if listed else F.split(F.col(expected), "\n", -1)
+    d = df.withColumn("_out", split_lines(actual)).withColumn(
+        "_el", F.transform(F.filter(e_lines, lambda x: F.length(x) > 0), py_strip)
     )
-    d = d.withColumn("_nb", F.filter("_out", lambda x: F.length(x) > 0)).withColumn("_es", py_strip(expected))
+    d = d.withColumn("_nb", F.filter("_out", lambda x: F.length(x) > 0)).withColumn("_es", py_strip(e_text))
     pairs = F.arrays_zip(F.col("_nb").alias("o"), F.col("_el").alias("g"))
     d = d.withColumn("_pairs", F.when(F.size("_nb") == F.size("_el"), pairs))
     num = F.transform("_pairs", lambda p: F.struct(
         (int_like(p["o"]) & int_like(p["g"])).alias("ints"),
-        p["o"].try_cast("double").alias("a"),
-        p["g"].try_cast("double").alias("b"),
+        _number(p["o"]).alias("a"),
+        _number(p["g"]).alias("b"),
     ))
     d = d.withColumn("_num", num)
     all_ints = F.forall("_num", lambda x: x["ints"])
     all_num = F.forall("_num", lambda x: x["a"].isNotNull() & x["b"].isNotNull())
-    close = F.forall("_num", lambda x: F.abs(x["a"] - x["b"]) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(x["b"]))
+    close = F.forall("_num", lambda x: _close(x["a"], x["b"]))
     rung = (
         F.when(py_strip(F.array_join("_out", "\n")) == F.col("_es"), F.lit("exact"))
         .when(py_strip(F.array_join(F.transform("_out", py_strip), "\n")) == F.col("_es"), F.lit("line_strip"))
-        .when(F.col("_out") == F.array(F.col(expected)), F.lit("exact"))
+        .when(F.col("_out") == (F.col(expected) if listed else F.array(F.col(expected))), F.lit("exact"))
         .when(F.col("_out") == F.col("_el"), F.lit("line_strip"))
         .when(F.col("_nb") == F.col("_el"), F.lit("blank_drop"))
         .when(F.col("_num").isNotNull() & ~all_ints & all_num & close, F.lit("numeric"))

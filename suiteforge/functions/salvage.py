@@ -14,8 +14,10 @@ error question / sentinel tests; a non-string question is JSON-encoded, so a
 null question becomes ``"null"``.
 
 Spark plan: ``try_parse_json`` (variant) for step 3; when it fails, one
-possessive regex picks the run of complete literals after ``"tests": [`` and
-``from_json`` unescapes them.  The possessive form matters: a backtracking
+possessive regex, anchored at the object's start, passes the complete members
+and picks the run of complete valid literals after ``"tests": [``;
+``from_json`` unescapes them.  Prose around unfenced JSON, or a broken member
+before the tests, leaves nothing to salvage.  The possessive form matters: a backtracking
 literal pattern overflows the JVM stack on very long literals.
 """
 
@@ -24,16 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 from .text import FENCE, after_first, py_strip
 
 # fixed values
 ERROR_QUESTION = "Error in question generation"
 ERROR_TESTS = ["assert False"]
 
-LIT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-TESTS_RUN = r'(?s)"tests"\s*:\s*\[\s*((?:' + LIT + r'\s*,?\s*)*+)'
-QUESTION_LIT = r'(?s)^\s*\{\s*"question"\s*:\s*(' + LIT + r')'
+# a valid JSON string literal: no raw control characters, only the escapes JSON knows
+LIT = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+# complete members of the object before its tests: literals, numbers and words
+SCALAR = r'(?:' + LIT + r'|-?[0-9][0-9.eE+-]*+|true|false|null)'
+MEMBERS = r'(?:' + LIT + r'\s*:\s*' + SCALAR + r'\s*,\s*)*'
+TESTS_RUN = r'(?s)^\s*\{\s*' + MEMBERS + r'"tests"\s*:\s*\[\s*((?:' + LIT + r'\s*(?:,\s*|(?=\])|$|(?=[^,\s])))*+)'
+QUESTION_LIT = r'(?s)^\s*\{\s*' + MEMBERS + r'?"question"\s*:\s*(' + LIT + r')'
 
 
 def json_region(s: Column) -> Column:
@@ -55,7 +60,7 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
     fallback are computed once per row and reused by every rule below.
     """
     s = F.col(text)
-    d = spread(df).withColumn("_region", json_region(s))
+    d = df.withColumn("_region", json_region(s))
     d = d.withColumn("_v", F.try_parse_json("_region"))
     v = F.col("_v")
     d = d.withColumn(
@@ -75,7 +80,7 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
         F.when(
             v.isNull() & s.isNotNull(),
             F.struct(
-                F.col("_region").rlike(r'(?s)"tests"\s*:\s*\[').alias("has_run"),
+                F.col("_region").rlike(r'(?s)^\s*\{\s*' + MEMBERS + r'"tests"\s*:\s*\[').alias("has_run"),
                 F.regexp_replace(F.regexp_extract("_region", TESTS_RUN, 1), r",\s*$", "").alias("run"),
                 F.regexp_extract("_region", QUESTION_LIT, 1).alias("qlit"),
             ),
@@ -102,11 +107,17 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
         .otherwise(fb_tests)
     )
     # The result comes out of a one-row generator: a later filter on it cannot be
-    # pushed below the generator, so the parse runs once and after the spread.
+    # pushed below the generator, so the parse runs once.
     keep = [c for c in d.columns if c not in ("_region", "_v", "_p", "_f")]
     return d.select(*keep, F.inline(F.array(F.struct(out_problem.alias(problem), out_tests.alias(tests)))))
 
 
+def fill_sentinel(tests: Column | str) -> Column:
+    """The sentinel tests where there are none (null or an empty list)."""
+    t = F.col(tests) if isinstance(tests, str) else tests
+    return F.when(t.isNull() | (F.size(t) == 0), F.array(*[F.lit(x) for x in ERROR_TESTS])).otherwise(t)
+
+
 def is_valid_response(response: Column, tests: Column) -> Column:
     """Response non-empty and not the error text; tests non-empty and not the sentinel."""
     sentinel = F.array(*[F.lit(t) for t in ERROR_TESTS])
@@ -120,4 +131,4 @@ def is_valid_response(response: Column, tests: Column) -> Column:
     )
 
 
-__all__ = ["ERROR_QUESTION", "ERROR_TESTS", "parse_responses", "is_valid_response"]
+__all__ = ["ERROR_QUESTION", "ERROR_TESTS", "parse_responses", "fill_sentinel", "is_valid_response"]

@@ -226,11 +226,11 @@ TRACE_FILE = 'File "<string>"'
 
 
 def clean_traceback(s: Column | str) -> Column:
-    """Keep the traceback from ``File "<string>"`` under a fresh header; when the
-    marker is missing only the last character follows the header (as the reference)."""
+    """Keep the traceback from ``File "<string>"`` under a fresh header; without the
+    marker the whole text follows the header."""
     s = _c(s)
     pos = F.locate(TRACE_FILE, s)
-    body = F.when(pos > 0, s.substr(pos, F.lit(2147483647))).otherwise(F.substring(s, -1, 1))
+    body = F.when(pos > 0, s.substr(pos, F.lit(2147483647))).otherwise(s)
     return F.concat(F.lit(TRACE_HEAD), body)
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # fixed values: error texts stored by failed calls start with this prefix
 ERROR_PREFIX = "ERROR:"
 ERROR_CLASSES = [  # (class, prefix) checked in order
@@ -32,13 +34,13 @@ def error_class(response: Column | str) -> Column:
     return out.otherwise(F.lit("other"))
 
 
-def latest_responses(cache: DataFrame, key: str = "hash_id", seq: str = "seq") -> DataFrame:
+def latest_responses(cache: DataFrame, key: str = "hash_id", seq: str = "seq", response: str = "response") -> DataFrame:
     """Last write wins per key (highest ``seq``; ties broken by the response text).
 
     A map-side-combined ``max_by`` -- a hot key never gathers its rows in one task.
     """
     cols = [c for c in cache.columns if c != key]
-    best = F.max_by(F.struct(*cols), F.struct(F.col(seq), F.col("response")))
+    best = F.max_by(F.struct(*cols), F.struct(F.col(seq), F.col(response)))
     return cache.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -125,5 +127,6 @@ def generate_with(
             out = fn(b[[key, prompt]])
             yield out[[key, "response"]]
 
-    new = todo.mapInPandas(run, schema=f"{key} string, response string")
+    # stored before it is returned: writing the rows and joining them must not call the model twice
+    new = cut_lineage(todo.mapInPandas(run, schema=f"{key} string, response string"))
     return new.withColumn("seq", (next_seq + 1).cast("long"))

@@ -2,9 +2,10 @@
 test-kind routing and in/out partial scores.
 
 The code sandbox itself is not part of this library: users pass an evaluator
-``fn(pandas batch) -> pandas batch`` and Spark runs it with ``mapInPandas``
-over Arrow batches.  Everything around it -- which cells to run, defaults for
-failed rows, roll-ups -- is joins and aggregates.
+``fn(pandas frame) -> pandas frame`` that gets one solution with its whole
+suite, in test order, and returns the outcomes of the tests it ran.  Everything
+around it -- which cells to run, defaults for failed units, roll-ups -- is joins
+and aggregates.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compare import test_kind
-from .outcomes import P, S, T, complete_grid
+from ..session import cut_lineage
+from .outcomes import GRID_CHUNK, P, S, T, complete_grid, expand_join
 from .suites import reindex_tests
 
 OUTCOME_SCHEMA = "problem_id long, solution_id long, test_id long, pass boolean, reason string, error_message string, time_limit double"
@@ -25,8 +27,12 @@ EvaluatorFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def fanout(solutions: DataFrame, tests: DataFrame) -> DataFrame:
-    """Every solution with every test of its problem, keyed (no positional re-assembly)."""
-    return solutions.join(tests, P)
+    """Every solution with every test of its problem, keyed (no positional re-assembly).
+
+    Problems with many solutions are cut into slices, so a hot problem's cells
+    are many tasks' work.
+    """
+    return expand_join(solutions, tests, [P], S, GRID_CHUNK)
 
 
 def partition_keys(spark, n: int) -> DataFrame:
@@ -50,10 +56,30 @@ def cost_spread(cells: DataFrame, cost: str, n: int, group: tuple[str, ...] = (P
     g = cells.groupBy(*group).agg(F.sum(cost).alias("_cost"))
     ranked = row_index(g.withColumn("_neg", -F.col("_cost")), ["_neg", *group], "_pos")
     buckets = ranked.select(*group, F.pmod(F.col("_pos"), F.lit(n)).cast("long").alias("bucket"))
-    keyed = buckets.join(F.broadcast(partition_keys(cells.sparkSession, n)), "bucket")
+    keyed = buckets.join(F.broadcast(partition_keys(cells.sparkSession, n)), "bucket", "left")
+    # a bucket without a key would lose its cells: stop instead
+    missing = F.raise_error(F.concat(F.lit("no partition key for bucket "), F.col("bucket").cast("string"))).cast("long")
+    keyed = keyed.withColumn("key", F.coalesce("key", missing))
     return cells.join(keyed.select(*group, "key"), list(group)).repartition(n, "key").drop("key")
 
 
+def _units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Regroups rows that follow each other by key into one frame per key, across batch borders."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for b in batches:
+        change = (b[keys] != b[keys].shift()).any(axis=1)
+        for _, part in b.groupby(change.cumsum(), sort=False):
+            key = tuple(part[keys].iloc[0])
+            if held and key != last:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+            last = key
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def evaluate_with(
     cells: DataFrame,
     fn: EvaluatorFn,
@@ -63,26 +89,29 @@ def evaluate_with(
 ) -> DataFrame:
     """Run a user evaluator over (problem, solution, test) cells.
 
-    Cells are spread by (problem, solution) so one solution's tests run
-    together and a slow problem is split over many tasks; with a ``cost``
-    column (e.g. expected run time) they are spread by total cost instead
-    (:func:`cost_spread`).  A batch whose evaluator raises yields no rows;
-    :func:`complete_grid` then marks those cells ``unexecuted`` (D25/D26), so
-    one bad row never aborts the job.
+    ``fn`` is called once per (problem, solution) with all its cells in test
+    order, whatever the Arrow batch size.  Solutions are spread over tasks by
+    key, or with a ``cost`` column (e.g. expected run time) by total cost
+    (:func:`cost_spread`).  When ``fn`` raises, the unit's cells come out as
+    failed ``unexecuted`` rows with the error as message; cells that ``fn``
+    leaves out are marked by :func:`complete_grid` (D25/D26).  Keys are not null.
     """
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = cost_spread(cells, cost, n) if cost else cells.repartition(n, P, S)
     cols = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for unit in _units(batches, [P, S]):
             try:
-                out = fn(b)
-            except Exception:  # noqa: BLE001 - a failed batch becomes unexecuted cells
-                continue
-            yield out[cols]
+                out = fn(unit)[cols]
+            except Exception as e:  # noqa: BLE001 - one failed unit never aborts the job
+                out = pd.DataFrame({c: unit[c] if c in (P, S, T) else [None] * len(unit) for c in cols})
+                for c, value in (("pass", False), ("reason", "unexecuted"), ("error_message", f"{type(e).__name__}: {e}")):
+                    if c in cols:
+                        out[c] = value
+            yield out
 
-    return spread.mapInPandas(run, schema=schema)
+    return spread.sortWithinPartitions(P, S, T).mapInPandas(run, schema=schema)
 
 
 def evaluate_grid(solutions: DataFrame, tests: DataFrame, fn: EvaluatorFn) -> DataFrame:
@@ -94,7 +123,9 @@ def evaluate_grid(solutions: DataFrame, tests: DataFrame, fn: EvaluatorFn) -> Da
 
 def retry_syntax_errors(first: DataFrame, raw_cells: DataFrame, fn: EvaluatorFn) -> DataFrame:
     """Cells whose extracted code had a ``syntax_error`` are run again on the raw
-    text; the second result replaces the first only for those cells."""
+    text; the second result replaces the first only for those cells.  ``first`` is
+    cut from its lineage, so the evaluator behind it runs once."""
+    first = cut_lineage(first)
     bad = first.where(F.col("reason") == "syntax_error").select(P, S).distinct()
     second = evaluate_with(raw_cells.join(bad, [P, S], "left_semi"), fn)
     keep = first.join(bad, [P, S], "left_anti")

@@ -11,6 +11,8 @@ which keep k rows per task before the final merge.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +54,12 @@ def group_row_index(df: DataFrame, group: list[str], order: list[str], name: str
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = Window.partitionBy("_pid", *group).orderBy(*order)
+    # null is a group of its own
+    on = reduce(lambda a, b: a & b, [r[c].eqNullSafe(offsets[c]) for c in [*group, "_pid"]])
     return (
         r.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*group, "_pid"])
+        .join(offsets, on)
+        .drop(*[offsets[c] for c in [*group, "_pid"]])
         .withColumn(name, (F.col("_off") + F.col("_local") - 1).cast("long"))
         .drop("_pid", "_local", "_off")
     )
@@ -92,13 +97,19 @@ def shard_ranges(df: DataFrame, order: list[str], shards: int, out: str = "shard
     return r.withColumn(out, F.floor(F.col("_i") / per).cast("long")).drop("_i")
 
 
-def stratified_head(df: DataFrame, subset_col: str, subsets: list[str], order: str, n: int) -> DataFrame:
+def stratified_head(df: DataFrame, subset_col: str, subsets: list[str], order: str, n: int, allow_unlisted: bool = False) -> DataFrame:
     """``n`` rows spread over the listed subsets in order; the first ``n % m`` subsets
     get one more; a subset smaller than its quota gives all its rows.
 
     One top-k plan per subset: each task keeps at most the quota, never a whole subset.
+    Subsets that the data has but the list has not raise an error, unless
+    ``allow_unlisted`` says that they are left out on purpose.
     """
     m = len(subsets)
+    if not allow_unlisted:
+        other = df.where(F.col(subset_col).isNull() | ~F.col(subset_col).isin(subsets)).select(subset_col).distinct().limit(5).collect()
+        if other:
+            raise ValueError(f"subsets not listed: {sorted(str(r[0]) for r in other)}")
     out = None
     for i, name in enumerate(subsets):
         quota = n // m + (1 if i < n % m else 0)

@@ -274,27 +274,22 @@ def stats_timeouts(details: DataFrame) -> DataFrame:
 def stats_time_limits(details: DataFrame) -> DataFrame:
     """Distribution of distinct time limits, with the overall mean / std / min / max.
 
-    Everything is derived from the (small) table of distinct limits and their
-    counts, so the summary needs no second pass over the results.
+    The summary numbers are scalar subqueries over the distribution; no window
+    gathers all limits in one task.
     """
     d = normalize_details(details).where(F.col("time_limit").isNotNull())
     dist = d.groupBy("time_limit").agg(F.count(F.lit(1)).alias("n"))
-    allw = Window.partitionBy(F.lit(0))
-    n_all = F.sum("n").over(allw)
-    mean = F.sum(F.col("time_limit") * F.col("n")).over(allw) / n_all
-    return (
-        dist.withColumn("_n_all", n_all)
-        .withColumn("_mean", mean)
-        .withColumn("_var", F.sum(F.col("n") * (F.col("time_limit") - F.col("_mean")) ** 2).over(allw) / F.col("_n_all"))
-        .select(
-            "time_limit",
-            "n",
-            _r(F.col("n") / F.col("_n_all") * 100, "pct"),
-            _r("_mean", "mean"),
-            _r(F.sqrt("_var"), "std"),
-            _r(F.min("time_limit").over(allw), "min"),
-            _r(F.max("time_limit").over(allw), "max"),
-        )
+    n, x = F.col("n"), F.col("time_limit")
+    whole = dist.agg(F.struct(F.sum(n).alias("n"), (F.sum(x * n) / F.sum(n)).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))).scalar()
+    var = dist.agg(F.sum(n * (x - whole["mean"]) ** 2) / F.sum(n)).scalar()
+    return dist.select(
+        "time_limit",
+        "n",
+        _r(n / whole["n"] * 100, "pct"),
+        _r(whole["mean"], "mean"),
+        _r(F.sqrt(var), "std"),
+        _r(whole["min"], "min"),
+        _r(whole["max"], "max"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round6
+from ..session import cut_lineage
 from .outcomes import P, S, T, solution_pass_rate, test_pattern_keys
 
 WEAK_THRESHOLD = 0.1  # fixed value: a test is weak when its pass fraction is strictly below this
@@ -114,18 +115,19 @@ def append_suites(*suites: DataFrame) -> DataFrame:
 
     Each input is (problem_id, test_id, test_text, origin).  The new test id
     is the position in the concatenation: offset by the sizes of the earlier
-    origins of the same problem, computed with one small aggregate instead of
-    a window over the whole problem.
+    origins of the same problem plus its place among its own origin's tests.
+    The union is cut from its lineage first: a generator behind a suite runs
+    once, and sizes and rows see the same tests.
     """
     u = suites[0]
     for s in suites[1:]:
         u = u.unionByName(s)
     rank = F.coalesce(*[F.when(F.col("origin") == k, F.lit(v)) for k, v in ORIGIN_RANK.items()], F.lit(99))
-    u = u.withColumn("_rank", rank)
+    u = cut_lineage(u.withColumn("_rank", rank))
     sizes = u.groupBy(P, "_rank").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(P).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(P, "_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy(P, "_rank").orderBy(T)
+    wl = Window.partitionBy(P, "_rank").orderBy(T, "test_text")
     return (
         u.join(offsets, [P, "_rank"])
         .withColumn("new_test_id", (F.col("_off") + F.row_number().over(wl) - 1).cast("long"))

@@ -322,6 +322,6 @@ def q_fanout(spark, sf):
     r = sv.parse_responses(fx_responses(spark, sf).select("doc_id", "response"), "response")
     tests = r.select(
         F.col("doc_id").alias(P),
-        F.posexplode(F.coalesce("tests", F.array(*[F.lit(t) for t in sv.ERROR_TESTS]))).alias(T, "test_text"),
+        F.posexplode(sv.fill_sentinel("tests")).alias(T, "test_text"),
     ).withColumn(T, F.col(T).cast("long"))
     return ev.fanout(sols, tests).select(P, S, T, "test_text")

@@ -46,7 +46,8 @@ def generate_tests(prompts: DataFrame, fn: TestGeneratorFn, origin: str) -> Data
             yield fn(b)[[P, "test_text"]]
 
     n = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gen = prompts.repartition(n, P).mapInPandas(run, schema=f"{P} long, test_text string")
+    # the hook's rows are stored before they are numbered: it runs once per prompt
+    gen = cut_lineage(prompts.repartition(n, P).mapInPandas(run, schema=f"{P} long, test_text string"))
     from pyspark.sql import Window
 
     w = Window.partitionBy(P).orderBy("test_text")

@@ -45,9 +45,23 @@ def q_append_suites(spark, sf):
     return su.append_suites(seed, first, second)
 
 
-@register("nested_roundtrip", with_fx("SELECT problem_id, solution_id, test_id, pass, reason FROM fx_outcomes"))
+@register(
+    "nested_roundtrip",
+    with_fx(
+        """SELECT problem_id, solution_id, 3 * test_id + 1 AS test_id, pass, reason, 'message ' || CAST(test_id AS VARCHAR) AS error_message,
+                  CAST(test_id AS DOUBLE) / 4 AS time_limit FROM fx_outcomes WHERE problem_id % 5 <> 0
+           UNION ALL SELECT DISTINCT problem_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR),
+                  CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM fx_outcomes WHERE problem_id % 5 = 0"""
+    ),
+)
 def q_nested_roundtrip(spark, sf):
-    return from_nested(to_nested(fx_outcomes(spark, sf)))
+    """Sparse test ids, all detail columns, and every fifth problem without results."""
+    o = fx_outcomes(spark, sf)
+    sparse = o.where(F.col(P) % 5 != 0).select(
+        P, S, (3 * F.col(T) + 1).alias(T), "pass", "reason", F.concat(F.lit("message "), F.col(T).cast("string")).alias("error_message"),
+        (F.col(T).cast("double") / 4).alias("time_limit"),
+    )
+    return from_nested(to_nested(sparse, o.select(P)))
 
 
 @register("incremental_outcomes", with_fx("SELECT problem_id, solution_id, test_id, pass, reason FROM fx_outcomes"))

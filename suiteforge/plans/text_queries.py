@@ -60,13 +60,15 @@ def q_valid_responses(spark, sf):
 @register(
     "sentinel_fill",
     with_text(
-        "SELECT doc_id, coalesce(tests_text, 'assert False') AS tests_text, coalesce(n_tests, 1) AS n_tests FROM fx_expected",
+        """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'assert False' ELSE coalesce(tests_text, 'assert False') END AS tests_text,
+                  CASE WHEN doc_id % 7 = 0 THEN 1 ELSE coalesce(n_tests, 1) END AS n_tests FROM fx_expected""",
         SALVAGE_EXPECTED,
     ),
 )
 def q_sentinel_fill(spark, sf):
     r = sv.parse_responses(fx_responses(spark, sf).select("doc_id", "response"), "response")
-    filled = F.coalesce(F.col("tests"), F.array(*[F.lit(t) for t in sv.ERROR_TESTS]))
+    # every seventh list is emptied: an empty list is filled like a missing one
+    filled = sv.fill_sentinel(F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("tests")))
     return r.select("doc_id", _join_tests(filled).alias("tests_text"), _n(filled).alias("n_tests"))
 
 
@@ -261,7 +263,7 @@ def q_truncate_mid(spark, sf):
               CASE WHEN trim(left(text, 256), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE left(text, 256) END AS error,
               'Traceback (most recent call last):' || chr(10) || '  ' ||
               CASE WHEN doc_id % 2 = 0 THEN 'File "<string>", line ' || CAST(doc_id AS VARCHAR) || chr(10) || text
-                   ELSE right(text, 1) END AS traceback
+                   ELSE text END AS traceback
        FROM documents""",
 )
 def q_error_text(spark, sf):

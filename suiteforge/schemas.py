@@ -92,40 +92,42 @@ METRICS = StructType(
 )
 
 
-def to_nested(outcomes: DataFrame) -> DataFrame:
+DETAILS = ("pass", "reason", "error_message", "time_limit")
+
+
+def to_nested(outcomes: DataFrame, problems: DataFrame | None = None) -> DataFrame:
     """Long outcomes -> one row per problem with per-solution ``eval_results``
-    (``pass_rate`` and the ordered ``test_cases_pass_status`` list).
+    (``pass_rate`` and ``test_cases_pass_status``, ordered by test id).
 
-    This is an export format: each problem row holds its own matrix.
+    Test ids and all detail columns that ``outcomes`` has are kept.  Problems
+    of ``problems`` without outcomes get an empty list.  This is an export
+    format: each problem row holds its own matrix.
     """
-    per_solution = outcomes.groupBy("problem_id", "solution_id").agg(
+    details = [c for c in DETAILS if c in outcomes.columns]
+    per_solution = outcomes.where("solution_id is not null").groupBy("problem_id", "solution_id").agg(
         F.avg(F.col("pass").cast("int")).alias("pass_rate"),
-        F.sort_array(F.collect_list(F.struct("test_id", "pass", "reason"))).alias("_st"),
-    )
-    per_solution = per_solution.select(
-        "problem_id",
-        "solution_id",
-        "pass_rate",
-        F.transform("_st", lambda x: F.struct(x["pass"].alias("pass"), x["reason"].alias("reason"))).alias(
-            "test_cases_pass_status"
-        ),
+        F.sort_array(F.collect_list(F.struct("test_id", *details))).alias("test_cases_pass_status"),
     )
-    return per_solution.groupBy("problem_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("solution_id", "pass_rate", "test_cases_pass_status"))
-        ).alias("eval_results")
+    nested = per_solution.groupBy("problem_id").agg(
+        F.sort_array(F.collect_list(F.struct("solution_id", "pass_rate", "test_cases_pass_status"))).alias("eval_results")
     )
+    every = outcomes.select("problem_id") if problems is None else problems.select("problem_id").union(outcomes.select("problem_id"))
+    empty = F.array().cast(nested.schema["eval_results"].dataType)
+    return every.distinct().join(nested, "problem_id", "left").withColumn("eval_results", F.coalesce("eval_results", empty))
 
 
 def from_nested(nested: DataFrame) -> DataFrame:
-    """Nested form -> long outcomes (positions become explicit ids)."""
-    sol = nested.select("problem_id", F.posexplode("eval_results").alias("_si", "r"))
+    """Nested form -> long outcomes; ids that the form does not carry are positions.
+
+    A problem without results is one row with null solution and test, so that
+    :func:`to_nested` gives it back.
+    """
+    status = nested.schema["eval_results"].dataType.elementType["test_cases_pass_status"].dataType.elementType
+    sol = nested.select("problem_id", F.posexplode_outer("eval_results").alias("_si", "r"))
     tests = sol.select(
         "problem_id",
         F.coalesce(F.col("r.solution_id"), F.col("_si").cast("long")).alias("solution_id"),
-        F.posexplode("r.test_cases_pass_status").alias("test_id", "s"),
-    )
-    return tests.select(
-        "problem_id", "solution_id", F.col("test_id").cast("long").alias("test_id"), F.col("s.pass").alias("pass"),
-        F.col("s.reason").alias("reason"),
+        F.posexplode_outer("r.test_cases_pass_status").alias("_ti", "s"),
     )
+    own = F.coalesce(F.col("s.test_id"), F.col("_ti").cast("long")) if "test_id" in status.names else F.col("_ti").cast("long")
+    return tests.select("problem_id", "solution_id", own.cast("long").alias("test_id"), *[F.col(f"s.{c}").alias(c) for c in DETAILS if c in status.names])

@@ -8,6 +8,7 @@ checkpoint directory, which is set only when the cluster has not named one
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,14 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A directory the context already uses is left alone (setting it again
     would nest a fresh sub-folder on every call).  The ``spark.checkpoint.dir``
-    setting is used when present; a scratch folder is made only when the
-    session names none (local tests).
+    setting is used when present; a scratch folder is made only where the
+    session names none and runs in one process (local tests), and any other
+    session without the setting is an error.
     """
     sc = spark.sparkContext
     opt = sc._jsc.sc().getCheckpointDir()
     if opt.isDefined():
         return opt.get()
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="suiteforge-ckpt-", dir="/tmp")
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="suiteforge-ckpt-", dir="/tmp")  # one process, one disk
     sc.setCheckpointDir(d)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -74,16 +80,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy row work over all cores when the input arrives in fewer
-    partitions than the cluster's default parallelism (e.g. one small file).
-
-    On large multi-file inputs the scan already yields enough splits and this
-    is a no-op; the check reads plan metadata only.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

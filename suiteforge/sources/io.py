@@ -100,13 +100,8 @@ def append_records(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 def write_round(df: DataFrame, base: str, round_no: int, fmt: str = "parquet") -> None:
     """A10: round-partitioned layout ``base/round=N``; only that round's partition is replaced."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        write_records(df.withColumn("round", F.lit(round_no)), base, fmt=fmt, mode="overwrite", partition_by=["round"])
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    rows = df.withColumn("round", F.lit(round_no)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("round").format(fmt).save(base)
 
 
 def read_round(spark: SparkSession, base: str, round_no: int, fmt: str = "parquet") -> DataFrame:

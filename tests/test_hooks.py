@@ -62,16 +62,60 @@ def _evaluator(b: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def test_evaluate_grid_failed_batches_become_unexecuted(spark):
+def test_one_failing_solution_loses_only_itself(spark):
+    """Whatever the Arrow batch size and the partitioning: one unit per (problem, solution)."""
+    cells = spark.createDataFrame([(p, s, t) for p in range(4) for s in range(10) for t in range(5)], "problem_id long, solution_id long, test_id long")
+
+    def one_raises(b):
+        assert b["solution_id"].nunique() == b["problem_id"].nunique() == 1 and list(b["test_id"]) == list(range(5))
+        if b["problem_id"].iloc[0] == 1 and b["solution_id"].iloc[0] == 3:
+            raise RuntimeError("sandbox crashed")
+        return pd.DataFrame({"problem_id": b["problem_id"], "solution_id": b["solution_id"], "test_id": b["test_id"], "pass": True, "reason": "pass", "error_message": None, "time_limit": 1.0})
+
+    seen = []
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size, n in (("7", 1), ("10000", 8), ("10000", 200)):
+            spark.conf.set(key, size)
+            seen.append(sorted(map(tuple, ev.evaluate_with(cells, one_raises, partitions=n).collect()), key=str))
+    finally:
+        spark.conf.set(key, before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 200
+    assert [r[:3] for r in seen[0] if not r[3]] == [(1, 3, t) for t in range(5)]
+    assert {r[4:6] for r in seen[0] if not r[3]} == {("unexecuted", "RuntimeError: sandbox crashed")}
+
+
+def test_generated_tests_keep_one_numbering(spark):
+    """The generator varies from call to call; ids stay dense because it is called once."""
+    from suiteforge.operators.suites import append_suites
+    from suiteforge.plans.evolve import generate_tests
+
+    prompts = spark.createDataFrame([(p, "diverse", f"prompt {p}") for p in range(20)], "problem_id long, kind string, prompt string")
+
+    def varying(b):
+        import random
+
+        rows = [(p, f"assert f({random.random()})") for p in b["problem_id"] for _ in range(random.randint(1, 4))]
+        return pd.DataFrame(rows, columns=["problem_id", "test_text"])
+
+    first, second = generate_tests(prompts, varying, "first"), generate_tests(prompts, varying, "second")
+    grown = append_suites(first, second)
+    ids = {}
+    for r in grown.collect():
+        ids.setdefault(r.problem_id, []).append(r.new_test_id)
+    assert len(ids) == 20 and all(sorted(x) == list(range(len(x))) for x in ids.values())
+    assert first.collect() == first.collect()
+
+
+def test_evaluate_grid_failed_units_become_unexecuted(spark):
     sols = spark.createDataFrame([(p, s, f"code{s}") for p in range(3) for s in range(2)], "problem_id long, solution_id long, code string")
     tests = spark.createDataFrame([(p, t, f"t{t}") for p in range(3) for t in range(3)], "problem_id long, test_id long, test_text string")
     g = ev.evaluate_grid(sols, tests, _evaluator)
     rows = g.collect()
     assert len(rows) == 18
-    # problem 0 crashed in its batch: either all its cells are unexecuted or (if batched apart) evaluated
-    p0 = [r.reason for r in rows if r.problem_id == 0]
-    assert set(p0) <= {"unexecuted", "pass", "syntax_error"}
-    assert {r.reason for r in rows if r.problem_id != 0} <= {"pass", "syntax_error", "unexecuted"}
+    assert {r.reason for r in rows if r.problem_id == 0} == {"unexecuted"}
+    assert {r.reason for r in rows if r.problem_id != 0} == {"pass", "syntax_error"}
 
 
 def test_retry_syntax_errors_replaces_only_those(spark):

@@ -54,15 +54,59 @@ LADDER = [
     ("3\n4", "3\n5", "none"),
     ("2 1", "1 2", "none"),
     ("1.1\n2", "1.0\n2", "none"),
+    ("5.0", "inf", "none"),
+    ("5.0", "nan", "none"),
+    ("nan", "nan ", "exact"),
+    ("nan\n1.0", "nan\n1", "none"),
+    ("2", "-inf", "none"),
+    ("inf\n2.0", "Infinity\n2", "numeric"),
+    ("3.5", "3.5f", "none"),
+    ("3.5", "3.5d", "none"),
+    ("1e2", "100.0", "numeric"),
+    (".5", "0.5", "numeric"),
 ]
 
 
+def test_salvage_of_broken_objects(spark):
+    """The rule keeps the longest prefix that completes to valid JSON; anything broken before the tests leaves nothing."""
+    q, t = sv.ERROR_QUESTION, sv.ERROR_TESTS
+    long = "x" * 300_000
+    cases = [
+        ('{"question": "q", "tests": ["assert a", "assert\nb"]}', "q", ["assert a"]),  # raw line end in a literal
+        ('{"question": "q", "tests": ["assert a", "\\d+"]}', "q", ["assert a"]),  # an escape that JSON has not
+        ('{"question": "q\nr", "tests": ["assert a"]}', "null", None),
+        ('Sure: {"question": "q", "tests": ["assert a"]} done', "null", None),
+        ('{"id": 3, "question": "q", "tests": ["assert a", "ass', "q", ["assert a"]),
+        ('{"question": "q", "tests": ["assert a", "assert \\u0041", "b', "q", ["assert a", "assert A"]),
+        ('{"question": "q", "tests": ["' + long + '", "b', "q", [long]),
+        ('{"tests": ["assert a", "b', q, ["assert a"]),
+        (None, q, t),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, r string")
+    got = {r.i: (r.problem, r.tests) for r in sv.parse_responses(df, "r").collect()}
+    for i, (text, problem, tests) in enumerate(cases):
+        assert got[i] == (problem, tests), (text or "")[:80]
+
+
+def test_sentinel_fills_null_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, ["a"])], "i int, tests array<string>")
+    got = {r.i: r.t for r in df.select("i", sv.fill_sentinel("tests").alias("t")).collect()}
+    assert got == {1: sv.ERROR_TESTS, 2: sv.ERROR_TESTS, 3: ["a"]}
+
+
 def test_compare_ladder(spark):
     df = spark.createDataFrame([(a, e) for a, e, _ in LADDER], "a string, e string")
     got = [r.rung for r in cmp.compare_outputs(df, "a", "e").collect()]
     assert sorted(got) == sorted(x for _, _, x in LADDER)
-    got2 = [r.rung for r in df.select(cmp.compare_rung("a", "e").alias("rung")).collect()]
-    assert got2 == [x for _, _, x in LADDER]
+    want = {(a, e): x for a, e, x in LADDER}
+    assert all(want[r.a, r.e] == r.rung for r in cmp.compare_outputs(df, "a", "e").collect())
+
+
+def test_compare_lists_of_lines(spark):
+    rows = [("1\n2\n", ["1", "2"], "exact"), ("1 \n2", ["1", "2"], "line_strip"), ("1\n\n2", ["1", "2"], "blank_drop"), ("1.0\n2", ["1", "2"], "numeric"), ("2\n1", ["1", "2"], "none")]
+    df = spark.createDataFrame([(a, e) for a, e, _ in rows], "a string, e array<string>")
+    want = {(a, tuple(e)): x for a, e, x in rows}
+    assert all(want[r.a, tuple(r.e)] == r.rung for r in cmp.compare_outputs(df, "a", "e").collect())
 
 
 def test_call_result_match(spark):
