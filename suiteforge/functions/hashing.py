@@ -16,6 +16,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def text_key(text: Column | str) -> Column:
@@ -30,7 +31,7 @@ def messages_key(messages: Column | str) -> Column:
     return F.sha2(F.to_json(ordered), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def messages_key_compat(messages: pd.Series) -> pd.Series:
     """H4 (messages path, exact bytes incl. non-ASCII escaping), one Arrow batch at a time."""
 

@@ -114,10 +114,20 @@ def evaluate_with(
     return spread.sortWithinPartitions(P, S, T).mapInPandas(run, schema=schema)
 
 
-def evaluate_grid(solutions: DataFrame, tests: DataFrame, fn: EvaluatorFn) -> DataFrame:
-    """J3 + D25/D26: evaluate every cell and complete the grid."""
+def evaluate_grid(solutions: DataFrame, tests: DataFrame, fn: EvaluatorFn, done: DataFrame | None = None) -> DataFrame:
+    """J3 + D25/D26: evaluate every cell and complete the grid.
+
+    ``done`` holds outcomes an earlier run has left (C4): a solution with all
+    its cells there is not evaluated again, one with some of them is, whole.
+    """
     cells = fanout(solutions, tests)
-    raw = evaluate_with(cells, fn)
+    if done is None:
+        raw = evaluate_with(cells, fn)
+    else:
+        have = done.select(P, S, T, "pass", "reason", "error_message", "time_limit").join(cells.select(P, S, T), [P, S, T], "left_semi")
+        missing = cells.select(P, S, T).join(have.select(P, S, T), [P, S, T], "left_anti").select(P, S).distinct()
+        fresh = evaluate_with(cells.join(missing, [P, S], "left_semi"), fn)
+        raw = have.join(missing, [P, S], "left_anti").unionByName(fresh)
     return complete_grid(raw, solutions.select(P, S), tests.select(P, T))
 
 

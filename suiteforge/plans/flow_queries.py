@@ -3,8 +3,10 @@ an evolution round (M6/M8)."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
-import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -77,37 +79,55 @@ def q_incremental_outcomes(spark, sf):
 
 
 def _stub_generator(b: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic stand-in for a model: two tests per prompt, derived from its text."""
-    rows = []
-    for pid, prompt in zip(b[P], b["prompt"]):
-        h = zlib.crc32(prompt.encode("utf-8"))
-        for i in range(2):
-            rows.append((int(pid), f"assert sol({int(pid)}) != {(h + i) % 97}"))
-    return pd.DataFrame(rows, columns=[P, "test_text"])
+    """Deterministic stand-in for a model: reads the task from the prompt, answers in four shapes (one a failure)."""
+
+    def answer(prompt: str) -> str:
+        task, kind = re.match(r"Task (\d+) \((\w+)\)", prompt).groups()
+        tests = [f"assert sol({task}) != {hashlib.md5(f'{task}|{kind}|{i}'.encode()).hexdigest()[:6]}" for i in range(2)]
+        whole = json.dumps({"question": f"task {task}", "tests": tests})
+        return (whole, f"Here:\n```json\n{whole}\n```", whole[:-12], "ERROR: Timeout after 3 attempts")[int(task) % 4]
+
+    return pd.DataFrame({"hash_id": b["hash_id"], "response": b["prompt"].map(answer)})
 
 
 def _stub_evaluator(b: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic stand-in for a sandbox: pass decided by a hash of (solution, test text)."""
-    key = (b[S].astype(str) + "|" + b["test_text"]).map(lambda s: zlib.crc32(s.encode("utf-8")))
-    ok = (key % 3) != 0
+    """Deterministic stand-in for a sandbox: pass decided by the md5 of (solution, test text)."""
+    ok = (b[S].astype(str) + "|" + b["test_text"]).map(lambda s: hashlib.md5(s.encode()).hexdigest()[0] <= "9")
     return pd.DataFrame(
-        {
-            P: b[P].astype("int64"),
-            S: b[S].astype("int64"),
-            T: b[T].astype("int64"),
-            "pass": ok,
-            "reason": ok.map({True: "pass", False: "fail"}),
-            "error_message": [None] * len(b),
-            "time_limit": [1.0] * len(b),
-        }
+        {P: b[P], S: b[S], T: b[T], "pass": ok, "reason": ok.map({True: "pass", False: "fail"}), "error_message": None, "time_limit": 1.0}
     )
 
 
-@register("evolve_round")
-def q_evolve_round(spark, sf):
-    """S3 with deterministic stub hooks (rows-only check): outcomes of round 2."""
+def evolve_inputs(spark, sf):
+    """(outcomes, tests, solutions, problems) of the fixture."""
     o = fx_outcomes(spark, sf)
     tests = o.select(P, T).distinct().withColumn("test_text", F.concat(F.lit("assert seed("), F.col(T).cast("string"), F.lit(")")))
     sols = o.select(P, S).distinct().withColumn("code", F.concat(F.lit("def f(): return "), F.col(S).cast("string")))
-    _, outcomes2 = evolve_round(o, tests, sols, _stub_generator, _stub_evaluator, seed=42)
+    return o, tests, sols, o.select(P).distinct().withColumn("question", F.concat(F.lit("question "), F.col(P).cast("string")))
+
+
+EVOLVE_SQL = with_fx(
+    """SELECT problem_id, solution_id, test_id, ok AS pass, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS reason
+       FROM (SELECT s.problem_id, s.solution_id, t.test_id, left(md5(CAST(s.solution_id AS VARCHAR) || '|' || t.test_text), 1) <= '9' AS ok
+             FROM (SELECT DISTINCT problem_id, solution_id FROM fx_outcomes) s JOIN fx_suite t USING (problem_id))""",
+    TMEAN,
+    """fx_alive AS (SELECT DISTINCT problem_id FROM fx_tmean WHERE mean >= CAST(0.1 AS DOUBLE))""",
+    """fx_new AS (
+      SELECT problem_id, r, i AS test_id,
+             CASE WHEN problem_id % 4 = 3 THEN 'assert False'
+                  ELSE 'assert sol(' || problem_id || ') != ' || left(md5(problem_id || '|' || kind || '|' || i), 6) END AS test_text
+      FROM fx_alive, (VALUES ('diverse', 1), ('similar', 2)) k(kind, r), (VALUES (0), (1)) n(i)
+      WHERE i = 0 OR problem_id % 4 < 2)""",
+    """fx_suite AS (
+      SELECT problem_id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY r, test_id) - 1 AS BIGINT) AS test_id, test_text
+      FROM (SELECT DISTINCT problem_id, 0 AS r, test_id, 'assert seed(' || test_id || ')' AS test_text FROM fx_outcomes SEMI JOIN fx_alive USING (problem_id)
+            UNION ALL SELECT problem_id, r, test_id, test_text FROM fx_new))""",
+)
+
+
+@register("evolve_round", EVOLVE_SQL)
+def q_evolve_round(spark, sf):
+    """S3 with deterministic hooks: prompts, cache, salvage (whole, fenced, cut off, failed), append, evaluation."""
+    o, tests, sols, problems = evolve_inputs(spark, sf)
+    _, outcomes2, _ = evolve_round(o, tests, sols, _stub_generator, _stub_evaluator, problems, seed=42)
     return outcomes2.select(P, S, T, "pass", "reason")

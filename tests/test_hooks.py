@@ -89,17 +89,20 @@ def test_one_failing_solution_loses_only_itself(spark):
 def test_generated_tests_keep_one_numbering(spark):
     """The generator varies from call to call; ids stay dense because it is called once."""
     from suiteforge.operators.suites import append_suites
-    from suiteforge.plans.evolve import generate_tests
+    from suiteforge.plans.evolve import CACHE_SCHEMA, generate_tests
 
-    prompts = spark.createDataFrame([(p, "diverse", f"prompt {p}") for p in range(20)], "problem_id long, kind string, prompt string")
+    def prompts(kind):
+        return spark.createDataFrame([(p, kind, f"{kind} {p}", f"{kind}{p}") for p in range(20)], "problem_id long, kind string, prompt string, hash_id string")
 
     def varying(b):
+        import json
         import random
 
-        rows = [(p, f"assert f({random.random()})") for p in b["problem_id"] for _ in range(random.randint(1, 4))]
-        return pd.DataFrame(rows, columns=["problem_id", "test_text"])
+        answers = [json.dumps({"question": "q", "tests": [f"assert f({random.random()})" for _ in range(random.randint(1, 4))]}) for _ in b["hash_id"]]
+        return pd.DataFrame({"hash_id": b["hash_id"], "response": answers})
 
-    first, second = generate_tests(prompts, varying, "first"), generate_tests(prompts, varying, "second")
+    first, cache = generate_tests(prompts("diverse"), spark.createDataFrame([], CACHE_SCHEMA), varying, "first")
+    second, _ = generate_tests(prompts("similar"), cache, varying, "second")
     grown = append_suites(first, second)
     ids = {}
     for r in grown.collect():
