@@ -2,8 +2,8 @@
 
 import re
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from suiteforge.plans.catalog import QUERIES
 
 HOOKS = {"evolve_round"}
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
@@ -14,7 +14,7 @@ def _plan(df):
 
 
 def test_no_python_outside_hooks(spark):
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         if name in HOOKS or name == "incremental_outcomes":
             continue
         plan = _plan(q(spark, SF_SMALL))
@@ -22,8 +22,8 @@ def test_no_python_outside_hooks(spark):
 
 
 def test_final_curation_exchanges(spark):
-    plan = _plan(E.queries()["final_curation"](spark, SF_SMALL))
-    assert len(re.findall(r"Exchange", plan)) <= 40
+    plan = _plan(QUERIES["final_curation"](spark, SF_SMALL))
+    assert len(re.findall(r"Exchange", plan)) <= 12
 
 
 def test_fixture_scan_prunes_columns(spark):
