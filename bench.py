@@ -1,5 +1,10 @@
 """Benchmark the headline queries.
 
+Three parts: ``queries`` times whole registered queries (fixture included), as
+in earlier rounds; ``operators`` times operators alone over the stored outcome
+grid; ``skewed`` times the same over a grid in which one problem holds a third
+of all cells.
+
 Runs each query at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` and forces full execution with the ``noop`` sink
 (every row computed, nothing collected).  Prints ONE JSON line.
@@ -14,8 +19,16 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from suiteforge.fixtures import fx_outcomes  # noqa: E402
+from suiteforge.operators import outcomes as oc  # noqa: E402
+from suiteforge.operators import select as sel  # noqa: E402
+from suiteforge.operators import stats as st  # noqa: E402
+from suiteforge.operators import suites as su  # noqa: E402
 from suiteforge.plans.catalog import QUERIES  # noqa: E402
-from suiteforge.session import local_session  # noqa: E402
+from suiteforge.plans.curation import final_curation  # noqa: E402
+from suiteforge.session import cut_lineage, local_session  # noqa: E402
 
 HEADLINE = [
     "final_curation",
@@ -39,6 +52,29 @@ HEADLINE = [
 ]
 
 
+OPERATORS = {
+    "solution_pass_rate": oc.solution_pass_rate,
+    "dedup_tests": su.dedup_tests,
+    "final_curation": final_curation,
+    "pass_at_k": lambda o: st.pass_at_k(oc.solution_pass_rate(o)),
+    "diverse_five": sel.diverse_five,
+    "similar_five": sel.similar_five,
+}
+
+
+def timed(df) -> float:
+    t0 = time.perf_counter()
+    df().write.format("noop").mode("overwrite").save()
+    return round(time.perf_counter() - t0, 3)
+
+
+def skewed(grid):
+    """The cells of every third problem as one problem: the same solutions, all their tests."""
+    hot = grid.where(F.col("problem_id") % 3 == 0).withColumn("test_id", F.col("problem_id") * 100 + F.col("test_id"))
+    rest = grid.where(F.col("problem_id") % 3 != 0)
+    return rest.unionByName(oc.complete_grid(hot.withColumn("problem_id", F.lit(-1).cast("long"))))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -53,6 +89,10 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    grid = cut_lineage(fx_outcomes(spark, sf_dir))
+    alone = {name: timed(lambda f=f: f(grid)) for name, f in OPERATORS.items()}
+    hot = cut_lineage(skewed(grid))
+    on_hot = {name: timed(lambda f=f: f(hot)) for name, f in OPERATORS.items()}
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(
         json.dumps(
@@ -61,6 +101,8 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "operators": alone,
+                "skewed": on_hot,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
             }
         )
