@@ -31,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -375,8 +376,11 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, vector, known, ends = held.value
         model, unit_of, row = Gru(len(units.mass), vector), UnitOf(units), TaskContext.get().partitionId() << 33
-        log_end = math.log10(ends + SMOOTH)
+        log_end, none = math.log10(ends + SMOOTH), repeat(math.nan)
+        share = units.share.tolist()
+        # of every head word: log count, and what it adds to the score of its unit (nothing if the unit is its own)
         logs = {w: math.log10(c + SMOOTH) for w, c in known.items()}
+        adds = {w: 0.0 if w in units.own else x - share[unit_of.bucket_number(w)] for w, x in logs.items()}
         for b in batches:
             texts = text_bytes(b.column(1))
             for start, end in blocks(map(len, texts), 24 << 20):
@@ -385,17 +389,13 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
                 for text in texts[start:end]:
                     own = tokens(text)
                     numbers.append(np.fromiter(map(unit_of.__getitem__, own), np.int32, len(own)))
-                    base, shared, n_known, rest = log_end, 0.0, int(ends > 0), []
-                    for word, tf in Counter(own).items():
-                        if (x := logs.get(word)) is None:
-                            rest.append((word, tf))
-                        else:
-                            base += x * tf
-                            n_known += tf
-                            if word not in units.own:
-                                shared += (x - units.share[unit_of.bucket_number(word)]) * tf
-                    shared -= sum(units.share[unit_of.bucket_number(w)] * tf for w, tf in rest)
-                    partial.append((len(own) + 1, n_known, base, shared, rest))
+                    x = np.fromiter(map(logs.get, own, none), np.float64, len(own))
+                    unknown = np.isnan(x)
+                    rest = list(Counter([own[i] for i in np.flatnonzero(unknown).tolist()]).items())
+                    base = log_end + float(x[~unknown].sum())
+                    shared = float(np.nansum(np.fromiter(map(adds.get, own, none), np.float64, len(own))))
+                    shared -= sum(share[unit_of.bucket_number(w)] * tf for w, tf in rest)
+                    partial.append((len(own) + 1, int(ends > 0) + len(own) - int(unknown.sum()), base, shared, rest))
                 likely = score_docs(model, numbers, units.end) / math.log(10)
                 for key, (n_tokens, n_known, base, shared, rest), x in zip(b.column(0)[start:end].to_pylist(), partial, likely.tolist(), strict=True):
                     row += 1
