@@ -9,10 +9,9 @@ softmax is P(class | state) * P(unit | class, state).
 * Counts: every training document; Spark adds them up by token.
 * Fit: gated recurrent unit in numpy, truncated backpropagation over windows of
   ``WINDOW`` tokens with the state carried from window to window.  Each round,
-  shards of a hash-chosen share of the training documents (``share``, and at
-  least ``least_docs``) start from the common parameters and train apart; the
-  parameters are then averaged.  The output biases start at the counts, so the
-  fit starts from the unigram model.
+  at every size, takes all training documents: shards of them start from the
+  common parameters and train apart; the parameters are then averaged.  The
+  output biases start at the counts, so the fit starts from the unigram model.
 * Score: every whole document, its state carried from its first word to its
   end.  Documents run side by side, sorted by length.  Counts of words outside
   the ``HEAD`` most frequent come by a join on the word, whatever the
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored, text_bytes
+from .common import blocks, map_batches, stored, text_bytes
 
 #: Words with their own unit; buckets for the others; words whose counts every task holds (of at most LONGEST bytes).
 OWN, BUCKETS, HEAD, LONGEST = 2047, 256, 131_072, 64
@@ -243,26 +242,24 @@ def train(model: Gru, docs: list[np.ndarray], end: int, rate: float, lanes: int
         k = int(fill.argmin())
         rows[k].append(doc)
         fill[k] += len(doc) + 1
-    steps = -(-int(fill.max()) // WINDOW) * WINDOW
-    units, target, keep = np.zeros((steps, lanes), np.int32), np.full((steps, lanes), -1, np.int32), np.ones((steps, lanes), np.float32)
-    for k, own in enumerate(rows):
-        at = 0
-        for doc in own:
-            size = len(doc) + 1
-            units[at, k], keep[at, k] = end, 0
-            units[at + 1 : at + size, k] = doc
-            target[at : at + size - 1, k] = doc
-            target[at + size - 1, k] = end
-            at += size
+    by_fill = np.argsort(-fill, kind="stable")  # lanes that still have tokens are the first ones
+    fill = fill[by_fill]
+    own = [doc for k in by_fill for doc in rows[k]]
+    units = np.concatenate([x for doc in own for x in ([end], doc)] or [[]]).astype(np.int32)
+    target = np.concatenate([x for doc in own for x in (doc, [end])] or [[]]).astype(np.int32)
+    keep = np.ones(len(units), np.float32)
+    keep[np.cumsum([0, *(len(doc) + 1 for doc in own)])[:-1]] = 0
+    starts = np.cumsum(fill) - fill
     grads, first, second = Gru(model.n_classes * CLASS_SIZE), np.zeros_like(model.vector), np.zeros_like(model.vector)
     state, total, turn = np.zeros((lanes, HIDDEN), np.float32), 0.0, 0
-    for at in range(0, steps, WINDOW):
-        own = slice(at, at + WINDOW)
-        n = int((target[own] >= 0).sum())
-        if not n:
-            break
+    for at in range(0, int(fill.max()), WINDOW):
+        live = int(np.searchsorted(-fill, -at, "left"))
+        place = at + np.arange(WINDOW)[:, None]
+        some = place < fill[:live]
+        place = np.where(some, starts[:live] + place, 0)
+        n = int(some.sum())
         grads.vector[:] = 0
-        logs, state = model.window(units[own], target[own], keep[own], state, grads)
+        logs, state = model.window(np.where(some, units[place], 0), np.where(some, target[place], -1), np.where(some, keep[place], 1), state[:live], grads)
         total, turn = total + logs, turn + 1
         g = grads.vector / n
         norm = float(np.sqrt((g * g).sum()))
@@ -270,7 +267,7 @@ def train(model: Gru, docs: list[np.ndarray], end: int, rate: float, lanes: int
         first += 0.1 * (g - first)
         second += 0.01 * (g * g - second)
         model.vector += rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
-    return total / max(1, int((target >= 0).sum()))
+    return total / max(1, len(target))
 
 
 def score_docs(model: Gru, docs: list[np.ndarray], end: int, lanes: int = 512) -> np.ndarray:
@@ -314,24 +311,24 @@ def average(shards: DataFrame, fan_in: int = 64) -> np.ndarray:
     return np.concatenate([np.array(r["values"]) for r in rows] or [np.zeros(0)]).astype(np.float32)
 
 
-def fit(docs: DataFrame, units: Units, n_docs: int, id_col: str, text_col: str, rates: tuple[float, ...] = (0.02, 0.01, 0.005), share: float = 1 / 24, least_docs: int = 8_000, shard_docs: int = 2_000, chunk: int = 4096) -> np.ndarray:
-    """Rounds of training apart and averaging, each over another share of the training documents ``docs``."""
+def fit(docs: DataFrame, units: Units, n_docs: int, text_col: str, rates: tuple[float, ...] = (0.02, 0.01, 0.005), shard_docs: int = 2_000, chunk: int = 4096) -> np.ndarray:
+    """Rounds of training apart and averaging, each over all the ``n_docs`` training documents ``docs``."""
     model = Gru.start(units)
-    share = min(1.0, max(share, least_docs / max(1, n_docs)))
-    n_shards = max(1, round(n_docs * share / shard_docs))
-    for turn, rate in enumerate(rates if n_docs else ()):
-        # each round draws the next share of the ids' hashes, around again where the shares add up to more than all
-        draw = F.pmod(F.pmod(F.xxhash64(F.lit(91), F.col(id_col)), F.lit(1 << 30)) - F.lit(turn * int(share * (1 << 30))), F.lit(1 << 30))
-        chosen = docs.where(draw < int(share * (1 << 30))).select(F.col(text_col).cast("string").alias("text"))
+    n_shards = max(1, round(n_docs / shard_docs))
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unit_of = UnitOf(units)
+        own = [tokens(text) for text in text_bytes(batch.column(0))]
+        rows = [np.fromiter(map(unit_of.__getitem__, o), np.uint16, len(o)).tobytes() for o in own]  # at most 1 + OWN + BUCKETS units
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["units"])
+
+    encoded = stored(map_batches(docs.select(F.col(text_col).cast("string").alias("text")), encode, "units binary")) if n_docs else docs
+    for rate in rates if n_docs else ():
         held = docs.sparkSession.sparkContext.broadcast((units, model.vector))  # half a million bytes, whatever the corpus
 
         def learn(batches: Iterator[pa.RecordBatch], held=held, rate=rate) -> Iterator[pa.RecordBatch]:
             own_units, vector = held.value
-            unit_of, rows = UnitOf(own_units), []
-            for b in batches:
-                for text in text_bytes(b.column(0)):
-                    own = tokens(text)
-                    rows.append(np.fromiter(map(unit_of.__getitem__, own), np.int32, len(own)))
+            rows = [np.frombuffer(row, np.uint16).astype(np.int32) for b in batches for row in b.column(0).to_pylist()]
             if not rows:
                 return
             rows.sort(key=lambda r: zlib.crc32(r.tobytes()))  # a mixed but repeatable order
@@ -341,7 +338,7 @@ def fit(docs: DataFrame, units: Units, n_docs: int, id_col: str, text_col: str,
             n, weight = len(parts), float(sum(len(r) + 1 for r in rows))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array(parts, pa.list_(pa.float64()))], names=["shard", "chunk", "weight", "values"])
 
-        trained = stored(chosen.repartition(n_shards).mapInArrow(learn, "shard int, chunk int, weight double, values array<double>"))
+        trained = stored(encoded.repartition(n_shards).mapInArrow(learn, "shard int, chunk int, weight double, values array<double>"))
         vector = average(trained)
         if len(vector):
             model = Gru(len(units.mass), vector)
@@ -369,7 +366,7 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
     for word, c in own:
         mass[unit_of.bucket_number(word.encode())] -= c + SMOOTH
     units = Units.of(own, ends, np.maximum(mass, SMOOTH))
-    vector = fit(learnt, units, ends, id_col, text_col, **options)
+    vector = fit(learnt, units, ends, text_col, **options)
     held = spark.sparkContext.broadcast((units, vector, known, ends))  # bounded by HEAD words and the model's size
     names = ["token", "tf", "key", "id", "n_tokens", "n_known", "base", "score"]
 

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from suiteforge.llm import decontam, gru_lm, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity, warc
@@ -168,6 +169,21 @@ def test_lm_base_and_held_out_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def test_every_round_trains_on_every_training_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 5 + i % 7)) for i in range(300)], "doc_id long, text string").repartition(2)
+    trained, average, fit = [], gru_lm.average, gru_lm.fit
+
+    def seen(shards):
+        trained.append(sum(r.weight for r in shards.where("chunk = 0").collect()))
+        return average(shards)
+
+    monkeypatch.setattr(gru_lm, "average", seen)
+    monkeypatch.setattr(gru_lm, "fit", lambda docs, units, n, *args, **options: fit(docs, units, 200_000, *args, **options))  # the count of a large table
+    gru_lm.score(docs, F.lit(True), shard_docs=50_000).collect()
+    assert trained == [sum(5 + i % 7 + 1 for i in range(300))] * 3
+
+
+
 # op4
 
 
