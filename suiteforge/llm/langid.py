@@ -34,7 +34,7 @@ from .common import blocks, fit_in_task, in_share, text_bytes
 
 MARK = "▁"
 UNKNOWN = "und"
-#: Longer words are scored in parts of so many characters.
+#: Longer words are learnt and scored in parts of so many characters.
 LONG = 32
 _LETTERS = bytes(range(97, 123))
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else 0x20 for b in range(256))
@@ -45,6 +45,12 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.decode().lower().encode().translate(_TABLE).split()
 
 
+def word_parts(word: bytes) -> list[bytes]:
+    """The word, or its parts of LONG characters if it has more."""
+    text = word.decode(errors="replace") if len(word) > LONG else ""
+    return [text[j : j + LONG].encode() for j in range(0, len(text), LONG)] if len(text) > LONG else [word]
+
+
 def has_letter(text: bytes) -> bool:
     lower = text.lower()
     return len(lower.translate(None, _LETTERS)) < len(lower) or any(c.isalpha() for c in text.decode())
@@ -140,7 +146,9 @@ class Model:
 
 
 def fit_words(counts: np.ndarray, words: list[bytes], pieces: Pieces, rounds: int = 3, step: int = 50_000) -> np.ndarray:
-    """EM from a flat start over the words (rows of ``counts``) of each language (columns)."""
+    """EM from a flat start over the words (rows of ``counts``) of each language (columns); each part of a long word has the word's counts."""
+    split = [word_parts(w) for w in words]
+    counts, words = np.repeat(counts, [len(own) for own in split], axis=0), [part for own in split for part in own]
     p = np.full((len(pieces.number) + 1, counts.shape[1]), 1 / (len(pieces.number) + 1))
     parts = []
     for i in range(0, len(words), step):
@@ -200,8 +208,7 @@ class Scores:
         """Log-probability of each word by language; a word of more than LONG characters is scored in parts."""
         parts, owner = [], []
         for i, w in enumerate(words):
-            text = w.decode(errors="replace") if len(w) > LONG else ""
-            own = [text[j : j + LONG].encode() for j in range(0, len(text), LONG)] if len(text) > LONG else [w]
+            own = word_parts(w)
             parts += own
             owner += [i] * len(own)
         lattice = Lattice(self.pieces)

@@ -270,6 +270,15 @@ def test_mix_follows_stated_weights(spark):
 # op7
 
 
+def test_fit_learns_all_parts_of_long_words():
+    pieces = langid.Pieces(["▁", "日", "本", "本本", "語"])
+    first, second, third = ("日" * 32).encode(), ("本" * 32).encode(), "語語".encode()
+    counts = np.array([[3.0, 1.0]])
+    got = langid.fit_words(counts, [first + second + third], pieces)
+    assert np.allclose(got, langid.fit_words(np.repeat(counts, 3, axis=0), [first, second, third], pieces))
+    assert (got[4] > got[5]).all()  # a character after the first 32 counts more than one that never comes
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "aba"])
     p = np.random.default_rng(0).dirichlet(np.ones(9), 2).T
