@@ -20,7 +20,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # stored, so that both sides of the join are shuffled on their own and a hub's rows can be split (skew join)
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     linked = both.join(least, "a")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

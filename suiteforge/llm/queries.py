@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, gru_lm, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, toxicity, warc
+from . import ball_codes, decontam, gru_lm, infill, langid, lz_fingerprint, neardup, pfair, prefix_tokens, quality, simhash, toxicity, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,52 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut at lines into a fill-in-middle form, and read back from it."""
+    cut = infill.transform(read_table(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"),
+    )
+
+
+ORACLE["op11_infill"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every whole text and the smallest document id that it reaches over links of three bits."""
+    found = simhash.components(read_table(spark, sf_dir, "documents"), radius=3)
+    hex_digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts under codebooks of 256 entries, their errors, and the codebooks' digest."""
+    codes = ball_codes.fit(read_table(spark, sf_dir, "embeddings"), keep=("label",), parts=4, entries=256, rounds=4)
+    return ball_codes.with_label_errors(ball_codes.encode(codes), codes.codebooks)
+
+
+ORACLE["op13_vector_codes"] = ball_codes.sql()

@@ -10,7 +10,7 @@ SF_SMALL, SF_MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 OPS = (
     "op1_warc_derivatives op2_decontaminate op3_lm_score op4_token_counts op5_lz_fingerprints op6_mix_sources op7_language "
-    "op8_quality op9_near_duplicates op10_toxicity"
+    "op8_quality op9_near_duplicates op10_toxicity op11_infill op12_simhash"
 ).split()
 
 PASSAGE = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima"
