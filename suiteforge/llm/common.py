@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -98,8 +97,8 @@ def fit_in_task(sample: DataFrame, learn: Callable[[pa.Table], object]):
     return cloudpickle.loads(bytes(rows[0].model)) if rows else None
 
 
-def bounded_share(counts: int, bound: int) -> float:
-    """The share of ``counts`` rows that a sample of about ``bound`` rows takes."""
+def bounded_share(counts: float, bound: int) -> float:
+    """The share of ``counts`` rows (or bytes) that a sample of about ``bound`` of them takes."""
     return min(1.0, bound / counts) if counts else 1.0
 
 
@@ -108,10 +107,3 @@ def in_share(id_col: str, share: Column | float, seed: int = 17) -> Column:
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     return draw < share
 
-
-def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, blocks, map_batches, text_bytes, words
+from .common import WORD_TABLE, blocks, map_batches, stored, text_bytes, words
 
 WIDTH = 10
 SAMPLE_EVERY = 8
@@ -221,26 +222,31 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 8 << 20, id_col: str = "item_id", text_col: str = "text") -> list[Phrases]:
-    """The benchmark as blocks of about ``block_bytes`` of text, read one after the other."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    out = [Phrases.of([(r.item, r.text.encode()) for r in items.where(part == i).sort("item", "text").toLocalIterator()], width) for i in range(n)]
-    return [p for p in out if p.by_length] or out[:1]
+class PhraseBlocks:
+    """The benchmark as ``n`` blocks of about ``block_bytes`` of text; iterating reads one block after the other."""
+
+    def __init__(self, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 8 << 20, id_col: str = "item_id", text_col: str = "text"):
+        rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+        self.items, self.width = rows.where("text is not null").distinct(), width
+        size = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(1, -(-size // block_bytes))
+
+    def __iter__(self) -> Iterator[Phrases]:
+        part = F.pmod(F.xxhash64("item", "text"), F.lit(self.n))
+        for i in range(self.n):
+            yield Phrases.of([(r.item, r.text.encode()) for r in self.items.where(part == i).sort("item", "text").toLocalIterator()], self.width)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: its word count, merged removal spans (in words), and the items that occur in it."""
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.expr("array()").cast("array<struct<start:int,size:int>>").alias("_spans"), F.expr("array()").cast("array<string>").alias("_items"))
-    parts = phrase_blocks(benchmark, width, block_bytes)
+    parts = PhraseBlocks(benchmark, width, block_bytes)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
     for number, part in enumerate(parts, 1):
         held = docs.sparkSession.sparkContext.broadcast(part)  # bounded by block_bytes
 
-        def run(b: pa.RecordBatch, held=held, last=number == len(parts)) -> pa.RecordBatch:
+        def run(b: pa.RecordBatch, held=held, last=number == parts.n) -> pa.RecordBatch:
             texts, spans, items, sizes = text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), []
             for start, end in blocks(map(len, texts)):
                 own = [words(t) for t in texts[start:end]]
@@ -252,7 +258,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
             first = pa.array(sizes, pa.int64()) if last else b.column(1)
             return pa.RecordBatch.from_arrays([b.column(0), first, pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=["_id", "_words" if last else "_text", "_spans", "_items"])
 
-        out = map_batches(out, run, f"_id {kind}, {'_words long' if number == len(parts) else '_text string'}, _spans array<struct<start:int,size:int>>, _items array<string>")
+        out = map_batches(out, run, f"_id {kind}, {'_words long' if number == parts.n else '_text string'}, _spans array<struct<start:int,size:int>>, _items array<string>")
     return out.select(F.col("_id").alias(id_col), F.col("_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
@@ -269,15 +275,18 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", chars_col: str = "n_chars", block_bytes: int = 8 << 20) -> DataFrame:
     """The documents without their removal spans; all columns kept, ``chars_col`` (if there) set anew where a text changed.
 
-    Cutting repeats until no phrase of the block is left.  A document of which
-    no word is left goes; one that never had a word stays.
+    The spans of all blocks of the benchmark are merged, cut at once, and the
+    search repeats on what was cut until no phrase is left, so the result does
+    not depend on the blocks.  A document of which no word is left goes; one
+    that never had a word stays.
     """
+    parts = PhraseBlocks(benchmark, width, block_bytes)
     place = docs.columns.index(text_col)
-    for part in phrase_blocks(benchmark, width, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(part)
+    if parts.n == 1:  # nothing to merge: each task searches and cuts until its texts are clean
+        held = docs.sparkSession.sparkContext.broadcast(next(iter(parts)))  # bounded by block_bytes
 
-        def run(b: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            texts, keep, changed = text_bytes(b.column(place)), np.ones(b.num_rows, bool), {}
+        def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts, changed = text_bytes(b.column(place)), {}
             for start, end in blocks(map(len, texts)):
                 todo = list(range(start, end))
                 while todo:
@@ -285,16 +294,65 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col:
                     todo = [i for i, (spans, _) in zip(todo, found, strict=True) if spans]
                     for i, spans in zip(todo, (s for s, _ in found if s), strict=True):
                         texts[i] = changed[i] = cut(texts[i], spans)
-                        keep[i] = bool(words(texts[i]))
-            if not changed:
-                return b
-            columns = list(b.columns)
-            was = columns[place]
-            columns[place] = pa.array([changed[i].decode() if i in changed else was[i].as_py() for i in range(b.num_rows)], was.type)
-            if chars_col in b.schema.names:
-                at = b.schema.names.index(chars_col)
-                columns[at] = pa.array([len(changed[i].decode()) if i in changed else columns[at][i].as_py() for i in range(b.num_rows)], columns[at].type)
-            return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep))
-
-        docs = map_batches(docs, run, docs.schema)
-    return docs
+            return _with_texts(b, changed, place, chars_col)
+
+        return map_batches(docs, clean, docs.schema)
+
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(True).alias("open"))
+    spans_type = "array<struct<start:int,size:int>>"
+    while True:
+        work = given.withColumn("spans", F.array().cast(spans_type))
+        for part in parts:
+            held = docs.sparkSession.sparkContext.broadcast(part)
+            work = stored(map_batches(work, _searcher(held), work.schema))
+            held.destroy()
+        given = stored(map_batches(work, _cut_all, given.schema))
+        if given.where("open").isEmpty():
+            break
+    changed = F.col("text").isNotNull() & ~F.col(f"given.`{text_col}`").eqNullSafe(F.col("text"))
+    out = given.where(~changed | F.col("text").rlike(_ANY_WORD))
+    columns = {c: F.col(f"given.`{c}`") for c in docs.columns}
+    columns[text_col] = F.col("text")
+    if chars_col in columns:
+        columns[chars_col] = F.when(changed, F.length("text").cast(dict(docs.dtypes)[chars_col])).otherwise(columns[chars_col])
+    return out.select(*[c.alias(name) for name, c in columns.items()])
+
+
+#: A character of a word.
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def _with_texts(b: pa.RecordBatch, changed: dict[int, bytes], place: int, chars_col: str) -> pa.RecordBatch:
+    """The batch with its changed texts, without the documents of which no word is left."""
+    if not changed:
+        return b
+    columns = list(b.columns)
+    was = columns[place]
+    columns[place] = pa.array([changed[i].decode() if i in changed else was[i].as_py() for i in range(b.num_rows)], was.type)
+    if chars_col in b.schema.names:
+        at = b.schema.names.index(chars_col)
+        columns[at] = pa.array([len(changed[i].decode()) if i in changed else columns[at][i].as_py() for i in range(b.num_rows)], columns[at].type)
+    keep = [i not in changed or bool(words(changed[i])) for i in range(b.num_rows)]
+    return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep))
+
+
+def _searcher(held):
+    """Adds a block's spans to those that are there, for the texts that are still open."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, opened, spans = text_bytes(b.column("text")), b.column("open").to_pylist(), b.column("spans").to_pylist()
+        for start, end in blocks(map(len, texts)):
+            todo = [i for i in range(start, end) if opened[i]]
+            for i, (more, _) in zip(todo, find_in([words(texts[i]) for i in todo], held.value), strict=True):
+                if more:
+                    spans[i] = [{"start": s, "size": n} for s, n in merge([*((x["start"], x["size"]) for x in spans[i]), *more])]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, b.schema.field("spans").type)], names=b.schema.names)
+
+    return run
+
+
+def _cut_all(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Cuts the spans; a text that was cut stays open, the others are clean."""
+    texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
+    texts = [cut(t.encode(), [(x["start"], x["size"]) for x in s]).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("given"), pa.array(texts, pa.string()), pa.array([bool(s) for s in spans])], names=["given", "text", "open"])

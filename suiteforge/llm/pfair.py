@@ -1,27 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-The documents of a source, in seeded-hash order, form blocks of ``block_rows``
-rows.  A source with weight w = parts / period must get its j-th block (from 1)
-in a slot between the release floor((j - 1) / w) and the deadline ceil(j / w).
-Earliest deadline first (ties: by source name) meets all of them when the
-weights add up to one, so at every slot each source has had its weight's share
-to within less than one block.
-
-Weights are whole parts of a period, so the schedule of one period holds for
-all: the sequential choice runs over ``period`` slots only, whatever the number
-of documents, and every row finds its slot by arithmetic.  A row's position is
-slot * block_rows + place in the block: unique, and with gaps only where a
-source has ended (its last, shorter block and the slots after it).  Every row
-of every source is placed; the deviation bound holds as long as all sources
-last, and the others keep their relative shares after that.
+The target weights are whole numbers w with the sum W.  The documents of a
+source, in seeded-hash order, form blocks of ``block_rows`` rows; its j-th
+block (from 1) must get a slot between the release floor((j - 1) * W / w) and
+the deadline ceil(j * W / w).  Earliest deadline first (ties: by source name)
+meets all of them, so after every slot each source has had its weight's share
+of the slots to within less than one block, for ever: release and deadline come
+from the weights themselves, nothing is rounded on the way.
+
+After W slots every source has had exactly w blocks, so the schedule of W slots
+holds for all that follow: the sequential choice runs over W slots only,
+whatever the number of documents, and every row finds its slot by arithmetic.
+Stated weights that are whole numbers with a sum of at most ``parts`` are taken
+as they are.  Others (and the default, a power of the sources' sizes) become
+targets of whole parts: round(parts * weight / sum), at least one, so that W is
+``parts`` give or take half the number of sources.
+
+A row's position is slot * block_rows + place in the block: unique, and with
+gaps only where a source has ended (its last, shorter block and the slots after
+it).  Every row of every source is placed; the deviation bound holds as long as
+all sources last, and the others keep their relative shares after that.
 
 Numbering inside a source: the order is md5 of the id, so its first hex digits
 split a source of any size into ``16 ** digits`` buckets numbered apart, and a
 small table of bucket counts gives the offsets.
 
 Defined results: a null source is a source of its own, first in name order; a
-null id sorts as the empty text; repeated rows each get their own position; an
-empty table gives no rows; a column named like a result column is replaced.
+null id sorts as the empty text; texts are not read; equal ids are ordered by
+their other columns, equal rows each get their own position; an empty table
+gives no rows; a column named like a result column is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 1024
+PARTS = 4096
 BLOCK_ROWS = 32
 DIGITS = 3
 
@@ -44,19 +51,16 @@ def weight_of(n: Column, power: float = 0.5) -> Column:
     return F.greatest(F.lit(1), F.floor(F.pow(n, F.lit(power)) * 1000)).cast("long")
 
 
-def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """The slots of one period: (key, parts, period, slots) for (key, weight).
+def whole_parts(weights: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(key, weight) with whole weights in proportion to the given positive ones, their sum about ``parts``."""
+    listed = weights.groupBy().agg(F.collect_list(F.struct("key", "weight")).alias("all"), F.sum("weight").alias("total"))
+    return listed.select(F.inline(F.expr(f"transform(all, p -> named_struct('key', p.key, 'weight', greatest(1L, (2L * {parts} * p.weight + total) div (2 * total))))")))
 
-    There is one row per source; a period has at least four slots for each.
-    Every source gets one part, and the rest goes by cumulated weights.
-    """
-    listed = weights.agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("all"), F.sum("weight").alias("total"))
-    listed = listed.withColumn("period", F.greatest(F.lit(period), 4 * F.size("all")))
-    share = "(aggregate(slice(all, 1, k + {0}), 0L, (s, x) -> s + x.weight) * (period - size(all))) div total"
-    parts = listed.select("*", F.posexplode("all").alias("k", "own")).select(
-        "period", F.struct("k", F.col("own.key").alias("key"), F.expr(f"cast(1 + {share.format(1)} - {share.format(0)} as int)").alias("parts")).alias("one")
-    )
-    parts = parts.groupBy("period").agg(F.sort_array(F.collect_list("one")).alias("all"))
+
+def schedule(weights: DataFrame) -> DataFrame:
+    """The slots of one period: (key, parts, period, slots) for (key, whole weight); the period is the sum of the weights."""
+    listed = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("all"), F.sum("weight").cast("int").alias("period"))
+    parts = listed.withColumn("all", F.expr("transform(all, (p, k) -> named_struct('k', k, 'key', p.key, 'parts', cast(p.weight as int)))"))
     # state: blocks given so far to each source; of the released next blocks, the earliest deadline wins, then the name
     earliest = """array_min(transform(all, p -> if(p.parts > s.given[p.k] and (s.given[p.k] * period) div p.parts <= t,
         ((s.given[p.k] + 1) * period + p.parts - 1) div p.parts * size(all) + p.k, null)))"""
@@ -73,7 +77,7 @@ def mix(
     docs: DataFrame,
     weights: DataFrame | None = None,
     power: float = 0.5,
-    period: int = PERIOD,
+    parts: int = PARTS,
     block_rows: int = BLOCK_ROWS,
     digits: int = DIGITS,
     id_col: str = "doc_id",
@@ -95,16 +99,21 @@ def mix(
     before = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_mix_key", "_mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_offset"))
     if weights is None:
-        target = counts.groupBy(F.col("_mix_key").alias("key")).agg(weight_of(F.sum("n"), power).alias("weight"))
+        target = whole_parts(counts.groupBy(F.col("_mix_key").alias("key")).agg(weight_of(F.sum("n"), power).alias("weight")), parts)
     else:
-        given = weights.select(source_key(F.col("source")).alias("key"), F.greatest(F.lit(1), F.round(F.col("weight") * 1_000_000)).cast("long").alias("weight"))
-        target = counts.select(F.col("_mix_key").alias("key")).distinct().join(given, "key", "left").fillna({"weight": 1})
-    plan = schedule(target, period).withColumnRenamed("key", "_mix_key")
+        stated = weights.select(source_key(F.col("source")).alias("key"), F.col("weight").cast("double").alias("stated"))
+        stated = counts.select(F.col("_mix_key").alias("key")).distinct().join(stated, "key", "left").fillna({"stated": 1.0})
+        whole, total = stated.agg(F.min(F.col("stated") == F.floor("stated")), F.sum("stated")).first()
+        if whole and total <= parts:
+            target = stated.select("key", F.greatest(F.lit(1), F.col("stated").cast("long")).alias("weight"))
+        else:
+            target = whole_parts(stated.select("key", F.greatest(F.lit(1), F.round(F.col("stated") * 1_000_000)).cast("long").alias("weight")), parts)
+    plan = schedule(target).withColumnRenamed("key", "_mix_key")
 
     place = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_draw", F.col(f"_mix_given.`{id_col}`"), "_mix_tie")
     ranked = keyed.withColumn("_mix_row", F.row_number().over(place)).join(offsets, ["_mix_key", "_mix_bucket"])
-    # one row per source, its slots of one period: bounded by the period
-    rows = ranked.withColumn("_mix_row", F.col("_mix_row") + F.col("_mix_offset") - 1).join(F.broadcast(plan), "_mix_key")
+    # one row per source; Spark broadcasts the plan only if it is small
+    rows = ranked.withColumn("_mix_row", F.col("_mix_row") + F.col("_mix_offset") - 1).join(plan, "_mix_key")
     block = F.expr(f"_mix_row div {block_rows}")
     return rows.withColumn("mix_block", block.cast("long")).select(
         *[F.col(f"_mix_given.{c}") for c in columns],
@@ -122,11 +131,9 @@ WITH RECURSIVE keyed AS (
     row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r
   FROM documents),
 counts AS (SELECT key, count(*) AS n FROM keyed GROUP BY key),
-w AS (SELECT key, greatest(1, floor(pow(n, 0.5) * 1000))::BIGINT AS weight,
-    row_number() OVER (ORDER BY key) - 1 AS k, count(*) OVER () AS size, greatest({PERIOD}, 4 * count(*) OVER ()) AS period FROM counts),
-c AS (SELECT *, sum(weight) OVER (ORDER BY k) AS upto, sum(weight) OVER () AS total FROM w),
-p AS (SELECT key, k, size, period,
-    (1 + (upto * (period - size)) // total - ((upto - weight) * (period - size)) // total)::BIGINT AS parts FROM c),
+w AS (SELECT key, greatest(1, floor(pow(n, 0.5) * 1000))::BIGINT AS weight, row_number() OVER (ORDER BY key) - 1 AS k, count(*) OVER () AS size FROM counts),
+c AS (SELECT key, k, size, greatest(1, (2 * {PARTS} * weight + sum(weight) OVER ()) // (2 * sum(weight) OVER ()))::BIGINT AS parts FROM w),
+p AS (SELECT *, (sum(parts) OVER ())::BIGINT AS period FROM c),
 lists AS (SELECT list(parts ORDER BY k) AS parts, any_value(size) AS size, any_value(period) AS period FROM p),
 edf(t, given, k) AS (
   SELECT -1::BIGINT, list_transform(parts, lambda x: 0::BIGINT), -1::BIGINT FROM lists

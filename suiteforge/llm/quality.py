@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -170,20 +171,23 @@ class Scorer:
     fitted: bool = False
 
 
-def _packed(views: list[View]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _packed(views: Iterable[View]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and shares of the features; a view is not needed after its own are taken."""
     known: dict[bytes, int] = {}
-    parts = []
+    cols, shares = [], []
     for v in views:
         if len(known) > 200_000:  # bounded memory; the hash of a shape stays the same
             known.clear()
-        parts.append(shape_features(v, known))
-    rows = np.repeat(np.arange(len(parts)), [len(c) for c, _ in parts])
-    return rows, np.array([x for c, _ in parts for x in c], np.int64), np.concatenate([v for _, v in parts] or [np.zeros(0)])
+        c, share = shape_features(v, known)
+        cols.append(np.array(c, np.int32))
+        shares.append(share)
+    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    return rows, np.concatenate([*cols, np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([*shares, np.zeros(0)])
 
 
 def fit_scorer(texts: list[bytes], target: np.ndarray, labels: LabelModel, rounds: int = 200, l2: float = 1e-5) -> Scorer:
     """Logistic regression on the posteriors as soft targets, by full-batch AdaGrad."""
-    rows, cols, vals = _packed([view(t) for t in texts])
+    rows, cols, vals = _packed(view(t) for t in texts)  # one view at a time
     w, b, square, square_b = np.zeros(1 << SHAPE_BITS), 0.0, np.full(1 << SHAPE_BITS, 1e-6), 1e-6
     n = max(1, len(texts))
     for _ in range(rounds):
@@ -214,23 +218,24 @@ def score_texts(model: Scorer, texts: list[bytes]) -> np.ndarray:
 
 
 def with_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and the vote pattern, one signed digit for each labeller."""
+    """One row per document: id, the vote pattern (one signed digit for each labeller) and the bytes of its text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [list(votes(t)) for t in text_bytes(b.column(1))]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int8()))], names=[id_col, "votes"])
+        texts = text_bytes(b.column(1))
+        found = [list(votes(t)) for t in texts]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int8())), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "votes", "n_bytes"])
 
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return map_batches(narrow, run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, votes array<tinyint>")
+    return map_batches(narrow, run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, votes array<tinyint>, n_bytes long")
 
 
-def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Label model from the votes on all documents; scorer from a sample of about ``max_rows`` of them."""
-    patterns = with_votes(docs, id_col, text_col).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 8 rows
+def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 256 << 20) -> Scorer:
+    """Label model from the votes on all documents; scorer from a sample of about ``max_rows`` of them, or fewer that have ``max_bytes`` of text."""
+    patterns = with_votes(docs, id_col, text_col).groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size")).collect()  # at most 3 ** 9 rows
     patterns.sort(key=lambda r: tuple(r.votes))
     table = np.array([list(r.votes) for r in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
     labels = fit_labels(table, np.array([r.n for r in patterns]))
-    share = bounded_share(sum(r.n for r in patterns), max_rows)
+    share = min(bounded_share(sum(r.n for r in patterns), max_rows), bounded_share(sum(r.size for r in patterns), max_bytes))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(in_share("_id", share))
 
     def learn(rows: pa.Table) -> Scorer:

@@ -18,6 +18,7 @@ kept by ``reject``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -223,15 +224,18 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.clip(0.999 * step + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_rows: int = 24_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a hash-chosen sample of about ``max_rows`` labelled rows for which ``train`` holds.
+def fit(
+    docs: DataFrame, labels: DataFrame, train: Column | None = None, max_rows: int = 24_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_bytes: int = 256 << 20
+) -> Model:
+    """Fit on a hash-chosen sample of about ``max_rows`` labelled rows for which ``train`` holds, or fewer that have ``max_bytes`` of text.
 
-    The sample is bounded by that parameter and fitted in one task; only the
+    The sample is bounded by these parameters and fitted in one task; only the
     model (lexicon, trees, steps) comes to the driver.
     """
     marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col(id_col).isNotNull() & F.col("_y").isin(0, 1))
     marked = marked.where(train if train is not None else F.lit(True)).groupBy(F.col(id_col).alias("_id")).agg(F.max("_y").alias("_y"))
-    chosen = in_share("_id", bounded_share(marked.count(), max_rows))
+    n_marked, mean = marked.count(), docs.agg(F.avg(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)))).first()[0] or 0
+    chosen = in_share("_id", min(bounded_share(n_marked, max_rows), bounded_share(n_marked * mean, max_bytes)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(chosen)
 
     def learn(table: pa.Table) -> Model:
@@ -243,8 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
 
 
 def hash_order(value) -> int:
-    """A seeded order of ids that does not depend on Python's hash seed."""
-    return (int(value) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)
+    """A seeded order of ids (text ids by their digest) that does not depend on Python's hash seed."""
+    if not isinstance(value, int):
+        return int.from_bytes(hashlib.md5(str(value).encode()).digest()[:8], "little")
+    return (value * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

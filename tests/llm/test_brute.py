@@ -92,6 +92,20 @@ def test_short_shards_with_many_phrases():
         assert [(sum(n for _, n in s), i) for s, i in decontam.find_in([words(own)], phrases)] == [brute_windows(long, own)]
 
 
+def test_remove_is_the_same_over_blocks(spark):
+    w = [f"w{i}" for i in range(30)]
+    # windows of items in different blocks overlap, and cutting one passage brings the ends of another together
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[8:22])), (3, "aa bb cc dd ee ff gg hh ii jj"), (4, "left right")]
+    docs = [(1, "one " + " ".join(w) + " two", 0), (2, "x aa bb cc dd ee " + " ".join(w[:12]) + " ff gg hh ii jj y", 0), (3, "left " + " ".join(w[8:22]) + " right", 0), (4, "clean Text.", 0), (5, None, 0)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    one, many = (sorted((r.doc_id, r.text, r.n_chars) for r in decontam.remove(table, bench, block_bytes=n).collect()) for n in (8 << 20, 40))
+    assert one == many
+    kept = {i: t for i, t, _ in one}
+    assert kept[1].split() == ["one", *w[22:], "two"] and kept[2].split() == ["x", "y"] and 3 not in kept
+    assert kept[4] == "clean Text." and kept[5] is None
+
+
 def test_phrase_blocks_do_not_change_the_result(spark):
     docs, bench = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     one, many = (sorted(map(str, decontam.find(docs, bench, block_bytes=n).collect())) for n in (8 << 20, 1500))
@@ -243,28 +257,45 @@ def test_fingerprints_against_plain_parse(spark, docs):
 # op6
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_schedule_keeps_windows_and_lag(spark, seed):
-    draw = random.Random(seed)
-    weights = [(f"s{i:02}", draw.randint(1, 10 ** draw.randint(1, 5))) for i in range(draw.randint(1, 12))]
-    plan = pfair.schedule(spark.createDataFrame(weights, "key string, weight long"), 64).collect()
-    period = plan[0].period
-    assert sum(r.parts for r in plan) == period and sorted(t for r in plan for t in r.slots) == list(range(period))
+def lags_stay_below_one_block(plan, target):
+    """Windows and lag against the exact target weights, over 1,000 periods (each has the same slots)."""
+    total = sum(target.values())
+    assert {r.key: r.parts for r in plan} == target and {r.period for r in plan} == {total}
+    assert sorted(t for r in plan for t in r.slots) == list(range(total))
     for r in plan:
-        for j, t in enumerate(r.slots, 1):
-            assert (j - 1) * period // r.parts <= t < -(-j * period // r.parts)
-        given = 0
-        for t in range(period):
-            given += t in r.slots
-            assert abs(given - (t + 1) * r.parts / period) < 1
+        for q in (0, 1, 7, 999):
+            for j, t in enumerate(r.slots, q * r.parts + 1):
+                assert (j - 1) * total // r.parts <= q * total + t < -(-j * total // r.parts)
+        slots = np.array(r.slots) + total * np.arange(1000)[:, None]
+        slots, given = slots.ravel(), np.arange(1, slots.size + 1)
+        # the lag is largest just before and just after a block
+        assert (slots * r.parts < given * total).all() and ((slots + 1) * r.parts > (given - 1) * total).all()
+
+
+@pytest.mark.parametrize(("seed", "n"), [(0, 1), (1, 2), (2, 12), (3, 20), (4, 300)])
+def test_schedule_keeps_windows_and_lag(spark, seed, n):
+    draw = random.Random(seed)
+    weights = {f"s{i:03}": draw.randint(1, 30) for i in range(n)}
+    weights["s000"] += sum(weights.values()) // 2  # a third of all
+    lags_stay_below_one_block(pfair.schedule(spark.createDataFrame(list(weights.items()), "key string, weight long")).collect(), weights)
+
+
+def test_default_targets_are_close_to_the_power_of_the_sizes(spark):
+    sizes = {f"s{i}": 10 + i**3 for i in range(40)}
+    rows = spark.createDataFrame([(k, int(n**0.5 * 1000)) for k, n in sizes.items()], "key string, weight long")
+    found = {r.key: r.weight for r in pfair.whole_parts(rows).collect()}
+    total = sum(n**0.5 for n in sizes.values())
+    assert all(abs(found[k] - max(1, pfair.PARTS * n**0.5 / total)) <= 0.51 for k, n in sizes.items())
+    lags_stay_below_one_block(pfair.schedule(pfair.whole_parts(rows)).collect(), found)
 
 
 def test_mix_follows_stated_weights(spark):
     docs = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(3000)], "doc_id long, source string")
-    weights = spark.createDataFrame([("a", 1.0), (None, 3.0)], "source string, weight double")
-    rows = sorted(pfair.mix(docs, weights, block_rows=4).collect(), key=lambda r: r.mix_position)
-    n_null = sum(r.source is None for r in rows[:800])
-    assert len(rows) == 3000 and abs(n_null - 600) <= 8
+    for a, null in ((1.0, 3.0), (0.25, 0.75), (10_000.0, 30_000.0)):
+        weights = spark.createDataFrame([("a", a), (None, null)], "source string, weight double")
+        rows = sorted(pfair.mix(docs, weights, block_rows=4).collect(), key=lambda r: r.mix_position)
+        n_null = sum(r.source is None for r in rows[:800])
+        assert len(rows) == 3000 and abs(n_null - 600) <= 8
 
 
 # op7
