@@ -14,10 +14,10 @@ distance to a seed set (C11) joins against at most four seeds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .outcomes import P, S, T, expand_join, solution_pass_rate, solution_pattern_keys, test_pass_mean
+from .outcomes import P, S, T, expand_join, solution_pass_rate, test_pass_mean
 from ..session import cut_lineage
 from .suites import seeded_key
 
@@ -29,6 +29,37 @@ EXTRA_MIN = 0.1  # fallback pool: rate > EXTRA_MIN
 PICKS = 5
 
 
+def packed_solutions(outcomes: DataFrame) -> DataFrame:
+    """(problem_id, solution_id, words, n_tests, n_pass): each solution's whole outcome row as one bit array.
+
+    Word i holds tests 63 i to 63 i + 62 (a missing cell is a zero bit), so two
+    rows compare word by word, equal arrays are identical rows, and every
+    selection below reads this one narrow table instead of the cells.
+    Materialised once (reliable checkpoint).
+    """
+    bit = F.when(F.col("pass"), F.expr(f"shiftleft(1L, CAST({T} % {WORD} AS INT))")).otherwise(F.lit(0).cast("long"))
+    word = F.floor(F.col(T) / WORD).cast("int")
+    by_word = outcomes.groupBy(P, S, word.alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("pass"), F.lit(False))).alias("k")
+    )
+    held = by_word.groupBy(P, S).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"), F.max("word").alias("last"), F.sum("n").alias("n_tests"), F.sum("k").alias("n_pass")
+    )
+    words = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.col("held")[i], F.lit(0).cast("long")))
+    return cut_lineage(held.select(P, S, words.alias("words"), "n_tests", "n_pass"))
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two bit arrays (the shorter one is filled with zeros)."""
+    zero = F.lit(0).cast("long")
+    differ = F.zip_with(a, b, lambda x, y: F.bit_count(F.coalesce(x, zero).bitwiseXOR(F.coalesce(y, zero))).cast("long"))
+    return F.aggregate(differ, zero, lambda s, x: s + x)
+
+
+def rate_of_packed() -> Column:
+    return (F.col("n_pass").cast("double") / F.col("n_tests")).alias("pass_rate")
+
+
 def packed_rows(outcomes: DataFrame) -> DataFrame:
     """(problem_id, solution_id, word, bits): each solution's outcome row in 63-bit words."""
     bit = F.when(F.col("pass"), F.expr(f"shiftleft(1L, CAST({T} % {WORD} AS INT))")).otherwise(F.lit(0).cast("long"))
@@ -65,18 +96,18 @@ def pair_hamming(
 
 
 def _greedy_floor(pairs: DataFrame) -> DataFrame:
-    """Per problem, the least pair distance of one valid triple: the farthest pair
-    (x, y) plus the z maximising min(d(x, z), d(y, z)).  The best triple's
-    minimum is at least this, so pairs below it cannot be in the answer."""
-    far = pairs.groupBy(P).agg(F.max_by(F.struct("a", "b"), F.struct("distance", -F.col("a"), -F.col("b"))).alias("xy"))
-    ends = far.select(P, F.col("xy.a").alias("x"), F.col("xy.b").alias("y"))
-    sym = pairs.select(P, "a", "b", "distance").unionByName(
-        pairs.select(P, F.col("b").alias("a"), F.col("a").alias("b"), "distance")
-    )
-    touch = sym.join(ends, P).where((F.col("a") == F.col("x")) | (F.col("a") == F.col("y")))
-    touch = touch.where((F.col("b") != F.col("x")) & (F.col("b") != F.col("y")))
-    per_z = touch.groupBy(P, "b").agg(F.count(F.lit(1)).alias("_n"), F.min("distance").alias("_m"))
-    return per_z.where(F.col("_n") == 2).groupBy(P).agg(F.max("_m").alias("floor"))
+    """Per problem, the best least pair distance of the triples (a, its farthest x, z), over every start a and every z.
+
+    The best triple's minimum is at least this, so pairs below it cannot be in
+    the answer.  For each start one z row per other solution is looked at:
+    as many rows as there are pairs, whatever the ties.
+    """
+    sym = pairs.select(P, "a", "b", "distance").unionByName(pairs.select(P, F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    far = sym.groupBy(P, "a").agg(F.max(F.struct("distance", (-F.col("b")).alias("nx"))).alias("far"))
+    starts = far.select(P, "a", (-F.col("far.nx")).alias("x"), F.col("far.distance").alias("d_ax"))
+    az = sym.withColumnRenamed("distance", "d_az").join(starts, [P, "a"]).where(F.col("b") != F.col("x"))
+    xz = sym.select(P, F.col("a").alias("x"), "b", F.col("distance").alias("d_xz"))
+    return az.join(xz, [P, "x", "b"]).groupBy(P).agg(F.max(F.least("d_ax", "d_az", "d_xz")).alias("floor"))
 
 
 PRUNE_MIN = 64  # candidates per problem above which the exact floor prune pays off
@@ -126,10 +157,25 @@ def _largest_group(cand: DataFrame) -> int:
     return cand.groupBy(P).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _triple_of(outcomes: DataFrame, cand: DataFrame) -> DataFrame:
+def _pairs_of(packed: DataFrame, hot: bool, chunk: int) -> DataFrame:
+    """(problem, a, b, distance) of all pairs a < b of packed solutions; the left side of a large problem goes in slices."""
+    a = packed.select(P, F.col(S).alias("a"), F.col("words").alias("wa"))
+    b = packed.select(P, F.col(S).alias("b"), F.col("words").alias("wb"))
+    pairs = expand_join(a, b, [P], "a", chunk, hot).where(F.col("a") < F.col("b"))
+    return pairs.select(P, "a", "b", word_distance(F.col("wa"), F.col("wb")).alias("distance"))
+
+
+def _triple_of(cand: DataFrame) -> DataFrame:
+    """The best triple among packed candidates.
+
+    Of candidates with one pattern only the three lowest ids can be in the
+    answer: any other member may be exchanged for a lower one without changing
+    a distance, and the lower one wins the tie.
+    """
+    rank = F.row_number().over(Window.partitionBy(P, "words").orderBy(S))
+    cand = cut_lineage(cand.withColumn("_rank", rank).where(F.col("_rank") <= 3).drop("_rank"))
     biggest = _largest_group(cand)
-    pairs = pair_hamming(outcomes, cand, chunk=PAIR_CHUNK, hot=biggest > PAIR_CHUNK)
-    return best_triple(pairs, prune=biggest > PRUNE_MIN)
+    return best_triple(_pairs_of(cand, biggest > PAIR_CHUNK, PAIR_CHUNK), prune=biggest > PRUNE_MIN)
 
 
 def top_two(rates: DataFrame) -> DataFrame:
@@ -147,11 +193,20 @@ def diverse_candidates(rates: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
-def diverse_triple(outcomes: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def _with_top(packed: DataFrame) -> DataFrame:
+    """Packed solutions with ``_top`` (the two highest rates); only two rows of a problem leave each task for the ranking."""
+    top = top_two(packed.select(P, S, rate_of_packed())).groupBy(P).agg(F.collect_list(S).alias("_two"))
+    rated = packed.select(P, S, "words", rate_of_packed())
+    return rated.join(top, P).withColumn("_top", F.array_contains("_two", F.col(S))).drop("_two")
+
+
+def _mid_band() -> Column:
+    return ~F.col("_top") & (F.col("pass_rate") >= MID_LOW) & (F.col("pass_rate") < MID_HIGH)
+
+
+def diverse_triple(outcomes: DataFrame) -> DataFrame:
     """C9 as used by S1: the best triple among the mid-band candidates of problems with 3+ of them."""
-    rates = rates if rates is not None else solution_pass_rate(outcomes)
-    cand = diverse_candidates(rates, top_two(rates))
-    return _triple_of(outcomes, cand)
+    return _triple_of(_with_top(packed_solutions(outcomes)).where(_mid_band()).select(P, S, "words"))
 
 
 def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
@@ -159,24 +214,17 @@ def diverse_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     seeded draws from the rest with rate > 0.1.  Returns one row per pick with
     ``slot`` (0.. in solution order) and ``status`` ('ok' or 'insufficient').
 
-    The roles (top two, candidate, fallback pool and its draw order) come from
-    window functions over one per-solution table partitioned by problem, so
-    the rates are aggregated once and no role needs a join.
+    All roles read the packed table.  Rankings keep a few rows per problem and
+    task before they are shuffled (top-k), so no window holds all solutions of
+    a problem; three draws are made for every problem and dropped where a
+    triple exists.
     """
-    rates = solution_pass_rate(outcomes).select(P, S, "pass_rate")
-    by_p = Window.partitionBy(P)
-    rank = F.row_number().over(by_p.orderBy(F.col("pass_rate").desc(), F.col(S)))
-    r = rates.withColumn("_rank", rank)
-    is_top = F.col("_rank") <= 2
-    is_cand = ~is_top & (F.col("pass_rate") >= MID_LOW) & (F.col("pass_rate") < MID_HIGH)
-    r = r.withColumn("_cand", is_cand).withColumn("_n_cand", F.sum(F.col("_cand").cast("int")).over(by_p))
-    pool = ~is_top & (F.col("pass_rate") > EXTRA_MIN) & (F.col("_n_cand") < 3)
-    draw = F.row_number().over(Window.partitionBy(P, pool).orderBy(seeded_key(seed, P, S)))
-    r = r.withColumn("_extra", pool & (draw <= 3))
-    cand = r.where(F.col("_cand") & (F.col("_n_cand") >= 3)).select(P, S)
-    tri = _triple_of(outcomes, cand)
-    tri_rows = tri.select(P, F.explode(F.array("a", "b", "c")).alias(S))
-    picks = r.where(is_top | F.col("_extra")).select(P, S).unionByName(tri_rows)
+    r = cut_lineage(_with_top(packed_solutions(outcomes)))
+    tri = _triple_of(r.where(_mid_band()).select(P, S, "words"))
+    draw = F.row_number().over(Window.partitionBy(P).orderBy(seeded_key(seed, P, S)))
+    extra = r.where(~F.col("_top") & (F.col("pass_rate") > EXTRA_MIN)).select(P, S).withColumn("_rn", draw).where(F.col("_rn") <= 3)
+    tri = cut_lineage(tri.select(P, F.array("a", "b", "c").alias("three")))  # one row per problem
+    picks = extra.join(tri, P, "left_anti").select(P, S).unionByName(r.where("_top").select(P, S)).unionByName(tri.select(P, F.explode("three").alias(S)))
     return _finish(picks, "diverse")
 
 
@@ -212,20 +260,15 @@ def closest_five(outcomes: DataFrame) -> DataFrame:
 def nearest_distance(outcomes: DataFrame, seeds: DataFrame) -> DataFrame:
     """C11: for every non-seed solution, its least Hamming distance to the seed set of its problem.
 
-    ``seeds`` is (problem_id, solution_id); the join fans out by the seed count only.
+    ``seeds`` is (problem_id, solution_id), a few per problem: their distinct
+    rows travel as one array to the packed solutions of the problem.
     """
-    rows = packed_rows(outcomes)
-    seed_rows = rows.join(seeds.select(P, S), [P, S], "left_semi").select(
-        P, "word", F.col(S).alias("seed_id"), F.col("bits").alias("sb")
-    )
-    others = rows.join(seeds.select(P, S), [P, S], "left_anti")
-    # sum over words first (per pair with a seed), then min over seeds
-    per_seed = (
-        others.join(seed_rows, [P, "word"])
-        .groupBy(P, S, "seed_id")
-        .agg(F.sum(F.bit_count(F.col("bits").bitwiseXOR(F.col("sb")))).cast("long").alias("d"))
-    )
-    return per_seed.groupBy(P, S).agg(F.min("d").alias("min_distance"))
+    packed = packed_solutions(outcomes)
+    of = seeds.select(P, S).distinct()
+    rows = packed.join(of, [P, S], "left_semi").groupBy(P).agg(F.collect_set("words").alias("seed_words"))
+    others = packed.join(of, [P, S], "left_anti").join(rows, P)
+    least = F.array_min(F.transform("seed_words", lambda w: word_distance(F.col("words"), w)))
+    return others.select(P, S, least.alias("min_distance"))
 
 
 def similar_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
@@ -236,31 +279,21 @@ def similar_five(outcomes: DataFrame, seed: int = 42) -> DataFrame:
     all grouped solutions picks its group: E6); a group of 5+ gives a seeded
     sample of 5 (E7), a smaller one is kept and filled by rising nearest
     distance with seeded ties (E8).  Without groups the five with least total
-    distance are taken (C10).  Group sizes and the chosen group are window
-    aggregates over the per-solution pattern table.
+    distance are taken (C10).
+
+    A group is its packed row, so the nearest distance of every other solution
+    is one XOR with the chosen row, and all three rules are one top-five order:
+    members by draw, then others by distance and draw.
     """
-    keys = solution_pattern_keys(outcomes).select(P, S, "pat_h1", "pat_h2", "n_pass")
-    pat = F.struct("pat_h1", "pat_h2", "n_pass")
-    gsize = F.count(F.lit(1)).over(Window.partitionBy(P, "pat_h1", "pat_h2", "n_pass"))
-    k = keys.withColumn("_pat", pat).withColumn("_gsize", gsize)
-    draw = F.when(F.col("_gsize") > 1, seeded_key(seed, P, S))
-    k = k.withColumn("_chosen", F.min_by(F.struct("_pat", "_gsize"), draw).over(Window.partitionBy(P)))
-    members = k.where(F.col("_pat") == F.col("_chosen._pat"))
-    # A group of 5+ -> seeded sample of five
-    pick = F.row_number().over(Window.partitionBy(P).orderBy(seeded_key(seed + 1, P, S)))
-    big = members.where(F.col("_gsize") >= PICKS).withColumn("_rn", pick).where(F.col("_rn") <= PICKS).select(P, S)
-    # A smaller group -> keep it, fill by nearest distance
-    small = members.where(F.col("_gsize") < PICKS).select(P, S, F.col("_gsize").alias("gsize"))
-    nd = nearest_distance(outcomes.join(small.select(P).distinct(), P, "left_semi"), small)
-    fill_rank = F.row_number().over(Window.partitionBy(P).orderBy("min_distance", seeded_key(seed + 2, P, S)))
-    fill = (
-        nd.join(small.select(P, "gsize").distinct(), P)
-        .withColumn("_rn", fill_rank)
-        .where(F.col("_rn") <= PICKS - F.col("gsize"))
-        .select(P, S)
-    )
-    # No identical group
-    no_group = outcomes.join(k.where(F.col("_chosen").isNull()).select(P).distinct(), P, "left_semi")
-    closest = closest_five(no_group).select(P, S)
-    picks = big.unionByName(small.select(P, S)).unionByName(fill).unionByName(closest)
-    return _finish(picks, "similar")
+    packed = packed_solutions(outcomes)
+    groups = packed.groupBy(P, "words").agg(F.count(F.lit(1)).alias("n"), F.min(seeded_key(seed, P, S)).alias("draw")).where(F.col("n") > 1)
+    chosen = groups.groupBy(P).agg(F.min_by(F.struct(F.col("words").alias("chosen"), F.col("n").alias("gsize")), "draw").alias("g")).select(P, "g.*")
+    k = packed.select(P, S, "words").join(chosen, P, "left")
+    grouped = k.where(F.col("chosen").isNotNull()).select(
+        P, S, F.when(F.col("words") == F.col("chosen"), F.lit(-1)).otherwise(word_distance(F.col("words"), F.col("chosen"))).alias("far"),
+        F.when(F.col("gsize") >= PICKS, seeded_key(seed + 1, P, S)).otherwise(seeded_key(seed + 2, P, S)).alias("draw"),
+    )
+    alone = outcomes.join(k.where(F.col("chosen").isNull()).select(P).distinct(), P, "left_semi")
+    alone = total_distance(alone).select(P, S, F.col("total_distance").alias("far"), F.lit("").alias("draw"))
+    ranked = grouped.unionByName(alone).withColumn("_rn", F.row_number().over(Window.partitionBy(P).orderBy("far", "draw", S)))
+    return _finish(ranked.where(F.col("_rn") <= PICKS).select(P, S), "similar")

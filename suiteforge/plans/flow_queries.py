@@ -17,6 +17,7 @@ from ..operators.outcomes import P, S, T
 from ..schemas import from_nested, to_nested
 from ..session import ensure_checkpoint_dir
 from ..streaming.incremental import ingest_outcomes
+from ..streaming.running import run_counts, running_counts
 from .evolve import evolve_round
 from .matrix_queries import TMEAN, kept_sql
 from .registry import register
@@ -78,6 +79,44 @@ def q_incremental_outcomes(spark, sf):
     return ingest_outcomes(spark, src, f"{base}/table", f"{base}/stream-checkpoint", o.schema)
 
 
+#: Every result of the grid; a re-delivered third; later results that win (order 2) and older ones that lose (order 0).
+DROPS_SQL = """fx_drops AS (
+  SELECT problem_id, solution_id, test_id, pass, 1 AS ord FROM fx_outcomes
+  UNION ALL SELECT problem_id, solution_id, test_id, NOT pass, 2 FROM fx_outcomes WHERE (problem_id + test_id) % 4 = 1
+  UNION ALL SELECT problem_id, solution_id, test_id, NOT pass, 0 FROM fx_outcomes WHERE (problem_id + solution_id) % 4 = 2),
+fx_won AS (SELECT problem_id, solution_id, test_id, arg_max(pass, ord) AS pass FROM fx_drops GROUP BY ALL)"""
+
+
+def _streamed_counts(spark, sf, axis):
+    """The grid in drops, one re-delivered and two that conflict, taken in by two runs of the stream, a few files a batch."""
+    o = fx_outcomes(spark, sf).select(P, S, T, "pass")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/running-{uuid.uuid4().hex}"
+    source, counts = f"{base}/incoming", f"{base}/counts"
+
+    def drop(rows, order):
+        rows.withColumn("order", F.lit(order).cast("long")).coalesce(2).write.mode("append").parquet(source)
+
+    turned = o.withColumn("pass", ~F.col("pass"))
+    schema = o.withColumn("order", F.lit(1).cast("long")).schema
+    drop(o.where(F.col(P) % 3 != 1), 1)
+    drop(turned.where((F.col(P) + F.col(T)) % 4 == 1), 2)
+    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=3)
+    drop(o.where(F.col(P) % 3 != 0), 1)  # a third of the grid for the second time
+    drop(turned.where((F.col(P) + F.col(S)) % 4 == 2), 0)
+    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=3)
+    return running_counts(spark, counts, axis)
+
+
+@register("running_solution_counts", with_fx("SELECT problem_id, solution_id, count(*) AS n_tests, count(*) FILTER (pass) AS n_pass FROM fx_won GROUP BY ALL", DROPS_SQL))
+def q_running_solution_counts(spark, sf):
+    return _streamed_counts(spark, sf, "solutions")
+
+
+@register("running_test_counts", with_fx("SELECT problem_id, test_id, count(*) AS n_solutions, count(*) FILTER (pass) AS n_pass FROM fx_won GROUP BY ALL", DROPS_SQL))
+def q_running_test_counts(spark, sf):
+    return _streamed_counts(spark, sf, "tests")
+
+
 def _stub_generator(b: pd.DataFrame) -> pd.DataFrame:
     """Deterministic stand-in for a model: reads the task from the prompt, answers in four shapes (one a failure)."""
 
