@@ -13,12 +13,18 @@ Caller rules (B5/B6): a null text, a non-object, or a missing key gives the
 error question / sentinel tests; a non-string question is JSON-encoded, so a
 null question becomes ``"null"``.
 
-Spark plan: ``try_parse_json`` (variant) for step 3; when it fails, one
-possessive regex, anchored at the object's start, passes the complete members
-and picks the run of complete valid literals after ``"tests": [``;
-``from_json`` unescapes them.  Prose around unfenced JSON, or a broken member
-before the tests, leaves nothing to salvage.  The possessive form matters: a backtracking
-literal pattern overflows the JVM stack on very long literals.
+Step 3 for any shape: a prefix completed with ``]}`` parses exactly if it is
+a valid beginning of JSON whose open brackets are ``{[`` and that stands after
+``[`` or after a complete element.  A small push-down scan finds the longest
+one: the text is cut into JSON tokens once, and a fold over them carries the
+open brackets, what may come next, and where the last ``question`` and
+``tests`` members of the object lie (the last of repeated keys wins).
+
+Spark plan: ``try_parse_json`` (variant) for step 3; the scan runs only where
+that fails (cut or broken text, repeated keys).  Token patterns are possessive:
+a backtracking literal pattern overflows the JVM stack on very long literals.
+Prose around unfenced JSON leaves nothing to salvage.  ``NaN`` and the
+infinities, which are not JSON, end the scan.
 """
 
 from __future__ import annotations
@@ -34,18 +40,88 @@ ERROR_TESTS = ["assert False"]
 
 # a valid JSON string literal: no raw control characters, only the escapes JSON knows
 LIT = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
-# complete members of the object before its tests: literals, numbers and words
-SCALAR = r'(?:' + LIT + r'|-?[0-9][0-9.eE+-]*+|true|false|null)'
-MEMBERS = r'(?:' + LIT + r'\s*:\s*' + SCALAR + r'\s*,\s*)*'
-TESTS_RUN = r'(?s)^\s*\{\s*' + MEMBERS + r'"tests"\s*:\s*\[\s*((?:' + LIT + r'\s*(?:,\s*|(?=\])|$|(?=[^,\s])))*+)'
-QUESTION_LIT = r'(?s)^\s*\{\s*' + MEMBERS + r'?"question"\s*:\s*(' + LIT + r')'
+NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+# one token of JSON text, a run of white space, or one character that fits nowhere
+TOKEN = r"(?s)" + LIT + "|" + NUMBER + r"|true|false|null|[\[\]{},:]|[ \t\n\r]++|."
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _next(s: Column, token: Column) -> Column:
+    """What may come after ``token``: the rules of JSON."""
+    inner, at_end = F.right(s["open"], F.lit(1)), s["next"] == "end"
+    wants_value = s["next"].isin("value", "first")
+    text = token.startswith('"') & (F.length(token) > 1)
+    value = text | token.rlike("^-?[0-9]") | token.isin("true", "false", "null")
+    return (
+        F.when(value & wants_value, "end")
+        .when(text & s["next"].isin("key", "name"), "colon")
+        .when((token == ":") & (s["next"] == "colon"), "value")
+        .when((token == "[") & wants_value, "first")
+        .when((token == "{") & wants_value, "key")
+        .when((token == ",") & at_end & (inner == "["), "value")
+        .when((token == ",") & at_end & (inner == "{"), "name")
+        .when((token == "]") & (inner == "[") & (at_end | (s["next"] == "first")), "end")
+        .when((token == "}") & (inner == "{") & (at_end | (s["next"] == "key")), "end")
+        .otherwise("dead")
+    )
+
+
+def _scan(tokens: Column) -> Column:
+    """Fold over the tokens of a text.
+
+    State: ``open`` brackets; ``next``: value, first (value or ``]``), key (or
+    ``}``), name (a key), colon, end (comma or a closing bracket) or dead;
+    ``at``: characters read; ``key``: the running member of the object;
+    ``start``: where its value begins; ``q`` and ``t``: places of the last
+    complete question and tests; ``best``: the state at the last place where
+    ``]}`` would complete the text.
+    """
+    span = "struct<start:int,size:int>"
+    none = F.lit(None).cast(span)
+    found = F.struct(F.lit(-1).alias("at"), F.lit("").alias("key"), F.lit(0).alias("start"), none.alias("q"), none.alias("t"))
+    zero = F.struct(F.lit("").alias("open"), F.lit("value").alias("next"), F.lit(0).alias("at"), F.lit("").alias("key"), F.lit(0).alias("start"), none.alias("q"), none.alias("t"), found.alias("best"))
+
+    def after(s: Column, token: Column, now: Column) -> Column:
+        opened = (
+            F.when(token.isin("[", "{") & (now != "dead"), F.concat(s["open"], token))
+            .when(token.isin("]", "}") & (now != "dead"), F.left(s["open"], F.length(s["open"]) - 1))
+            .otherwise(s["open"])
+        )
+        end = s["at"] + F.length(token)
+        key = F.when((now == "colon") & (s["open"] == "{"), token).otherwise(s["key"])
+        start = F.when((s["open"] == "{") & (s["next"] == "value"), s["at"]).otherwise(s["start"])
+        return F.struct(opened.alias("open"), now.alias("next"), end.alias("at"), key.alias("key"), start.alias("start"))
+
+    def places(s: Column, n: Column) -> Column:
+        whole = (n["next"] == "end") & (n["open"] == "{")  # a member of the object is complete
+        place = F.struct(n["start"].alias("start"), (n["at"] - n["start"]).alias("size"))
+        return F.struct(
+            F.when(whole & (n["key"] == '"question"'), place).otherwise(s["q"]).alias("q"),
+            F.when(whole & (n["key"] == '"tests"'), place).otherwise(s["t"]).alias("t"),
+        )
+
+    def moved(s: Column, n: Column, p: Column) -> Column:
+        here = F.struct(n["at"].alias("at"), n["key"].alias("key"), n["start"].alias("start"), p["q"].alias("q"), p["t"].alias("t"))
+        best = F.when((n["open"] == "{[") & n["next"].isin("end", "first"), here).otherwise(s["best"])
+        return F.struct(n["open"], n["next"], n["at"], n["key"], n["start"], p["q"], p["t"], best.alias("best"))
+
+    def step(s: Column, token: Column) -> Column:
+        blank = F.struct(s["open"], s["next"], (s["at"] + F.length(token)).alias("at"), s["key"], s["start"], s["q"], s["t"], s["best"])
+        read = _let(_next(s, token), lambda now: _let(after(s, token, now), lambda n: _let(places(s, n), lambda p: moved(s, n, p))))
+        return F.when(s["next"] == "dead", s).when(token.rlike(r"^[ \t\n\r]"), blank).otherwise(read)
+
+    return F.aggregate(tokens, zero, step)
 
 
 def json_region(s: Column) -> Column:
     """Steps 1-2: fence selection and the cut at the last fence."""
     t = py_strip(s)
     t = F.coalesce(after_first(t, "```json"), after_first(t, "```python"), t)
-    last = F.length(t) - F.locate("```"[::-1], F.reverse(t)) - len(FENCE) + 1
+    last = F.length(t) - F.locate(FENCE, F.reverse(t)) - len(FENCE) + 1  # a fence reads the same from behind
     return F.when(F.locate(FENCE, t) > 0, t.substr(F.lit(1), last)).otherwise(t)
 
 
@@ -61,7 +137,11 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
     """
     s = F.col(text)
     d = df.withColumn("_region", json_region(s))
-    d = d.withColumn("_v", F.try_parse_json("_region"))
+    # the parser stops after the first value; as the first of exactly two elements the region must be one whole value
+    d = d.withColumn("_two", F.try_parse_json(F.concat(F.lit("["), F.col("_region"), F.lit(',"end"]'))))
+    two = F.col("_two")
+    is_whole = (F.try_variant_get(two, "$[1]", "string") == "end") & F.try_variant_get(two, "$[2]", "variant").isNull()
+    d = d.withColumn("_v", F.when(is_whole, F.try_variant_get(two, "$[0]", "variant")))
     v = F.col("_v")
     d = d.withColumn(
         "_p",
@@ -74,41 +154,28 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
             ),
         ),
     )
-    # fallback only for rows that did not parse
+    # the scan only for rows that did not parse
+    broken = v.isNull() & s.isNotNull()
+    d = d.withColumn("_s", F.when(broken, _scan(F.regexp_extract_all("_region", F.lit(TOKEN), F.lit(0)))))
+    complete = (F.col("_s.next") == "end") & (F.col("_s.open") == "")  # valid, with repeated keys
+    b = F.col("_s.best")
+    cut = lambda place: F.substring(F.col("_region"), place["start"] + 1, place["size"])
+    running = F.concat(F.substring(F.col("_region"), b["start"] + 1, b["at"] - b["start"]), F.lit("]"))
+    q_text = F.when(complete, cut(F.col("_s.q"))).otherwise(F.when(b["key"] == '"question"', running).otherwise(cut(b["q"])))
+    t_text = F.when(complete, cut(F.col("_s.t"))).otherwise(F.when(b["key"] == '"tests"', running).otherwise(cut(b["t"])))
     d = d.withColumn(
-        "_f",
-        F.when(
-            v.isNull() & s.isNotNull(),
-            F.struct(
-                F.col("_region").rlike(r'(?s)^\s*\{\s*' + MEMBERS + r'"tests"\s*:\s*\[').alias("has_run"),
-                F.regexp_replace(F.regexp_extract("_region", TESTS_RUN, 1), r",\s*$", "").alias("run"),
-                F.regexp_extract("_region", QUESTION_LIT, 1).alias("qlit"),
-            ),
-        ),
+        "_f", F.when(broken, F.struct((complete | (b["at"] >= 0)).alias("found"), F.try_parse_json(q_text).alias("qv"), F.try_parse_json(t_text).alias("tv")))
     )
     sentinel = F.array(*[F.lit(t) for t in ERROR_TESTS])
-    qv, tv = F.col("_p.qv"), F.col("_p.tv")
-    q_str = F.when(F.schema_of_variant(qv) == "STRING", F.try_variant_get(qv, "$", "string")).otherwise(F.to_json(qv))
-    has_run, qlit = F.col("_f.has_run"), F.col("_f.qlit")
-    fb_tests = F.from_json(F.concat(F.lit("["), F.col("_f.run"), F.lit("]")), "array<string>")
-    fb_question = F.get_json_object(F.concat(F.lit('{"q":'), qlit, F.lit("}")), "$.q")
     bad = s.isNull() | (v.isNotNull() & ~F.col("_p.is_object"))
-    out_problem = (
-        F.when(bad, F.lit(ERROR_QUESTION))
-        .when(v.isNotNull(), F.when(qv.isNull(), F.lit(ERROR_QUESTION)).otherwise(F.coalesce(q_str, F.lit("null"))))
-        .when(~has_run, F.lit("null"))
-        .when(qlit == "", F.lit(ERROR_QUESTION))
-        .otherwise(F.coalesce(fb_question, F.lit("null")))
-    )
-    out_tests = (
-        F.when(bad, sentinel)
-        .when(v.isNotNull(), F.when(tv.isNull(), sentinel).otherwise(F.try_variant_get(tv, "$", "array<string>")))
-        .when(~has_run, F.lit(None).cast("array<string>"))
-        .otherwise(fb_tests)
-    )
+    lost = v.isNull() & ~F.col("_f.found")
+    qv, tv = F.coalesce(F.col("_p.qv"), F.col("_f.qv")), F.coalesce(F.col("_p.tv"), F.col("_f.tv"))
+    q_str = F.when(F.schema_of_variant(qv) == "STRING", F.try_variant_get(qv, "$", "string")).otherwise(F.to_json(qv))
+    out_problem = F.when(bad, ERROR_QUESTION).when(lost, "null").when(qv.isNull(), ERROR_QUESTION).otherwise(F.coalesce(q_str, F.lit("null")))
+    out_tests = F.when(bad, sentinel).when(lost, F.lit(None).cast("array<string>")).when(tv.isNull(), sentinel).otherwise(F.try_variant_get(tv, "$", "array<string>"))
     # The result comes out of a one-row generator: a later filter on it cannot be
     # pushed below the generator, so the parse runs once.
-    keep = [c for c in d.columns if c not in ("_region", "_v", "_p", "_f")]
+    keep = [c for c in d.columns if c not in ("_region", "_two", "_v", "_p", "_s", "_f")]
     return d.select(*keep, F.inline(F.array(F.struct(out_problem.alias(problem), out_tests.alias(tests)))))
 
 

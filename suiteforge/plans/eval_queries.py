@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import TEST_SEP, fx_outcomes, fx_problems, fx_responses, fx_turns, with_fx, with_text
+from ..fixtures import TEST_SEP, fx_outcomes, fx_problems, fx_responses, fx_turns, spread, with_fx, with_text
 from ..functions import compare as cmp
 from ..functions import salvage as sv
 from ..functions import text as tx
@@ -138,7 +138,7 @@ def q_completion_index(spark, sf):
 
 def fx_outputs(spark, sf) -> DataFrame:
     """(case_id, actual, expected) program outputs built from orders."""
-    o = read_table(spark, sf, "orders")
+    o = spread(read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     price = F.format_string("%.2f", F.col("o_totalprice"))
     bumped = F.format_string("%.6f", F.col("o_totalprice") * F.lit(1.0000001))

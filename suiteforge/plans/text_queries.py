@@ -6,9 +6,11 @@ The oracle side rebuilds the expected values either from the source columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..fixtures import TEST_SEP, fx_outcomes, fx_problems, fx_responses, fx_turns, with_fx, with_text
+from ..fixtures import TEST_SEP, _fx_tests, fx_outcomes, fx_problems, fx_responses, fx_turns, with_fx, with_text
 from ..functions import salvage as sv
 from ..functions import text as tx
 from ..operators.outcomes import P, S, T
@@ -51,6 +53,48 @@ def q_json_salvage(spark, sf):
     return r.select("doc_id", "problem", _join_tests(F.col("tests")).alias("tests_text"), _n(F.col("tests")).alias("n_tests"))
 
 
+#: Nine broken or unusual shapes around a document's text and two of its tests, and what is left of each.
+SALVAGE_SHAPES = [
+    ('{{"meta": {{"a": [1, {{"b": "x"}}], "n": null}}, "question": {q}, "tests": [{t1}, {t2}, "cut', "q", "both"),
+    ('{{"question": "old", "tests": ["o"], "question": {q}, "tests": [{t1}, {t2}', "q", "both"),
+    ('{{"tests": ["o"], "question": "old", "tests": [{t1}], "question": {q}}}', "q", "one"),
+    ('{{"question": {q}, "tests": [{t1}, 12, true, null, {t2}, tru', "q", "mixed"),
+    ('{{"question": {q}, "tests": [{t1}], "n": 5', "q", "one"),
+    ('{{"tests": [{t1}], "question": {q}', "error", "one"),
+    ('{{"question": {q}, "tests": [{t1}, {t2}], "notes": ["n1", [2], "n2', "q", "both"),
+    ('Sure: {{"question": {q}, "tests": [{t1}]}}', "null", "none"),
+    ('{{"question": {q}, "tests": [{t1} {t2}]}}', "q", "one"),
+]
+SHAPE_CASE = lambda k: " ".join(f"WHEN {i} THEN '{shape[k]}'" for i, shape in enumerate(SALVAGE_SHAPES))
+
+
+@register(
+    "salvage_shapes",
+    with_text(
+        f"""SELECT doc_id, CASE qs WHEN 'q' THEN text WHEN 'error' THEN 'Error in question generation' ELSE 'null' END AS problem,
+                  CASE ts WHEN 'both' THEN t1 || '{TEST_SEP}' || t2 WHEN 'one' THEN t1
+                          WHEN 'mixed' THEN t1 || '{TEST_SEP}12{TEST_SEP}true{TEST_SEP}' || t2 END AS tests_text,
+                  CAST(CASE ts WHEN 'both' THEN 2 WHEN 'one' THEN 1 WHEN 'mixed' THEN 5 END AS BIGINT) AS n_tests
+           FROM (SELECT *, CASE doc_id % {len(SALVAGE_SHAPES)} {SHAPE_CASE(1)} END AS qs, CASE doc_id % {len(SALVAGE_SHAPES)} {SHAPE_CASE(2)} END AS ts
+                 FROM documents JOIN fx_tests USING (doc_id))"""
+    ),
+)
+def q_salvage_shapes(spark, sf):
+    """H2 on nested members, repeated keys, mixed lists, errors outside the tests, prose and missing commas."""
+    r = fx_responses(spark, sf)
+    quoted = lambda c: F.expr(f"substring(to_json(named_struct('x', {c})), 6, length(to_json(named_struct('x', {c}))) - 6)")
+    tests = _fx_tests(F.col("doc_id"), F.col("n_chars"), F.col("lang"), F.col("source"))
+    r = r.withColumns({"t1": tests[0], "t2": tests[1]}).withColumns({"q_json": quoted("text"), "t1_json": quoted("t1"), "t2_json": quoted("t2")})
+    kind = F.col("doc_id") % len(SALVAGE_SHAPES)
+    shaped = F.lit(None).cast("string")
+    for i, (shape, _, _) in enumerate(SALVAGE_SHAPES):
+        pieces = re.split(r"(\x01|\x02|\x03)", shape.format(q="\x01", t1="\x02", t2="\x03"))
+        held = {"\x01": F.col("q_json"), "\x02": F.col("t1_json"), "\x03": F.col("t2_json")}
+        shaped = F.when(kind == i, F.concat(*[held.get(x, F.lit(x)) for x in pieces])).otherwise(shaped)
+    out = sv.parse_responses(r.select("doc_id", shaped.alias("response")), "response")
+    return out.select("doc_id", "problem", _join_tests(F.col("tests")).alias("tests_text"), _n(F.col("tests")).alias("n_tests"))
+
+
 @register("valid_responses", with_text("SELECT doc_id, n_tests FROM fx_expected WHERE k < 4", SALVAGE_EXPECTED))
 def q_valid_responses(spark, sf):
     r = sv.parse_responses(fx_responses(spark, sf).select("doc_id", "response"), "response")
