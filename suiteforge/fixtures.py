@@ -150,9 +150,10 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(problem_id, solution_id, turn, text, raw_text): assistant turns wrapped four ways."""
-    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+def fx_turns(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    """(problem_id, solution_id, turn, text, raw_text): all turns (or those of one role) wrapped four ways."""
+    c = read_table(spark, sf_dir, "conversations")
+    c = c.where(F.col("role") == role) if role else c
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -212,6 +213,11 @@ fx_tests AS (
          'assert g("' || lang || '", "a\nb") == "' || source || '"' AS t2,
          'assert h(' || CAST(n_chars AS VARCHAR) || ') is True' AS t3
   FROM documents),
+fx_all_turns AS (
+  SELECT conv_id AS problem_id,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS solution_id,
+         turn, text, (conv_id + turn) % 4 AS v
+  FROM conversations),
 fx_turns AS (
   SELECT conv_id AS problem_id,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS solution_id,

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .salvage import TOKEN, first_if_whole, two_elements
 from .text import py_strip, split_lines
 
 # fixed values: tolerance of the numeric rung (numpy.allclose defaults)
@@ -45,19 +46,37 @@ def _close(a: Column, b: Column) -> Column:
     return F.when(infinite, a == b).otherwise(F.abs(a - b) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(b))
 
 
+def _by_value(token: Column) -> Column:
+    """One JSON token as the value it stands for: numbers in one spelling, true and false as 1 and 0."""
+    x = token.try_cast("double")
+    whole = (F.abs(x) < 1e18) & (x == F.floor(x))
+    number = F.when(token.rlike("^-?[0-9]+$"), F.when(token == "-0", "0").otherwise(token)).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    return F.when(token == "true", "1").when(token == "false", "0").when(token.rlike("^-?[0-9]"), number).otherwise(token)
+
+
+def canonical_value(v: Column) -> Column:
+    """Text that is equal for equal values: compact, keys in order, numbers and booleans by value (``1e2`` is 100, ``true`` is 1) at every depth."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(TOKEN), F.lit(0)), _by_value), "")
+
+
+def parse_whole(s: Column | str) -> Column:
+    """Variant of a text that is one JSON value (null for anything else, trailing text included)."""
+    return first_if_whole(two_elements(_c(s)))
+
+
 def canonical_json(s: Column | str) -> Column:
-    """Compact JSON text of a value (null when the text is not JSON)."""
-    return F.to_json(F.try_parse_json(_c(s)))
+    """``canonical_value`` of a JSON text (null when the text is not JSON)."""
+    return canonical_value(parse_whole(s))
 
 
 def call_result_match(actual_json: Column | str, expected_json: Column | str) -> Column:
     """Call-style result equals expected, or equals the first element of a
-    non-empty expected list (values compared as canonical JSON)."""
-    a = canonical_json(actual_json)
-    ev = F.try_parse_json(_c(expected_json))
-    first = F.to_json(F.try_variant_get(ev, "$[0]", "variant"))
+    non-empty expected list; values are equal as in the language of the tests
+    (numbers and booleans by value, at every depth, keys in any order)."""
+    a, ev = canonical_json(actual_json), parse_whole(expected_json)
+    first = canonical_value(F.try_variant_get(ev, "$[0]", "variant"))
     is_list = F.coalesce(F.schema_of_variant(ev).startswith("ARRAY"), F.lit(False))
-    return F.coalesce(a == F.to_json(ev), F.lit(False)) | (is_list & F.coalesce(a == first, F.lit(False)))
+    return F.coalesce(a == canonical_value(ev), F.lit(False)) | (is_list & F.coalesce(a == first, F.lit(False)))
 
 
 def int_keys(m: Column | str) -> Column:

@@ -125,6 +125,17 @@ def json_region(s: Column) -> Column:
     return F.when(F.locate(FENCE, t) > 0, t.substr(F.lit(1), last)).otherwise(t)
 
 
+def two_elements(text: Column) -> Column:
+    """The text as the first of two elements: the parser stops after a first value, so on its own it would accept any text after it."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end"]')))
+
+
+def first_if_whole(two: Column) -> Column:
+    """The variant of a text from its ``two_elements``, null unless the text is one whole JSON value."""
+    is_whole = (F.try_variant_get(two, "$[1]", "string") == "end") & F.try_variant_get(two, "$[2]", "variant").isNull()
+    return F.when(is_whole, F.try_variant_get(two, "$[0]", "variant"))
+
+
 def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: str = "tests") -> DataFrame:
     """Add ``problem`` and ``tests`` parsed from column ``text`` (rules above + caller rules).
 
@@ -137,11 +148,8 @@ def parse_responses(df: DataFrame, text: str, problem: str = "problem", tests: s
     """
     s = F.col(text)
     d = df.withColumn("_region", json_region(s))
-    # the parser stops after the first value; as the first of exactly two elements the region must be one whole value
-    d = d.withColumn("_two", F.try_parse_json(F.concat(F.lit("["), F.col("_region"), F.lit(',"end"]'))))
-    two = F.col("_two")
-    is_whole = (F.try_variant_get(two, "$[1]", "string") == "end") & F.try_variant_get(two, "$[2]", "variant").isNull()
-    d = d.withColumn("_v", F.when(is_whole, F.try_variant_get(two, "$[0]", "variant")))
+    d = d.withColumn("_two", two_elements(F.col("_region")))
+    d = d.withColumn("_v", first_if_whole(F.col("_two")))
     v = F.col("_v")
     d = d.withColumn(
         "_p",

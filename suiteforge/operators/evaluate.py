@@ -149,6 +149,12 @@ def route_by_kind(items: DataFrame, tests_col: str = "tests") -> tuple[DataFrame
     return k.where(F.col("kind") == "assert"), k.where(F.col("kind") == "io")
 
 
+def outcomes_of_rungs(compared: DataFrame) -> DataFrame:
+    """Cells from compared outputs: a rung other than ``none`` passes; a null rung (no output) is an unexecuted cell.  Other columns stay."""
+    reason = F.when(F.col("rung").isNull(), "unexecuted").when(F.col("rung") == "none", "fail").otherwise("pass")
+    return compared.withColumn("pass", F.coalesce(F.col("rung") != "none", F.lit(False))).withColumn("reason", reason)
+
+
 def partial_scores(outcomes: DataFrame, cap: int = 10) -> DataFrame:
     """J6/H28 (intended rule): 1.0 when every test passes, else the pass fraction over
     the first ``cap`` tests of the suite.  Two aggregates; no per-solution arrays."""

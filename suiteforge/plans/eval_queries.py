@@ -254,6 +254,28 @@ def q_call_compare(spark, sf):
     return e.select("event_id", cmp.call_result_match(F.col("props"), expected).alias("matched"))
 
 
+@register("call_compare_values", "SELECT event_id, event_id % 8 NOT IN (3, 5, 7) AS matched FROM events")
+def q_call_compare_values(spark, sf):
+    """H22 by value: exponents, decimals, booleans, nested lists and objects, first elements; text after a value is no value."""
+    n = (F.col("event_id") % 1000).cast("string")
+    pairs = [
+        ("{n}", "{n}.0"),
+        ('{"a": [{n}, true], "b": null}', '{"b":null,"a":[{n}.0,1]}'),
+        ("{n}e2", "{n}00"),
+        ("[{n}, [1, 2]]", "[{n}, [1, 3]]"),
+        ("false", '[0, "x"]'),
+        ('"{n}"', "{n}"),
+        ('{"a": {"x": {n}}}', '[{"a": {"x": {n}.00}}]'),
+        ("{n} and more", "{n}"),
+    ]
+    actual = expected = F.lit(None).cast("string")
+    for k, (a, e) in enumerate(pairs):
+        here = F.col("event_id") % 8 == k
+        actual, expected = (F.when(here, F.replace(F.lit(x), F.lit("{n}"), n)).otherwise(rest) for x, rest in ((a, actual), (e, expected)))
+    rows = read_table(spark, sf, "events").select("event_id", actual.alias("actual"), expected.alias("expected"))
+    return rows.select("event_id", cmp.call_result_match("actual", "expected").alias("matched"))
+
+
 @register(
     "int_keys",
     """SELECT event_id, CAST(user_id % 7 AS INTEGER) AS key, event_type AS val, true AS floats_scalar, true AS floats_list,
@@ -306,6 +328,22 @@ def q_partial_score(spark, sf):
     return ev.partial_scores(fx_outcomes(spark, sf), cap=10)
 
 
+@register(
+    "output_scores",
+    f"""WITH rungs AS ({LADDER_SQL}),
+    cells AS (SELECT case_id // 240 AS problem_id, case_id // 20 % 12 AS solution_id, case_id % 20 AS test_id, rung <> 'none' AS pass FROM rungs),
+    pos AS (SELECT problem_id, test_id, row_number() OVER (PARTITION BY problem_id ORDER BY test_id) - 1 AS pos FROM (SELECT DISTINCT problem_id, test_id FROM cells))
+    SELECT problem_id, solution_id, CASE WHEN bool_and(pass) THEN 1.0 ELSE coalesce(avg(CASE WHEN pos < 10 THEN CAST(pass AS INT) END), 0.0) END AS score
+    FROM cells JOIN pos USING (problem_id, test_id) GROUP BY 1, 2""",
+)
+def q_output_scores(spark, sf):
+    """J6 from outputs to scores: the comparison ladder over a table of outputs gives the cells, the partial rule their scores."""
+    compared = cmp.compare_outputs(fx_outputs(spark, sf), "actual", "expected")
+    return ev.partial_scores(ev.outcomes_of_rungs(compared.select(
+        F.expr("case_id div 240").alias(P), F.expr("case_id div 20 % 12").alias(S), (F.col("case_id") % 20).alias(T), "rung"
+    )))
+
+
 @register(
     "fanout",
     with_text(
@@ -318,7 +356,7 @@ def q_partial_score(spark, sf):
     ),
 )
 def q_fanout(spark, sf):
-    sols = fx_turns(spark, sf).select(P, S)
+    sols = fx_turns(spark, sf, "assistant").select(P, S)  # what the model wrote is a solution
     r = sv.parse_responses(fx_responses(spark, sf).select("doc_id", "response"), "response")
     tests = r.select(
         F.col("doc_id").alias(P),

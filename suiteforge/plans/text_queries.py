@@ -26,7 +26,7 @@ RAW_TURN = f"""fx_raw_turns AS (
                 WHEN 2 THEN 'Here:' || {NL} || '```python' || {NL} || text || {NL} || '```' || {NL} || 'Done.'
                 ELSE '```python' || {NL} || 'x = ' || CAST(turn AS VARCHAR) || {NL} || 'print(x)' || {NL} || '```' || {NL}
                      || 'and then' || {NL} || '```python' || {NL} || text || {NL} || '    printer = 1' || {NL} || '```' END AS raw_text
-  FROM fx_turns)"""
+  FROM fx_all_turns)"""
 
 
 def _join_tests(arr):
