@@ -13,8 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.compare import test_kind
 from ..session import cut_lineage
@@ -92,18 +95,22 @@ def evaluate_with(
     ``fn`` is called once per (problem, solution) with all its cells in test
     order, whatever the Arrow batch size.  Solutions are spread over tasks by
     key, or with a ``cost`` column (e.g. expected run time) by total cost
-    (:func:`cost_spread`).  When ``fn`` raises, the unit's cells come out as
-    failed ``unexecuted`` rows with the error as message; cells that ``fn``
-    leaves out are marked by :func:`complete_grid` (D25/D26).  Keys are not null.
+    (:func:`cost_spread`).  When ``fn`` raises, or returns columns that are
+    missing or of another type, the unit's cells come out as failed
+    ``unexecuted`` rows with the error as message; cells that ``fn`` leaves out
+    are marked by :func:`complete_grid` (D25/D26).  The rows are stored, so
+    that a second use of the result calls ``fn`` no more.  Keys are not null.
     """
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = cost_spread(cells, cost, n) if cost else cells.repartition(n, P, S)
     cols = [c.split()[0] for c in schema.split(",")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in _units(batches, [P, S]):
             try:
                 out = fn(unit)[cols]
+                pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)  # of the stated types
             except Exception as e:  # noqa: BLE001 - one failed unit never aborts the job
                 out = pd.DataFrame({c: unit[c] if c in (P, S, T) else [None] * len(unit) for c in cols})
                 for c, value in (("pass", False), ("reason", "unexecuted"), ("error_message", f"{type(e).__name__}: {e}")):
@@ -111,7 +118,7 @@ def evaluate_with(
                         out[c] = value
             yield out
 
-    return spread.sortWithinPartitions(P, S, T).mapInPandas(run, schema=schema)
+    return cut_lineage(spread.sortWithinPartitions(P, S, T).mapInPandas(run, schema=schema))
 
 
 def evaluate_grid(solutions: DataFrame, tests: DataFrame, fn: EvaluatorFn, done: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fx_outcomes, with_fx
 from ..operators import suites as su
-from ..operators.outcomes import P, S, T
+from ..operators.evaluate import evaluate_with, retry_syntax_errors
+from ..operators.outcomes import P, S, T, complete_grid
 from ..schemas import from_nested, to_nested
 from ..session import ensure_checkpoint_dir
 from ..streaming.incremental import ingest_outcomes
@@ -117,6 +118,46 @@ def q_running_test_counts(spark, sf):
     return _streamed_counts(spark, sf, "tests")
 
 
+def _recorded_evaluator(unit: pd.DataFrame) -> pd.DataFrame:
+    """Hands back the recorded outcomes of a solution: code that does not compile is a syntax error; some units break the hook itself."""
+    if unit["fault"].iloc[0] == "raise":
+        raise RuntimeError("lost its sandbox")
+    try:
+        compile(unit["code"].iloc[0], "solution", "exec")
+    except SyntaxError as e:
+        out = unit.assign(**{"pass": False, "reason": "syntax_error", "error_message": f"SyntaxError: {type(e).__name__}"})
+    else:
+        out = unit.assign(**{"pass": unit["recorded"], "reason": unit["recorded"].map({True: "pass", False: "fail"}), "error_message": None})
+    out["time_limit"] = 1.0
+    if unit["fault"].iloc[0] == "type":
+        out["pass"] = "yes"
+    return out[out[T] % 20 != 7] if unit["fault"].iloc[0] == "short" else out
+
+
+@register(
+    "evaluate_failures",
+    with_fx(
+        """SELECT problem_id, solution_id, test_id,
+                  CASE WHEN k IN (0, 1) OR (k = 2 AND test_id % 20 = 7) THEN false ELSE pass END AS pass,
+                  CASE WHEN k IN (0, 1) OR (k = 2 AND test_id % 20 = 7) THEN 'unexecuted' WHEN pass THEN 'pass' ELSE 'fail' END AS reason,
+                  CASE k WHEN 0 THEN 'RuntimeError' WHEN 1 THEN 'ArrowInvalid' END AS error
+           FROM (SELECT *, (problem_id + solution_id) % 7 AS k FROM fx_outcomes)"""
+    ),
+)
+def q_evaluate_failures(spark, sf):
+    """One call per solution; units that raise, return wrong types or leave tests out; code with a syntax error is run again on the raw text."""
+    o = fx_outcomes(spark, sf)
+    kind = (F.col(P) + F.col(S)) % 7
+    fault = F.when(kind == 0, "raise").when(kind == 1, "type").when(kind == 2, "short").otherwise("")
+    raw = F.concat(F.lit("def f(x):\n    return x + "), F.col(S).cast("string"))
+    cells = o.select(P, S, T, F.col("pass").alias("recorded"), fault.alias("fault"), raw.alias("raw"))
+    first = cells.withColumn("code", F.when(F.col(S) % 4 == 1, F.concat(F.lit("Sure: "), "raw")).otherwise(F.col("raw")))
+    found = retry_syntax_errors(evaluate_with(first, _recorded_evaluator), cells.withColumnRenamed("raw", "code"), _recorded_evaluator)
+    grid = complete_grid(found, o.select(P, S).distinct(), o.select(P, T).distinct(), hot=False)
+    errors = found.select(P, S, T, F.split_part("error_message", F.lit(":"), F.lit(1)).alias("error"))
+    return grid.select(P, S, T, "pass", "reason").join(errors, [P, S, T], "left")
+
+
 def _stub_generator(b: pd.DataFrame) -> pd.DataFrame:
     """Deterministic stand-in for a model: reads the task from the prompt, answers in four shapes (one a failure)."""
 
