@@ -3,9 +3,10 @@
 * plain text (a prompt string, a solution): ``sha2(text, 256)`` -- identical
   bytes to hashing the UTF-8 text, JVM-side;
 * chat messages (``array<struct<role, content>>``): sha256 of the compact,
-  key-sorted JSON of the list.  ``messages_key`` builds that JSON in the JVM
-  (exact for ASCII content); ``messages_key_compat`` is a small Arrow-batched
-  helper that also reproduces the ``\\uXXXX`` escaping of non-ASCII text.
+  key-sorted JSON of the list, non-ASCII text escaped as ``\\uXXXX`` (UTF-16,
+  so characters beyond the first plane as surrogate pairs).  ``messages_key``
+  builds these bytes with column functions; ``messages_key_compat`` is a small
+  Arrow-batched helper that gives the same keys.
 """
 
 from __future__ import annotations
@@ -24,11 +25,41 @@ def text_key(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def messages_key(messages: Column | str) -> Column:
-    """H4 (messages path, JVM): keys sorted (``content`` before ``role``), compact separators."""
+# fixed values: JSON's short escapes
+SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _unit(n: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+
+def json_ascii(s: Column) -> Column:
+    """A string as ASCII JSON text, ``null`` for null; only texts that need it are taken apart."""
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        over = n - 0x10000
+        out = F
+        for char, short in SHORT_ESCAPES.items():
+            out = out.when(c == char, short)
+        pair = F.concat(_unit(F.shiftright(over, 10) + 0xD800), _unit(over.bitwiseAND(0x3FF) + 0xDC00))
+        return out.when(n.between(0x20, 0x7E), c).when(n > 0xFFFF, pair).otherwise(_unit(n))
+
+    plain = ~s.rlike(r'[^\x20-\x7E]|["\\]')
+    text = F.when(plain, s).otherwise(F.array_join(F.transform(F.split(s, ""), escaped), ""))
+    return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
+
+
+def messages_json(messages: Column | str) -> Column:
+    """The compact JSON text of a list of messages, keys sorted (``content`` before ``role``), null for null."""
     m = F.col(messages) if isinstance(messages, str) else messages
-    ordered = F.transform(m, lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
-    return F.sha2(F.to_json(ordered), 256)
+    one = lambda x: F.concat(F.lit('{"content":'), json_ascii(x["content"]), F.lit(',"role":'), json_ascii(x["role"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(m, one), ","), F.lit("]"))
+
+
+def messages_key(messages: Column | str) -> Column:
+    """H4 (messages path): sha256 of :func:`messages_json`, exact for any text."""
+    return F.sha2(messages_json(messages), 256)
 
 
 @F.pandas_udf(StringType())

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -118,6 +118,45 @@ def stratified_head(df: DataFrame, subset_col: str, subsets: list[str], order: s
     return out
 
 
+def smallest(df: DataFrame, key: Column, n: int, digits: int = 3) -> DataFrame:
+    """The ``n`` rows with the smallest hexadecimal ``key`` (a hash: its digits are even), without a global sort.
+
+    One aggregate counts the rows of each of the ``16 ** digits`` key prefixes;
+    the cumulated counts give the prefix that holds the n-th row.  Rows before
+    it are kept by a plain filter, whatever ``n``; only the rows of that one
+    prefix are ranked, and taken to further digits first while they are many.
+    """
+    keyed = df.withColumn("_key", key)
+    prefix, kept, need = "", [], n
+    while True:
+        width = len(prefix) + digits
+        sizes = keyed.where(F.col("_key").startswith(prefix)).groupBy(F.substring("_key", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 16 ** digits rows
+        cut, before = None, 0
+        for r in sorted(sizes, key=lambda r: r.p):
+            if before + r.n > need:
+                cut = r
+                break
+            before += r.n
+        inside = F.col("_key").startswith(prefix)
+        if cut is None:
+            kept.append(keyed.where(inside))
+            break
+        kept.append(keyed.where(inside & (F.substring("_key", 1, width) < cut.p)))
+        prefix, need = cut.p, need - before
+        if need == 0 or cut.n <= CUT_ROWS or width >= 32 - digits:
+            others = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+            kept.append(keyed.where(F.col("_key").startswith(prefix)).orderBy("_key", F.xxhash64(*others)).limit(need))
+            break
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out.drop("_key")
+
+
+#: Rows of one key prefix that are ranked by a top-k plan.
+CUT_ROWS = 100_000
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, drawn by the seeded hash of ``key``."""
-    return df.orderBy(seeded_key(seed, key)).limit(n)
+    """``n`` rows without replacement, drawn by the seeded hash of ``key``; any ``n``, no single-task sort."""
+    return smallest(df, seeded_key(seed, key), n)

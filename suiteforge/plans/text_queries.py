@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..fixtures import TEST_SEP, _fx_tests, fx_outcomes, fx_problems, fx_responses, fx_turns, with_fx, with_text
 from ..functions import salvage as sv
 from ..functions import text as tx
+from ..functions.hashing import messages_key
 from ..operators.outcomes import P, S, T
 from ..session import read_table
 from .registry import register
@@ -242,6 +243,27 @@ def q_content_hash(spark, sf):
     )
 
 
+#: A message's text as ASCII JSON in DuckDB, character by character.
+ESCAPED = """list_aggregate(list_transform(string_split({0}, ''), lambda c:
+  CASE WHEN c = '"' THEN '\\"' WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+       WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+       WHEN unicode(c) > 65535 THEN printf('\\u%04x', 55296 + (unicode(c) - 65536) // 1024) || printf('\\u%04x', 56320 + (unicode(c) - 65536) % 1024)
+       ELSE printf('\\u%04x', unicode(c)) END), 'string_agg', '')"""
+
+
+@register(
+    "messages_hash",
+    f"""WITH m AS (SELECT conv_id, turn, '{{"content":"' || coalesce({ESCAPED.format("text || chr(9) || chr(128512)")}, '') || '","role":"' || role || '"}}' AS j FROM conversations)
+        SELECT conv_id, sha256('[' || string_agg(j, ',' ORDER BY turn) || ']') AS hash_id, count(*) AS n_messages FROM m GROUP BY conv_id""",
+)
+def q_messages_hash(spark, sf):
+    """H4 (messages): the key of every conversation; each text gets a tab and a character beyond the first plane."""
+    c = read_table(spark, sf, "conversations")
+    message = F.struct("turn", F.concat("text", F.lit("\t\U0001f600")).alias("content"), "role")
+    rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    return rows.select("conv_id", messages_key("messages").alias("hash_id"), F.size("messages").cast("long").alias("n_messages"))
+
+
 @register(
     "pretty_name",
     "SELECT page_id, replace(string_split(url, '/')[-1], '-', '_') AS name FROM pages",
