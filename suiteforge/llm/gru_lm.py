@@ -311,18 +311,24 @@ def average(shards: DataFrame, fan_in: int = 64) -> np.ndarray:
     return np.concatenate([np.array(r["values"]) for r in rows] or [np.zeros(0)]).astype(np.float32)
 
 
-def fit(docs: DataFrame, units: Units, n_docs: int, text_col: str, rates: tuple[float, ...] = (0.02, 0.01, 0.005), shard_docs: int = 2_000, chunk: int = 4096) -> np.ndarray:
-    """Rounds of training apart and averaging, each over all the ``n_docs`` training documents ``docs``."""
+def fit(
+    docs: DataFrame, units: Units, n_docs: int, text_col: str, rates: tuple[float, ...] = (0.02, 0.01, 0.005), shard_docs: int = 2_000, chunk: int = 4096, id_col: str = "doc_id"
+) -> np.ndarray:
+    """Rounds of training apart and averaging, each over all the ``n_docs`` training documents ``docs``.
+
+    A document's shard follows from its id and text, not from the files it lies in.
+    """
     model = Gru.start(units)
     n_shards = max(1, round(n_docs / shard_docs))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         unit_of = UnitOf(units)
-        own = [tokens(text) for text in text_bytes(batch.column(0))]
+        own = [tokens(text) for text in text_bytes(batch.column(1))]
         rows = [np.fromiter(map(unit_of.__getitem__, o), np.uint16, len(o)).tobytes() for o in own]  # at most 1 + OWN + BUCKETS units
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["units"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(0)], names=["units", "place"])
 
-    encoded = stored(map_batches(docs.select(F.col(text_col).cast("string").alias("text")), encode, "units binary")) if n_docs else docs
+    narrow = docs.select(F.xxhash64(id_col, text_col).alias("place"), F.col(text_col).cast("string").alias("text"))
+    encoded = stored(map_batches(narrow, encode, "units binary, place long")) if n_docs else docs
     for rate in rates if n_docs else ():
         held = docs.sparkSession.sparkContext.broadcast((units, model.vector))  # half a million bytes, whatever the corpus
 
@@ -338,13 +344,25 @@ def fit(docs: DataFrame, units: Units, n_docs: int, text_col: str, rates: tuple[
             n, weight = len(parts), float(sum(len(r) + 1 for r in rows))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array(parts, pa.list_(pa.float64()))], names=["shard", "chunk", "weight", "values"])
 
-        trained = stored(encoded.repartition(n_shards).mapInArrow(learn, "shard int, chunk int, weight double, values array<double>"))
+        trained = stored(encoded.repartition(n_shards, "place").mapInArrow(learn, "shard int, chunk int, weight double, values array<double>"))
         vector = average(trained)
         if len(vector):
             model = Gru(len(units.mass), vector)
     return model.vector
 
 
+def head_count(counts: DataFrame) -> int:
+    """The least count such that at most HEAD words have it or more, as far as classes of like counts (an eighth of an octave) tell."""
+    classes = counts.groupBy(F.floor(8 * F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()  # at most 512 rows
+    total, least = 0, 1 << 62
+    for r in sorted(classes, key=lambda r: -r.k):
+        total += r.n
+        if total > HEAD:
+            break
+        least = r.least
+    return least
+
+
 def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (unigram) and score (model), both log10."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
@@ -353,7 +371,9 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
     end_row = F.col("token") == END
     n, v, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(end_row, F.col("c")))).first()
     n, v, ends = n or 0, v or 0, ends or 0
-    head = counts.where(~end_row & (F.octet_length("token") <= LONGEST)).orderBy(F.desc("c"), "token").limit(HEAD).collect()  # at most HEAD short words
+    short = counts.where(~end_row & (F.octet_length("token") <= LONGEST))
+    head = short.where(F.col("c") >= head_count(short)).collect()  # at most HEAD words
+    head.sort(key=lambda r: (-r.c, r.token))
     own = [(r.token, r.c) for r in head[:OWN]]
     known = {r.token.encode(): r.c for r in head}
     # what each bucket's words weigh: all words but those with a unit of their own
@@ -366,7 +386,7 @@ def score(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
     for word, c in own:
         mass[unit_of.bucket_number(word.encode())] -= c + SMOOTH
     units = Units.of(own, ends, np.maximum(mass, SMOOTH))
-    vector = fit(learnt, units, ends, text_col, **options)
+    vector = fit(learnt, units, ends, text_col, id_col=id_col, **options)
     held = spark.sparkContext.broadcast((units, vector, known, ends))  # bounded by HEAD words and the model's size
     names = ["token", "tf", "key", "id", "n_tokens", "n_known", "base", "score"]
 

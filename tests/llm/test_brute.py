@@ -515,3 +515,20 @@ def test_pipeline_stages_take_effect(spark, docs):
             assert brute_windows(items, now[i].encode())[0] > 0
         assert brute_windows(items, (r.text or "").encode())[0] == 0
     assert sorted({r.mix_position for r in rows.values()}) == sorted(r.mix_position for r in rows.values())
+
+
+def test_model_and_head_do_not_depend_on_files(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30), "en") for i in range(60)], "doc_id long, text string, lang string")
+    fold = F.col("doc_id") % 10 != 0
+    runs = [{r.doc_id: r.score for r in gru_lm.score(docs.repartition(n), fold, shard_docs=20, rates=(0.02,)).collect()} for n in (1, 5)]
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-3 for i in runs[0])
+    counts = spark.createDataFrame([(f"w{i}", 1 + 5000 // (i + 1)) for i in range(3000)], "token string, c long")
+    old = gru_lm.HEAD
+    try:
+        gru_lm.HEAD = 100
+        least = gru_lm.head_count(counts)
+        assert 50 <= counts.where(F.col("c") >= least).count() <= 100
+        gru_lm.HEAD = 5000
+        assert gru_lm.head_count(counts) == counts.agg(F.min("c")).first()[0]
+    finally:
+        gru_lm.HEAD = old
