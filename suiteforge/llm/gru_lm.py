@@ -19,8 +19,9 @@ softmax is P(class | state) * P(unit | class, state).
 
 Defined results: null text counts as empty (its only token is the end); with no
 training documents all counts are zero and every unit is equally likely;
-repeated rows are scored each; an empty table gives no rows; extra columns are
-ignored.
+very long texts are scored whole, their state carried to the end; words with
+equal counts are ranked by their bytes; repeated rows are scored each; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from .common import blocks, map_batches, stored, text_bytes
 
 #: Words with their own unit; buckets for the others; words whose counts every task holds (of at most LONGEST bytes).
 OWN, BUCKETS, HEAD, LONGEST = 2047, 256, 131_072, 64
-HIDDEN, EMBED, CLASS_SIZE, WINDOW, LANES = 32, 24, 48, 16, 256
+HIDDEN, EMBED, CLASS_SIZE, WINDOW, LANES = 32, 24, 48, 16, 500
 SMOOTH = 0.1
 #: Stands for the end in count tables: no word is empty.
 END = ""
@@ -121,6 +122,11 @@ class UnitOf(dict):
         return out
 
 
+def by_row(steps: np.ndarray) -> np.ndarray:
+    """(steps, rows, lanes) as (rows, steps * lanes)."""
+    return steps.transpose(1, 0, 2).reshape(steps.shape[1], -1)
+
+
 class Gru:
     """The model's parameters as views of one vector."""
 
@@ -153,143 +159,186 @@ class Gru:
         """What each unit adds to the gates."""
         return self.embed @ self.wx + self.b
 
-    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    def advance(self, x: np.ndarray, state: np.ndarray, out: np.ndarray, gates: np.ndarray | None = None) -> None:
+        """One step of all lanes, a column each: the next state goes to ``out``, keep, reset and new gates and the reset's inner sum to ``gates``."""
         h = HIDDEN
-        u = state @ self.wh
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + u[:, : 2 * h])))
-        z, r = gates[:, :h], gates[:, h:]
-        inner = u[:, 2 * h :] + self.bh
-        n = np.tanh(x[:, 2 * h :] + r * inner)
-        return n + z * (state - n), z, r, n, inner
+        if gates is None:
+            gates = np.empty((4 * h, state.shape[1]), state.dtype)
+        zr, n, inner = gates[: 2 * h], gates[2 * h : 3 * h], gates[3 * h :]
+        u = self.wh.T @ state
+        np.add(u[: 2 * h], x[: 2 * h], out=zr)
+        zr *= -1
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.add(u[2 * h :], self.bh[:, None], out=inner)
+        np.multiply(zr[h:], inner, out=n)
+        n += x[2 * h :]
+        np.tanh(n, out=n)
+        np.subtract(state, n, out=out)
+        out *= zr[:h]
+        out += n
+
+    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of all lanes, a row each: next state and gates."""
+        out, gates = np.empty(state.shape[::-1], state.dtype), np.empty((4 * HIDDEN, len(state)), state.dtype)
+        self.advance(x.T, np.ascontiguousarray(state.T), out, gates)
+        return out.T, gates.T
 
     def log_likelihood(self, states: np.ndarray, target: np.ndarray, grads: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target unit; with ``grads``, adds output gradients there and gives those of the states."""
-        cls, place = np.divmod(target, CLASS_SIZE)
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(target))
-        out = logits[rows, cls] - np.log(total)
-        back = None
-        if grads is not None:
-            e /= -total[:, None]
-            e[rows, cls] += 1
-            grads.wc += states.T @ e
-            grads.bc += e.sum(0)
-            back = e @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for k in range(self.n_classes):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+        """``outputs`` with a row of ``states`` for each target."""
+        logs, back = self.outputs(np.ascontiguousarray(states.T), np.arange(len(target)), target, grads)
+        return logs, None if back is None else back.T
+
+    def outputs(self, states: np.ndarray, at: np.ndarray, target: np.ndarray, grads: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probability of each target unit given the state in column ``at``.
+
+        With ``grads``, adds output gradients there and gives those of the states (zero in columns that no target has).
+        Targets are sorted by class once, so that a class is a slice of columns.
+        """
+        cls, place = np.divmod(target.astype(np.int32), np.int32(CLASS_SIZE))
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cls, place, at = cls[order], place[order], at[order]
+        cuts = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
+        some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        own, rows = states.take(at, axis=1, mode="clip"), np.arange(len(at))
+        unit = np.empty((CLASS_SIZE, len(at)), own.dtype)
+        for k, a, b in some:
+            np.matmul(self.wo[k].T, own[:, a:b], out=unit[:, a:b])
+        unit += np.repeat(self.bo.T, np.diff(cuts), axis=1)
+        logs, back = np.zeros(len(at), own.dtype), None
+        for logits, chosen in ((self.wc.T @ own + self.bc[:, None], cls), (unit, place)):
+            logits -= logits.max(0)
+            logs += logits[chosen, rows]
+            np.exp(logits, out=logits)
+            total = logits.sum(0)
+            logs -= np.log(total)
+            if grads is None:
                 continue
-            s, p = states[own], place[own]
-            logits = s @ self.wo[k] + self.bo[k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            at = np.arange(len(own))
-            out[own] += logits[at, p] - np.log(total)
-            if grads is not None:
-                e /= -total[:, None]
-                e[at, p] += 1
-                grads.wo[k] += s.T @ e
-                grads.bo[k] += e.sum(0)
-                back[own] += e @ self.wo[k].T
+            logits *= -1 / total
+            logits[chosen, rows] += 1
+            if chosen is cls:
+                grads.wc += own @ logits.T
+                grads.bc += logits.sum(1)
+                back = self.wc @ logits
+        if grads is not None:
+            for k, a, b in some:
+                grads.wo[k] += own[:, a:b] @ unit[:, a:b].T
+                back[:, a:b] += self.wo[k] @ unit[:, a:b]
+            if some:
+                grads.bo[[k for k, _, _ in some]] += np.add.reduceat(unit, [a for _, a, _ in some], axis=1).T
+            whole = np.zeros_like(states)
+            whole[:, at] = back
+            back = whole
+        out = np.empty_like(logs)
+        out[order] = logs
         return out, back
 
     def window(self, units: np.ndarray, target: np.ndarray, keep: np.ndarray, state: np.ndarray, grads: Gru) -> tuple[float, np.ndarray]:
-        """One training window (steps x lanes; target -1: no token): log-likelihood, next state; gradients go to ``grads``."""
-        steps, lanes = units.shape
-        x = self.inputs()[units]
-        kept, before = [], np.empty((steps, lanes, HIDDEN), np.float32)
-        states = np.empty((steps, lanes, HIDDEN), np.float32)
+        """One training window (steps x lanes; target -1: no token): log-likelihood, next state; gradients go to ``grads``.
+
+        Inside, lanes are columns, so that every gate of a step is one block of memory.
+        """
+        (steps, lanes), h, kind = units.shape, HIDDEN, self.vector.dtype
+        inputs = np.ascontiguousarray(self.inputs().T)
+        before, states = np.empty((steps, h, lanes), kind), np.empty((steps, h, lanes), kind)
+        gates = np.empty((steps, 4 * h, lanes), kind)
+        last = np.asarray(state.T, kind)
         for t in range(steps):
-            before[t] = state * keep[t][:, None]
-            state, *parts = self.step(x[t], before[t])
-            states[t] = state
-            kept.append(parts)
-        some = target >= 0
-        logs, back = self.log_likelihood(states[some], target[some], grads)
-        dh_all = np.zeros_like(states)
-        dh_all[some] = back
-        dx, carry = np.empty_like(x), np.zeros((lanes, HIDDEN), np.float32)
+            np.multiply(last, keep[t], out=before[t])
+            self.advance(inputs.take(units[t], axis=1, mode="clip"), before[t], states[t], gates[t])
+            last = states[t]
+        wanted = target.ravel()
+        some = np.flatnonzero(wanted >= 0)
+        logs, back = self.outputs(by_row(states), some, wanted[some], grads)
+        back = back.reshape(h, steps, lanes)
+        z, r, n, inner = (gates[:, i * h : (i + 1) * h] for i in range(4))
+        # what the gradient of a state is multiplied with on its way to each gate
+        rest = 1 - z
+        to_n = rest * (1 - n * n)
+        to_z = (before - n) * z * rest
+        to_r = inner * r * (1 - r)
+        d, du, carry = np.empty((steps, 3 * h, lanes), kind), np.empty((3 * h, lanes), kind), np.zeros((h, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            z, r, n, inner = kept[t]
-            dh = dh_all[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            du = np.concatenate((dz, dr, dn * r), 1)
-            dx[t] = np.concatenate((dz, dr, dn), 1)
-            grads.wh += before[t].T @ du
-            grads.bh += (dn * r).sum(0)
-            carry = (dh * z + du @ self.wh.T) * keep[t][:, None]
-        flat, at = dx.reshape(-1, dx.shape[2]), units.ravel()
-        grads.b += flat.sum(0)
-        grads.wx += self.embed[at].T @ flat
-        np.add.at(grads.embed, at, flat @ self.wx.T)
-        return float(logs.sum()), state
+            dh = back[:, t] + carry
+            dz, dr, dn = d[t, :h], d[t, h : 2 * h], d[t, 2 * h :]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=dz)
+            np.multiply(dn, to_r[t], out=dr)
+            du[: 2 * h] = d[t, : 2 * h]
+            np.multiply(dn, r[t], out=du[2 * h :])
+            np.matmul(self.wh, du, out=carry)
+            dh *= z[t]
+            carry += dh
+            carry *= keep[t]
+        at, flat = units.ravel(), by_row(d)
+        grads.b += flat.sum(1)
+        grads.wx += np.ascontiguousarray(self.embed.T).take(at, axis=1, mode="clip") @ flat.T
+        for feature, row in zip(grads.embed.T, self.wx @ flat, strict=True):
+            feature += np.bincount(at, row, len(self.embed))
+        flat[2 * h :] *= by_row(r)
+        grads.wh += by_row(before) @ flat.T
+        grads.bh += flat[2 * h :].sum(1)
+        return float(logs.sum()), last.T
 
 
 def train(model: Gru, docs: list[np.ndarray], end: int, rate: float, lanes: int = LANES) -> float:
-    """One pass of Adam over documents (unit numbers without the end) dealt to lanes; natural log-likelihood per token."""
-    lanes = max(1, min(lanes, len(docs)))
-    rows: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-    fill = np.zeros(lanes, np.int64)
-    for doc in docs:  # to the emptiest lane
-        k = int(fill.argmin())
-        rows[k].append(doc)
-        fill[k] += len(doc) + 1
-    by_fill = np.argsort(-fill, kind="stable")  # lanes that still have tokens are the first ones
-    fill = fill[by_fill]
-    own = [doc for k in by_fill for doc in rows[k]]
-    units = np.concatenate([x for doc in own for x in ([end], doc)] or [[]]).astype(np.int32)
-    target = np.concatenate([x for doc in own for x in (doc, [end])] or [[]]).astype(np.int32)
-    keep = np.ones(len(units), np.float32)
-    keep[np.cumsum([0, *(len(doc) + 1 for doc in own)])[:-1]] = 0
-    starts = np.cumsum(fill) - fill
+    """One pass of Adam over documents (unit numbers without the end); natural log-likelihood per token.
+
+    The documents follow each other in one stream, cut into equal lanes, so that all windows are full however long a
+    document is.  The state starts anew with each document and lane.
+    """
+    units = np.concatenate([x for doc in docs for x in ([end], doc)] or [[]]).astype(np.int32)
+    target = np.concatenate([x for doc in docs for x in (doc, [end])] or [[]]).astype(np.int32)
+    keep = np.ones(len(units), model.vector.dtype)
+    keep[np.cumsum([0, *(len(doc) + 1 for doc in docs)])[:-1]] = 0
+    lanes = max(1, min(lanes, len(units) // WINDOW))
+    steps = -(-len(units) // lanes)
+    units, target, keep = (np.ascontiguousarray(np.pad(x, (0, lanes * steps - len(x)), constant_values=fill).reshape(lanes, steps).T) for x, fill in ((units, 0), (target, -1), (keep, 1)))
     grads, first, second = Gru(model.n_classes * CLASS_SIZE), np.zeros_like(model.vector), np.zeros_like(model.vector)
-    state, total, turn = np.zeros((lanes, HIDDEN), np.float32), 0.0, 0
-    for at in range(0, int(fill.max()), WINDOW):
-        live = int(np.searchsorted(-fill, -at, "left"))
-        place = at + np.arange(WINDOW)[:, None]
-        some = place < fill[:live]
-        place = np.where(some, starts[:live] + place, 0)
-        n = int(some.sum())
+    state, total, tokens_seen = np.zeros((lanes, HIDDEN), np.float32), 0.0, 0
+    for turn, at in enumerate(range(0, steps, WINDOW), 1):
+        own = slice(at, at + WINDOW)
+        n = max(1, int((target[own] >= 0).sum()))
         grads.vector[:] = 0
-        logs, state = model.window(np.where(some, units[place], 0), np.where(some, target[place], -1), np.where(some, keep[place], 1), state[:live], grads)
-        total, turn = total + logs, turn + 1
-        g = grads.vector / n
-        norm = float(np.sqrt((g * g).sum()))
-        g *= min(1.0, 1.0 / max(norm, 1e-9))
+        logs, state = model.window(units[own], target[own], keep[own], state, grads)
+        total, tokens_seen = total + logs, tokens_seen + n
+        g = grads.vector
+        g *= 1 / max(n, float(np.sqrt(np.dot(g, g))))  # the mean over the window, of norm 1 at most
         first += 0.1 * (g - first)
-        second += 0.01 * (g * g - second)
-        model.vector += rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
-    return total / max(1, len(target))
+        g *= g
+        second += 0.01 * (g - second)
+        model.vector += rate / (1 - 0.9**turn) * first / (np.sqrt(second * (1 / (1 - 0.99**turn))) + 1e-6)
+    return total / max(1, tokens_seen)
 
 
-def score_docs(model: Gru, docs: list[np.ndarray], end: int, lanes: int = 512) -> np.ndarray:
-    """Natural log-likelihood of whole documents (unit numbers without the end), the end included."""
-    out, inputs = np.zeros(len(docs)), model.inputs()
+def score_docs(model: Gru, docs: list[np.ndarray], end: int, lanes: int = 1024, columns: int = 16_384) -> np.ndarray:
+    """Natural log-likelihood of whole documents (unit numbers without the end), the end included.
+
+    ``columns``: states that are kept before the softmax takes them all, so that a few very long documents do not make it narrow.
+    """
+    out, inputs = np.zeros(len(docs)), np.ascontiguousarray(model.inputs().T)
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     for first in range(0, len(order), lanes):
         group = order[first : first + lanes]
         sizes = np.array([len(docs[i]) + 1 for i in group])
         flat = np.concatenate([np.concatenate(([end], docs[i], [end])).astype(np.int32) for i in group])
         starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        state, logs = np.zeros((len(group), HIDDEN), np.float32), np.zeros(len(group))
-        for at in range(0, int(sizes[0]), WINDOW):
-            states, target, lane = [], [], []
-            for t in range(at, min(at + WINDOW, int(sizes[0]))):
-                live = int(np.searchsorted(-sizes, -t, "left"))  # sizes fall: the first so many still have a token
-                place = starts[:live] + t
-                state = model.step(inputs[flat[place]], state[:live])[0]
-                states.append(state)
-                target.append(flat[place + 1])
-                lane.append(np.arange(live))
-            logs += np.bincount(np.concatenate(lane), model.log_likelihood(np.concatenate(states), np.concatenate(target))[0], len(group))
+        # sizes fall: the first so many still have a token at each step
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
+        state, logs = np.zeros((HIDDEN, len(group)), np.float32), np.zeros(len(group))
+        for a, b in blocks(live.tolist(), columns):
+            width = live[a:b]
+            ends = np.cumsum(width)
+            lane = np.arange(int(ends[-1])) - np.repeat(ends - width, width)
+            place = starts[lane] + np.repeat(np.arange(a, b), width)
+            given, states = flat[place], np.empty((HIDDEN, len(lane)), np.float32)
+            for n, done in zip(width.tolist(), ends.tolist(), strict=True):
+                state = np.ascontiguousarray(state[:, :n])
+                after = np.empty_like(state)
+                model.advance(inputs.take(given[done - n : done], axis=1, mode="clip"), state, after)
+                states[:, done - n : done] = state = after
+            logs += np.bincount(lane, model.outputs(states, np.arange(len(lane)), flat[place + 1])[0], len(group))
         out[group] = logs
     return out
 

@@ -532,3 +532,31 @@ def test_model_and_head_do_not_depend_on_files(spark):
         assert gru_lm.head_count(counts) == counts.agg(F.min("c")).first()[0]
     finally:
         gru_lm.HEAD = old
+
+
+def test_gru_training_lanes_take_every_token_once(monkeypatch):
+    draw = np.random.default_rng(4)
+    docs = [draw.integers(1, 50, n).astype(np.int32) for n in (0, 3, 700, 1, 40, 41)]
+    seen = []
+
+    def window(self, units, target, keep, state, grads):
+        seen.append((units, target, keep))
+        return 0.0, state
+
+    monkeypatch.setattr(gru_lm.Gru, "window", window)
+    gru_lm.train(gru_lm.Gru(60), docs, 0, 0.01, lanes=8)
+    units, target, keep = (np.concatenate(x).T for x in zip(*seen, strict=True))  # lanes x steps
+    some = target.ravel() >= 0
+    assert units.ravel()[some].tolist() == [u for d in docs for u in (0, *d)]
+    assert target.ravel()[some].tolist() == [u for d in docs for u in (*d, 0)]
+    assert np.flatnonzero(keep.ravel() == 0).tolist() == np.cumsum([0, *(len(d) + 1 for d in docs)])[:-1].tolist()
+    assert all(t.size - (t >= 0).sum() < 8 * gru_lm.WINDOW for _, t, _ in seen)  # padding at the end only
+
+
+def test_gru_scores_do_not_depend_on_blocks():
+    units = gru_lm.Units.of([(f"w{i}", 50 - i) for i in range(40)], 10, np.full(gru_lm.BUCKETS, 2.0))
+    model = gru_lm.Gru.start(units)
+    texts = [np.random.default_rng(k).integers(0, 60, n).astype(np.int32) for k, n in enumerate((900, 0, 5, 5, 5, 33, 1))]
+    want = gru_lm.score_docs(model, texts, units.end)
+    for lanes, columns in ((1, 10), (3, 64), (7, 1)):
+        assert np.allclose(gru_lm.score_docs(model, texts, units.end, lanes, columns), want, rtol=1e-5)
