@@ -3,7 +3,8 @@
 Every metric is a global or per-group aggregate that Spark combines map-side;
 nothing is collected.  Exact percentiles use ``percentile``, whose buffer is a
 map of *distinct* values to counts: pass rates are fractions n_pass/n_tests,
-so the buffer is bounded by the number of distinct fractions, not by rows.
+so the buffer is bounded by the number of distinct fractions, not by rows.  Shares of nothing
+are null.
 Doubles are rounded to 6 places so the report is stable across partitionings.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round6
+from ..session import cut_lineage
 from .outcomes import P, S
 
 # fixed values of the report
@@ -102,22 +104,20 @@ def pass_at_k(rates: DataFrame) -> DataFrame:
     """Empirical pass@k -- share of problems with a perfect solution among their first k.
 
     "First k" is by solution order inside the problem; n is the report's
-    solutions-per-problem and k runs 1, 2, 4, ... < n, then n.  Each problem
-    contributes one row per k (at most 64).
+    solutions-per-problem and k runs 1, 2, 4, ... < n, then n.  A problem's
+    first perfect solution is a least id, and its place the number of smaller
+    ids: two aggregates, so a problem with a third of all solutions is counted
+    by many tasks.  Only the distinct places meet the values of k.
     """
     n = stats_basic(rates).select("solutions_per_problem").scalar()
-    w = Window.partitionBy(P).orderBy(S)
-    first_perfect = (
-        rates.withColumn("_idx", F.row_number().over(w) - 1)
-        .groupBy(P)
-        .agg(F.min(F.when(F.col("pass_rate") == 1.0, F.col("_idx"))).alias("fp"))
-    )
+    first = rates.groupBy(P).agg(F.min(F.when(F.col("pass_rate") == 1.0, F.col(S))).alias("_first"))
+    places = rates.join(first, P).groupBy(P).agg(F.sum((F.col(S) < F.col("_first")).cast("int")).alias("fp"))
+    solved = places.groupBy("fp").agg(F.count(F.lit(1)).alias("problems"))  # null: no perfect solution
     powers = F.array(*[F.lit(k).cast("long") for k in POWERS])
-    below = first_perfect.select(P, "fp", F.explode(powers).alias("k")).where(F.col("k") < n)
-    per_k = below.unionByName(first_perfect.select(P, "fp", n.cast("long").alias("k")))
-    return per_k.groupBy("k").agg(
-        _r(F.avg((F.col("fp").isNotNull() & (F.col("fp") < F.col("k"))).cast("int")), "pass_at_k")
-    )
+    below = solved.select("fp", "problems", F.explode(powers).alias("k")).where(F.col("k") < n)
+    per_k = below.unionByName(solved.select("fp", "problems", n.cast("long").alias("k")))
+    hits = F.sum(F.when(F.col("fp") < F.col("k"), F.col("problems")).otherwise(0))
+    return per_k.groupBy("k").agg(_r(hits / F.sum("problems"), "pass_at_k"))
 
 
 def unbiased_pass_at_k_expr(n: Column, c: Column, k: Column) -> Column:
@@ -152,9 +152,9 @@ def stats_quality(rates: DataFrame) -> DataFrame:
         "perfect",
         (F.col("total") - F.col("perfect") - F.col("failed")).alias("partial"),
         "failed",
-        _r(F.col("perfect") / F.col("total") * 100, "perfect_pct"),
-        _r((F.col("total") - F.col("perfect") - F.col("failed")) / F.col("total") * 100, "partial_pct"),
-        _r(F.col("failed") / F.col("total") * 100, "failed_pct"),
+        _r(F.try_divide("perfect", "total") * 100, "perfect_pct"),
+        _r(F.try_divide(F.col("total") - F.col("perfect") - F.col("failed"), "total") * 100, "partial_pct"),
+        _r(F.try_divide("failed", "total") * 100, "failed_pct"),
     )
 
 
@@ -178,7 +178,7 @@ def stats_histogram(rates: DataFrame) -> DataFrame:
         F.element_at(edges, F.col("bin") + 1).alias("lower"),
         F.element_at(edges, F.col("bin") + 2).alias("upper"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        _r(F.coalesce("n", F.lit(0)) / total * 100, "pct"),
+        _r(F.try_divide(F.coalesce("n", F.lit(0)), total) * 100, "pct"),
     )
 
 
@@ -215,9 +215,9 @@ def stats_difficulty(rates: DataFrame) -> DataFrame:
         "easy",
         "medium",
         "hard",
-        _r(F.col("easy") / F.col("total") * 100, "easy_pct"),
-        _r(F.col("medium") / F.col("total") * 100, "medium_pct"),
-        _r(F.col("hard") / F.col("total") * 100, "hard_pct"),
+        _r(F.try_divide("easy", "total") * 100, "easy_pct"),
+        _r(F.try_divide("medium", "total") * 100, "medium_pct"),
+        _r(F.try_divide("hard", "total") * 100, "hard_pct"),
     )
 
 
@@ -240,11 +240,15 @@ def stats_tests(details: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tests"),
         F.sum(F.col("pass").cast("int")).cast("long").alias("passed"),
     )
-    return t.select(
+    return _tests(t)
+
+
+def _tests(totals: DataFrame) -> DataFrame:
+    return totals.select(
         "total_tests",
         "passed",
         (F.col("total_tests") - F.col("passed")).alias("failed"),
-        _r(F.col("passed") / F.col("total_tests"), "pass_rate"),
+        _r(F.try_divide("passed", "total_tests"), "pass_rate"),
     )
 
 
@@ -253,23 +257,31 @@ def stats_test_counts(details: DataFrame, solutions: DataFrame | None = None) ->
     c = details.groupBy(P, S).agg(F.count(F.lit(1)).alias("n"))
     if solutions is not None:
         c = solutions.select(P, S).join(c, [P, S], "left").select(P, S, F.coalesce("n", F.lit(0)).alias("n"))
-    return c.agg(
+    return _spread_of_counts(c)
+
+
+def _spread_of_counts(counts: DataFrame) -> DataFrame:
+    return counts.agg(
         _r(F.avg("n"), "mean"), _r(F.stddev_pop("n"), "std"), F.min("n").cast("long").alias("min"),
         F.max("n").cast("long").alias("max"),
-    )
+    )
+
+
+def _top_shares(counts: DataFrame, key: str, top: int) -> DataFrame:
+    """The ``top`` keys by count with their percent of all, and that total."""
+    total = counts.agg(F.sum("n")).scalar()
+    first = counts.orderBy(F.col("n").desc(), F.col(key)).limit(top)
+    return first.select(key, "n", _r(F.try_divide("n", total) * 100, "pct"), total.alias("total"))
+
+
+def _reason() -> Column:
+    return F.coalesce("reason", F.lit("unknown"))
 
 
 def stats_reasons(details: DataFrame, top: int = TOP_REASONS) -> DataFrame:
     """Reason counts (``pass`` included), top k, percent of all test results."""
-    d = normalize_details(details).withColumn("reason", F.coalesce("reason", F.lit("unknown")))
-    total = d.select(F.count(F.lit(1))).scalar()
-    return (
-        d.groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("reason"))
-        .limit(top)
-        .select("reason", "n", _r(F.col("n") / total * 100, "pct"))
-    )
+    counts = normalize_details(details).groupBy(_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return _top_shares(counts, "reason", top).drop("total")
 
 
 def short_error(msg: Column, cut: int = ERROR_CUT) -> Column:
@@ -277,27 +289,26 @@ def short_error(msg: Column, cut: int = ERROR_CUT) -> Column:
     return F.when(F.length(msg) > cut, F.concat(F.substring(msg, 1, cut), F.lit("..."))).otherwise(msg)
 
 
+def _error() -> Column:
+    """The shortened message; null where a result carries none."""
+    return short_error(F.nullif(F.col("error_message"), F.lit("")))
+
+
 def stats_errors(details: DataFrame, top: int = TOP_ERRORS) -> DataFrame:
     """Top error messages (shortened) with percent of tests that carry an error."""
-    d = normalize_details(details).where(F.col("error_message").isNotNull() & (F.col("error_message") != ""))
-    total = d.select(F.count(F.lit(1))).scalar()
-    return (
-        d.groupBy(short_error(F.col("error_message")).alias("error"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("error"))
-        .limit(top)
-        .select("error", "n", _r(F.col("n") / total * 100, "pct"), F.lit(total).cast("long").alias("error_tests"))
-    )
+    counts = normalize_details(details).groupBy(_error().alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return _top_shares(counts.where("error is not null"), "error", top).withColumnRenamed("total", "error_tests")
 
 
 def stats_timeouts(details: DataFrame) -> DataFrame:
     """Results whose reason contains ``timeout`` (any case)."""
-    d = normalize_details(details)
-    t = d.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.sum(F.coalesce(F.lower("reason").contains("timeout"), F.lit(False)).cast("int")).cast("long").alias("timeouts"),
-    )
-    return t.select("timeouts", _r(F.col("timeouts") / F.col("total") * 100, "pct"))
+    return _timeouts(normalize_details(details).groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _timeouts(counts: DataFrame) -> DataFrame:
+    hit = F.coalesce(F.lower("reason").contains("timeout"), F.lit(False))
+    t = counts.agg(F.sum("n").alias("total"), F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("long").alias("timeouts"))
+    return t.select("timeouts", _r(F.try_divide("timeouts", "total") * 100, "pct"))
 
 
 def stats_time_limits(details: DataFrame) -> DataFrame:
@@ -306,8 +317,11 @@ def stats_time_limits(details: DataFrame) -> DataFrame:
     The summary numbers are scalar subqueries over the distribution; no window
     gathers all limits in one task.
     """
-    d = normalize_details(details).where(F.col("time_limit").isNotNull())
-    dist = d.groupBy("time_limit").agg(F.count(F.lit(1)).alias("n"))
+    return _limits(normalize_details(details).groupBy("time_limit").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _limits(counts: DataFrame) -> DataFrame:
+    dist = counts.where(F.col("time_limit").isNotNull())
     n, x = F.col("n"), F.col("time_limit")
     whole = dist.agg(F.struct(F.sum(n).alias("n"), (F.sum(x * n) / F.sum(n)).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))).scalar()
     var = dist.agg(F.sum(n * (x - whole["mean"]) ** 2) / F.sum(n)).scalar()
@@ -346,12 +360,40 @@ def _long(df: DataFrame, metric: str, key_col: str | None = None) -> DataFrame:
     return long.select(F.lit(metric).alias("metric"), key.alias("key"), "value", F.lit(None).cast("long").alias("n"))
 
 
-def report_metrics(rates: DataFrame, details: DataFrame | None = None) -> DataFrame:
+def outcome_cube(details: DataFrame) -> DataFrame:
+    """One pass over the outcomes for all sections of the report: counts by solution, by reason, by error and by time limit.
+
+    One aggregate by grouping sets; ``level`` names the set.  Every set is
+    combined on the map side, so the reason that most results share, or the
+    problem that most belong to, is a few rows for each task.  The result has a
+    row for each solution, distinct reason, shortened error and time limit.
+    """
+    keys = [P, S, "reason", "error", "time_limit"]
+    d = normalize_details(details).select(P, S, _reason().alias("reason"), _error().alias("error"), "time_limit", F.col("pass").cast("int").alias("pass"))
+    sets = d.groupingSets([[F.col(P), F.col(S)], [F.col("reason")], [F.col("error")], [F.col("time_limit")]], *[F.col(k) for k in keys])
+    cube = sets.agg(
+        F.grouping_id().alias("_set"), F.avg("pass").alias("pass_rate"), F.count(F.lit(1)).alias("n"), F.sum("pass").cast("long").alias("n_pass")
+    )
+    # a bit for each key that is not in the set, the first key's the highest
+    level = F.when(F.col("_set") == 0b00111, "solution").when(F.col("_set") == 0b11011, "reason").when(F.col("_set") == 0b11101, "error")
+    return cube.select(level.otherwise("time_limit").alias("level"), *keys, "pass_rate", "n", "n_pass")
+
+
+def report_metrics(rates: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
     """The whole evaluation report as one long table ``(metric, key, value, n)``.
 
-    Each section is a small aggregate; the union has one row per reported
-    number, so writing it as a single file (``sources.io.write_report``) is safe.
+    With ``details`` the outcomes are read once: :func:`outcome_cube` is stored
+    and every section is a small aggregate of it, the pass rates too unless
+    ``rates`` are given.  The union has one row per reported number, so writing
+    it as a single file (``sources.io.write_report``) is safe.
     """
+    cube = None if details is None else cut_lineage(outcome_cube(details))
+
+    def level(name: str) -> DataFrame:
+        return cube.where(F.col("level") == name)
+
+    if rates is None:
+        rates = level("solution").select(P, S, "pass_rate", F.col("n").alias("n_tests"), "n_pass")
     parts = [
         _long(stats_basic(rates), "basic"),
         _long(stats_pass_rate(rates), "pass_rate"),
@@ -362,14 +404,16 @@ def report_metrics(rates: DataFrame, details: DataFrame | None = None) -> DataFr
         _long(stats_problem(rates), "problem"),
         _long(stats_difficulty(rates), "difficulty"),
     ]
-    if details is not None:
+    if cube is not None:
+        reasons = level("reason").select("reason", "n")
+        tests = level("reason").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tests"), F.sum("n_pass").alias("passed"))
         parts += [
-            _long(stats_tests(details), "tests"),
-            _long(stats_test_counts(details), "tests_per_solution"),
-            _long(stats_reasons(details), "reasons", "reason"),
-            _long(stats_errors(details).drop("error_tests"), "errors", "error"),
-            _long(stats_timeouts(details), "timeouts"),
-            _long(stats_time_limits(details).select("time_limit", "n", "pct"), "time_limits", "time_limit"),
+            _long(_tests(tests), "tests"),
+            _long(_spread_of_counts(level("solution")), "tests_per_solution"),
+            _long(_top_shares(reasons, "reason", TOP_REASONS).drop("total"), "reasons", "reason"),
+            _long(_top_shares(level("error").where("error is not null"), "error", TOP_ERRORS).drop("total"), "errors", "error"),
+            _long(_timeouts(reasons), "timeouts"),
+            _long(_limits(level("time_limit")).select("time_limit", "n", "pct"), "time_limits", "time_limit"),
         ]
     out = parts[0]
     for p in parts[1:]:

@@ -138,7 +138,6 @@ def run_rounds(
     A rerun goes on after the last round whose tests, outcomes and responses
     are stored; the report of the last round ends up in ``base_path/report``.
     """
-    from ..operators.outcomes import solution_pass_rate
     from ..operators.stats import report_metrics
     from ..sources.io import path_exists, read_round, write_report, write_round
 
@@ -154,5 +153,5 @@ def run_rounds(
         write_round(new_outcomes, f"{base_path}/outcomes", r)
         write_round(grown, f"{base_path}/responses", r)
     suite, last = read_round(spark, f"{base_path}/tests", rounds + 1), read_round(spark, f"{base_path}/outcomes", rounds + 1)
-    write_report(report_metrics(solution_pass_rate(last), last), f"{base_path}/report")
+    write_report(report_metrics(details=last), f"{base_path}/report")
     return suite, last

@@ -17,7 +17,7 @@ from ..operators import suites as su
 from ..operators.outcomes import P, S, T
 from ..session import cut_lineage
 from .curation import final_curation
-from .registry import register
+from .registry import ORACLE, register
 
 SEED = "'42'"
 
@@ -746,6 +746,40 @@ def q_stats_time_limits(spark, sf):
     return st.stats_time_limits(fx_outcome_details(spark, sf))
 
 
+#: Sections of the report: metric, the query whose numbers it holds, its key column, its fields.
+REPORT = (
+    ("basic", "stats_basic", None, "total_problems total_solutions solutions_per_problem"),
+    ("pass_rate", "stats_pass_rate", None, "mean median std min max"),
+    ("percentile", "stats_percentiles", "percentile", "value"),
+    ("pass_at_k", "pass_at_k", "k", "pass_at_k"),
+    ("quality", "stats_quality", None, "perfect partial failed perfect_pct partial_pct failed_pct"),
+    ("histogram", "stats_histogram", "bin", "n pct"),
+    ("problem", "stats_problem", None, "avg_mean avg_std best_mean best_std worst_mean worst_std"),
+    ("difficulty", "stats_difficulty", None, "easy medium hard easy_pct medium_pct hard_pct"),
+    ("tests", "stats_tests", None, "total_tests passed failed pass_rate"),
+    ("tests_per_solution", "stats_test_counts", None, "mean std min max"),
+    ("reasons", "stats_reasons", "reason", "n pct"),
+    ("errors", "stats_errors", "error", "n pct"),
+    ("timeouts", "stats_timeouts", None, "timeouts pct"),
+    ("time_limits", "stats_time_limits", "time_limit", "n pct"),
+)
+
+
+def _report_sql() -> str:
+    """The report as the union of its sections' own SQL, each over all outcomes."""
+    parts = []
+    for metric, query, key, fields in REPORT:
+        name = "" if key is None else f"CAST({key} AS VARCHAR) || '/' || "
+        rows = ", ".join(f"{{'key': {name}'{f}', 'value': CAST({f} AS DOUBLE)}}" for f in fields.split())
+        parts.append(f"SELECT '{metric}' AS metric, x.key AS key, x.value AS value FROM (SELECT unnest([{rows}]) AS x FROM ({ORACLE[query]}))")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("report_metrics", _report_sql())
+def q_report_metrics(spark, sf):
+    return st.report_metrics(details=fx_outcome_details(spark, sf)).drop("n")
+
+
 @register(
     "suite_audit",
     with_fx(
