@@ -389,11 +389,11 @@ def fit(
             rows.sort(key=lambda r: zlib.crc32(r.tobytes()))  # a mixed but repeatable order
             own_model = Gru(len(own_units.mass), vector.copy())
             train(own_model, rows, own_units.end, rate)
-            parts = [own_model.vector[i : i + chunk].astype(np.float64) for i in range(0, len(vector), chunk)]
+            parts = [own_model.vector[i : i + chunk] for i in range(0, len(vector), chunk)]
             n, weight = len(parts), float(sum(len(r) + 1 for r in rows))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array(parts, pa.list_(pa.float64()))], names=["shard", "chunk", "weight", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([weight] * n), pa.array(parts, pa.list_(pa.float32()))], names=["shard", "chunk", "weight", "values"])
 
-        trained = stored(encoded.repartition(n_shards, "place").mapInArrow(learn, "shard int, chunk int, weight double, values array<double>"))
+        trained = stored(encoded.repartition(n_shards, "place").mapInArrow(learn, "shard int, chunk int, weight double, values array<float>"))
         vector = average(trained)
         if len(vector):
             model = Gru(len(units.mass), vector)
