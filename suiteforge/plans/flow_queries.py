@@ -93,18 +93,20 @@ def _streamed_counts(spark, sf, axis):
     o = fx_outcomes(spark, sf).select(P, S, T, "pass")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/running-{uuid.uuid4().hex}"
     source, counts = f"{base}/incoming", f"{base}/counts"
+    files = max(2, o.rdd.getNumPartitions())  # of a drop: as many tasks write it as hold the grid
+    batch = -(-3 * files // 2)  # a run of two drops is two batches
 
     def drop(rows, order):
-        rows.withColumn("order", F.lit(order).cast("long")).coalesce(2).write.mode("append").parquet(source)
+        rows.withColumn("order", F.lit(order).cast("long")).coalesce(files).write.mode("append").parquet(source)
 
     turned = o.withColumn("pass", ~F.col("pass"))
     schema = o.withColumn("order", F.lit(1).cast("long")).schema
     drop(o.where(F.col(P) % 3 != 1), 1)
     drop(turned.where((F.col(P) + F.col(T)) % 4 == 1), 2)
-    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=3)
+    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=batch)
     drop(o.where(F.col(P) % 3 != 0), 1)  # a third of the grid for the second time
     drop(turned.where((F.col(P) + F.col(S)) % 4 == 2), 0)
-    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=3)
+    run_counts(spark, source, counts, f"{base}/stream", schema, files_per_batch=batch)
     return running_counts(spark, counts, axis)
 
 

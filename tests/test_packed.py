@@ -128,6 +128,16 @@ def test_running_counts_equal_the_batch_after_replays_conflicts_and_a_lost_batch
     assert {tuple(r) for r in running_counts(spark, f"{tmp_path}/small", "solutions").collect()} == {tuple(r) for r in running_counts(spark, counts, "solutions").collect()}
 
 
+def test_many_solutions_share_a_state_key(spark, tmp_path):
+    """Sixteen solutions with twenty tests are one key of the state, not sixteen."""
+    source, counts, point = (f"{tmp_path}/{x}" for x in ("in", "counts", "point"))
+    spark.createDataFrame([(1, s, t, True, 1) for s in range(16) for t in range(20)], SCHEMA).write.parquet(source)
+    run_counts(spark, source, counts, point, spark.createDataFrame([], SCHEMA).schema)
+    progress = spark.read.format("statestore").load(point)
+    assert progress.count() == 1
+    assert {tuple(r) for r in running_counts(spark, counts, "solutions").collect()} == {(1, s, 20, 20) for s in range(16)}
+
+
 def test_rates_of_packed_equal_the_cells(spark):
     o = fx_outcomes(spark, SF_MID)
     packed = sel.packed_solutions(o).select("problem_id", "solution_id", sel.rate_of_packed())
