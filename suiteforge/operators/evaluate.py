@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,18 +72,77 @@ def _units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
     held: list[pd.DataFrame] = []
     last = None
     for b in batches:
-        change = (b[keys] != b[keys].shift()).any(axis=1)
-        for _, part in b.groupby(change.cumsum(), sort=False):
-            key = tuple(part[keys].iloc[0])
-            if held and key != last:
-                yield pd.concat(held, ignore_index=True)
+        if not len(b):
+            continue
+        columns = [b[k].to_numpy() for k in keys]
+        change = np.zeros(len(b) - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), len(b)]
+        if held and tuple(c[0] for c in columns) != last:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        for start, end in zip(starts[:-2], starts[1:-1], strict=True):
+            if held:
+                yield pd.concat([*held, b.iloc[start:end]], ignore_index=True)
                 held = []
-            held.append(part)
-            last = key
+            else:
+                unit = b.iloc[start:end].copy()
+                unit.index = pd.RangeIndex(end - start)
+                yield unit
+        held.append(b.iloc[starts[-2] :])
+        last = tuple(c[-1] for c in columns)
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
+#: Rows of results that a task checks and hands over at once.
+RESULT_ROWS = 10_000
+
+
+def _unexecuted(units: list[pd.DataFrame], errors: list[Exception], cols: list[str]) -> pd.DataFrame:
+    """Failed units: each of their cells with the unit's error as message."""
+    cells = pd.concat(units, ignore_index=True)
+    messages = np.repeat(np.array([f"{type(e).__name__}: {e}" for e in errors], object), [len(u) for u in units])
+    out = pd.DataFrame({c: cells[c] if c in (P, S, T) else [None] * len(cells) for c in cols})
+    for c, value in (("pass", False), ("reason", "unexecuted"), ("error_message", messages)):
+        if c in cols:
+            out[c] = value
+    return out
+
+
+def _checked(done: list[tuple[pd.DataFrame, pd.DataFrame]], failed: list[tuple[pd.DataFrame, Exception]], arrow: pa.Schema) -> Iterator[pd.DataFrame]:
+    """(unit, result) pairs and failed units as few frames.
+
+    Results whose columns have the same pandas types are joined and checked
+    together, and one by one only where that fails; those not of the stated
+    types join the failed.
+    """
+    alike: dict[tuple, list[tuple[pd.DataFrame, pd.DataFrame]]] = {}
+    for unit, out in done:
+        alike.setdefault(tuple(out.dtypes.tolist()), []).append((unit, out))
+    for pairs in alike.values():
+        whole = pd.concat([out for _, out in pairs], ignore_index=True) if len(pairs) > 1 else pairs[0][1]
+        try:
+            pa.RecordBatch.from_pandas(whole, schema=arrow, preserve_index=False)
+        except Exception as error:  # noqa: BLE001 - some unit's
+            if len(pairs) == 1:
+                failed.append((pairs[0][0], error))
+                continue
+            good = []
+            for unit, out in pairs:
+                try:
+                    pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+                    good.append(out)
+                except Exception as e:  # noqa: BLE001
+                    failed.append((unit, e))
+            whole = pd.concat(good, ignore_index=True) if good else None
+        if whole is not None:
+            yield whole
+    if failed:
+        yield _unexecuted(*zip(*failed, strict=True), arrow.names)
+
+
 def evaluate_with(
     cells: DataFrame,
     fn: EvaluatorFn,
@@ -107,16 +167,18 @@ def evaluate_with(
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, failed, rows = [], [], 0
         for unit in _units(batches, [P, S]):
             try:
-                out = fn(unit)[cols]
-                pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)  # of the stated types
+                out = fn(unit)
+                done.append((unit, out if list(out.columns) == cols else out[cols]))
             except Exception as e:  # noqa: BLE001 - one failed unit never aborts the job
-                out = pd.DataFrame({c: unit[c] if c in (P, S, T) else [None] * len(unit) for c in cols})
-                for c, value in (("pass", False), ("reason", "unexecuted"), ("error_message", f"{type(e).__name__}: {e}")):
-                    if c in cols:
-                        out[c] = value
-            yield out
+                failed.append((unit, e))
+            rows += len(unit)
+            if rows >= RESULT_ROWS:
+                yield from _checked(done, failed, arrow)
+                done, failed, rows = [], [], 0
+        yield from _checked(done, failed, arrow)
 
     return cut_lineage(spread.sortWithinPartitions(P, S, T).mapInPandas(run, schema=schema))
 

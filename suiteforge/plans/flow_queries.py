@@ -8,6 +8,7 @@ import json
 import re
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -122,18 +123,20 @@ def q_running_test_counts(spark, sf):
 
 def _recorded_evaluator(unit: pd.DataFrame) -> pd.DataFrame:
     """Hands back the recorded outcomes of a solution: code that does not compile is a syntax error; some units break the hook itself."""
-    if unit["fault"].iloc[0] == "raise":
+    fault = unit["fault"].iat[0]
+    if fault == "raise":
         raise RuntimeError("lost its sandbox")
+    recorded = unit["recorded"].to_numpy()
     try:
-        compile(unit["code"].iloc[0], "solution", "exec")
+        compile(unit["code"].iat[0], "solution", "exec")
     except SyntaxError as e:
-        out = unit.assign(**{"pass": False, "reason": "syntax_error", "error_message": f"SyntaxError: {type(e).__name__}"})
+        found = {"pass": False, "reason": "syntax_error", "error_message": f"SyntaxError: {type(e).__name__}"}
     else:
-        out = unit.assign(**{"pass": unit["recorded"], "reason": unit["recorded"].map({True: "pass", False: "fail"}), "error_message": None})
-    out["time_limit"] = 1.0
-    if unit["fault"].iloc[0] == "type":
-        out["pass"] = "yes"
-    return out[out[T] % 20 != 7] if unit["fault"].iloc[0] == "short" else out
+        found = {"pass": recorded, "reason": np.where(recorded, "pass", "fail").astype(object), "error_message": None}
+    if fault == "type":
+        found["pass"] = "yes"
+    out = pd.DataFrame({**{c: unit[c].to_numpy() for c in (P, S, T)}, **found, "time_limit": 1.0})
+    return out[out[T] % 20 != 7] if fault == "short" else out
 
 
 @register(
@@ -174,10 +177,9 @@ def _stub_generator(b: pd.DataFrame) -> pd.DataFrame:
 
 def _stub_evaluator(b: pd.DataFrame) -> pd.DataFrame:
     """Deterministic stand-in for a sandbox: pass decided by the md5 of (solution, test text)."""
-    ok = (b[S].astype(str) + "|" + b["test_text"]).map(lambda s: hashlib.md5(s.encode()).hexdigest()[0] <= "9")
-    return pd.DataFrame(
-        {P: b[P], S: b[S], T: b[T], "pass": ok, "reason": ok.map({True: "pass", False: "fail"}), "error_message": None, "time_limit": 1.0}
-    )
+    ok = [hashlib.md5(f"{s}|{t}".encode()).hexdigest()[0] <= "9" for s, t in zip(b[S].tolist(), b["test_text"].tolist(), strict=True)]
+    reason = ["pass" if k else "fail" for k in ok]
+    return pd.DataFrame({**{c: b[c].to_numpy() for c in (P, S, T)}, "pass": ok, "reason": reason, "error_message": None, "time_limit": 1.0})
 
 
 def evolve_inputs(spark, sf):

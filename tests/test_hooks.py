@@ -1,6 +1,7 @@
 """The two user hooks: generator (J7, with the cache) and evaluator."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -185,3 +186,35 @@ def test_generate_with_cost_spread(spark):
     a = sorted(map(tuple, ca.generate_with(items, empty, _gen).collect()))
     b = sorted(map(tuple, ca.generate_with(items, empty, _gen, cost="plen").collect()))
     assert a == b and len(a) == items.select("hash_id").distinct().count()
+
+
+def _cells(n, tests=4):
+    return pd.DataFrame([(s // 16, s % 16, t) for s in range(n) for t in range(tests)], columns=["problem_id", "solution_id", "test_id"])
+
+
+def test_results_of_many_solutions_are_handed_over_together():
+    """One small frame a solution made the hand-over cost more than the hook."""
+    done = [(u, u.assign(**{"pass": True})) for u in ev._units(iter([_cells(500)]), ["problem_id", "solution_id"])]
+    schema = pa.schema([("problem_id", pa.int64()), ("solution_id", pa.int64()), ("test_id", pa.int64()), ("pass", pa.bool_())])
+    assert len(done) == 500
+    frames = list(ev._checked(done, [], schema))
+    assert len(frames) == 1 and len(frames[0]) == 2000
+
+
+def test_a_wrong_type_among_alike_results_fails_its_solution_only():
+    units = list(ev._units(iter([_cells(6)]), ["problem_id", "solution_id"]))
+    schema = pa.schema([("problem_id", pa.int64()), ("solution_id", pa.int64()), ("test_id", pa.int64()), ("pass", pa.bool_()), ("reason", pa.string()), ("error_message", pa.string())])
+    done = []
+    for i, u in enumerate(units):
+        done.append((u, u.assign(**{"pass": pd.Series([True] * 4, dtype=object) if i != 2 else pd.Series(["yes"] * 4, dtype=object), "reason": "pass", "error_message": None})))
+    found = pd.concat(ev._checked(done, [], schema)).sort_values(["solution_id", "test_id"])
+    assert len(found) == 24
+    bad = found[found["reason"] == "unexecuted"]
+    assert set(bad["solution_id"]) == {2} and len(bad) == 4 and not bad["pass"].any() and bad["error_message"].str.startswith("ArrowInvalid").all()
+
+
+def test_units_across_batches_and_great_ids():
+    """Ids that are equal as doubles are two solutions; a unit cut by a batch border is one."""
+    b = pd.DataFrame({"problem_id": 1, "solution_id": [2**53, 2**53 + 1, 2**53 + 1], "test_id": [0, 0, 1]})
+    c = pd.DataFrame({"problem_id": [1, 2], "solution_id": [2**53 + 1, 2**53 + 1], "test_id": [2, 0]})
+    assert [list(u["test_id"]) for u in ev._units(iter([b, b.iloc[:0], c]), ["problem_id", "solution_id"])] == [[0], [0, 1, 2], [0]]
