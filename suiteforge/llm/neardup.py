@@ -3,13 +3,19 @@
 1. Texts with the same words are one node (64-bit hash of the word sequence; a
    text without words is a node by its bytes).  Everything below is per node.
 2. A shingle (five words; fewer if the text has no more) weighs
-   (1 + ln tf) * idf.  The idf is one up to a document share of ``rare``, then
-   ln(N / df) / ln(1 / rare), at least 0.05.  So only shingles above that share
-   need a count: each chunk of documents proposes those above the share in the
-   chunk (a shingle above it overall is above it somewhere), and a second pass
-   counts the proposals exactly.  df counts distinct document sketches (each
-   text's smallest shingle hash), so that passages shared by different texts
-   lose weight and copies of one text do not.
+   (1 + ln tf) * idf, and every shingle has its own idf: ln(N / df) / ln(1 / rare),
+   at least 0.05.  df counts distinct document sketches (each text's smallest
+   shingle hash), so that passages shared by different texts lose weight and
+   copies of one text do not.  Above the document share ``rare`` df is exact:
+   each chunk of documents proposes those above the share in the chunk (a
+   shingle above it overall is above it somewhere), and a second pass counts
+   the proposals.  For all others df is estimated from a table of fixed size:
+   each of ``CELLS`` cells keeps ``REGISTERS`` smallest draws of the sketches
+   whose texts hold one of its shingles.  The smallest do not change by copies,
+   nor by how documents are dealt to tasks.  Shingles that share a cell raise
+   its df, so in a large corpus the rarest shingles weigh alike, at about
+   ln(N * CELLS / distinct pairs of shingle and sketch); four draws know ln df
+   to about 0.5.  A shingle weighs the same in all texts.
 3. Each node draws ``bands * band_rows`` consistent weighted samples; equal
    samples in all rows of a band put nodes into one bucket.
 4. Nodes of a bucket are compared by exact weighted Jaccard similarity.  Loose
@@ -124,13 +130,15 @@ def shingled(texts: list[bytes], hashes: WordHashes) -> Shingled:
 
 @dataclass
 class Idf:
-    """Weights of the frequent shingles, sorted by id; all others weigh one."""
+    """Weights of the frequent shingles, sorted by id; all others weigh what the level of their cell does (one without levels)."""
 
     ids: np.ndarray
     weights: np.ndarray
+    levels: np.ndarray | None = None
+    by_level: np.ndarray | None = None
 
     def of(self, ids: np.ndarray) -> np.ndarray:
-        out = np.ones(len(ids), np.float32)
+        out = np.ones(len(ids), np.float32) if self.levels is None else self.by_level[self.levels[cell_of(ids)]]
         if len(self.ids):
             at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
             hit = self.ids[at] == ids
@@ -138,6 +146,62 @@ class Idf:
         return out
 
 
+#: Cells of the table of document frequencies, smallest draws in each, cells in a part of the table that travels as one row.
+CELL_BITS, REGISTERS, PART = 22, 4, 1 << 14
+CELLS = 1 << CELL_BITS
+#: A draw of e is kept as the byte 1 + 6 * (6 - log2 e): a greater byte is a smaller draw, none is 0.
+_DRAW_STEPS, _DRAW_TOP = 6, 6
+#: Levels of ln df.
+LEVEL_STEPS = 8
+
+
+def cell_of(ids: np.ndarray) -> np.ndarray:
+    """The cell of a shingle: the upper bits of its id."""
+    return (ids >> (BITS - np.uint64(CELL_BITS))).view(np.int64)
+
+
+class Frequencies:
+    """For each cell the smallest of exponential draws that the document sketches make, one for each register."""
+
+    def __init__(self):
+        self.table = np.zeros((REGISTERS, CELLS), np.uint8)
+
+    def add(self, ids: np.ndarray, sketches: np.ndarray) -> None:
+        """Shingles with the sketches of their documents, in any order and any number of times."""
+        cells = cell_of(ids)
+        for j, own in enumerate(self.table):
+            np.maximum.at(own, cells, self.draws(sketches, j))
+
+    @staticmethod
+    def draws(sketches: np.ndarray, register: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            bits = _mixed(_mixed((sketches + np.uint64(register + 1)) * _MULTIPLY) * _MULTIPLY)
+        e = -np.log((bits >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+        return np.clip(1 + _DRAW_STEPS * (_DRAW_TOP - np.log2(e)), 1, 255).astype(np.uint8)
+
+    def parts(self) -> tuple[list[int], list[bytes]]:
+        """The parts that hold anything, compressed, with their numbers."""
+        out = ([], [])
+        for part in range(CELLS // PART):
+            own = self.table[:, part * PART : (part + 1) * PART]
+            if own.any():
+                out[0].append(part)
+                out[1].append(pa.compress(own.tobytes(), codec="zstd", asbytes=True))
+        return out
+
+
+def merged_levels(parts: list[bytes]) -> np.ndarray:
+    """The levels of ln df of one part's cells from the tables of all tasks."""
+    table = np.zeros((REGISTERS, PART), np.uint8)
+    for part in parts:
+        own = pa.decompress(part, decompressed_size=table.size, codec="zstd", asbytes=True)
+        np.maximum(table, np.frombuffer(own, np.uint8).reshape(table.shape), out=table)
+    total = np.exp2(_DRAW_TOP - (table.astype(np.float64) - 0.5) / _DRAW_STEPS).sum(axis=0)
+    # the sum of the smallest draws of df sketches is gamma distributed: the mean of its logarithm is digamma(REGISTERS) - ln df
+    digamma = sum(1 / k for k in range(1, REGISTERS)) - 0.5772156649015329
+    return np.clip(np.rint(LEVEL_STEPS * (digamma - np.log(total))), 0, 255).astype(np.uint8)
+
+
 def weights(s: Shingled, idf: Idf) -> np.ndarray:
     return ((1 + np.log(s.counts)) * idf.of(s.ids)).astype(np.float32)
 
@@ -152,6 +216,8 @@ class Sampler:
     """
 
     POOL_BITS = 14
+    #: Shingles that one step works on: their arrays stay in the processor's cache.
+    PIECE = 1 << 14
 
     def __init__(self, samples: int, seed: int = 5):
         draw = np.random.default_rng(seed)
@@ -160,34 +226,40 @@ class Sampler:
         self.log_c = np.log(draw.gamma(2, 1, shape)).astype(np.float32)
         self.beta = draw.random(shape, np.float32)
         self.factors = draw.integers(1, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.at_one = self._order(self.r, self.log_c, self.beta, np.float32(0))
-
-    @staticmethod
-    def _order(r, log_c, beta, log_w) -> np.ndarray:
-        """a as the high half of a word: positive floats sort as their bits do."""
-        a = np.exp(log_c - r * (np.floor(log_w / r + beta) - beta) - r)
-        return a.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+        self.per_r, self.base = 1 / self.r, self.log_c + self.r * self.beta - self.r
 
     def __call__(self, s: Shingled, weight: np.ndarray) -> np.ndarray:
-        """The samples of each text that has shingles: one row of words each."""
+        """The samples of each text that has shingles: one row of words each; the high half of a word is a, as positive floats sort as their bits do."""
         some = np.diff(s.starts) > 0
         starts = s.starts[:-1][some]
-        odd = np.flatnonzero(weight != 1)
-        log_w = np.log(weight[odd])
         out = np.zeros((int(some.sum()), len(self.factors)), np.uint64)
+        if not len(starts):
+            return out
+        log_w = np.log(weight)
         spread = s.ids * _MULTIPLY
+        value = np.empty(len(spread), np.uint64)
+        pieces = [(spread[i : i + self.PIECE], log_w[i : i + self.PIECE], value[i : i + self.PIECE]) for i in range(0, len(spread), self.PIECE)]
         for j, factor in enumerate(self.factors):
-            bits = spread * factor
-            at = (bits >> np.uint64(64 - self.POOL_BITS)).view(np.int64)
-            value = self.at_one[j].take(at)
-            if len(odd):
-                k = at[odd]
-                value[odd] = self._order(self.r[j][k], self.log_c[j][k], self.beta[j][k], log_w)
-            value |= (bits >> np.uint64(18)) & np.uint64(0xFFFFFFFF)
-            if len(starts):
-                out[:, j] = np.minimum.reduceat(value, starts)
+            for own, own_log_w, own_value in pieces:
+                self._words(j, own * factor, own_log_w, own_value)
+            out[:, j] = np.minimum.reduceat(value, starts)
         return out
 
+    def _words(self, j: int, bits: np.ndarray, log_w: np.ndarray, value: np.ndarray) -> None:
+        at = (bits >> np.uint64(64 - self.POOL_BITS)).view(np.int64)
+        x = self.per_r[j].take(at)
+        x *= log_w
+        x += self.beta[j].take(at)
+        np.floor(x, out=x)
+        x *= self.r[j].take(at)
+        np.subtract(self.base[j].take(at), x, out=x)
+        np.exp(x, out=x)
+        value[:] = x.view(np.uint32)
+        value <<= np.uint64(32)
+        bits >>= np.uint64(18)
+        bits &= np.uint64(0xFFFFFFFF)
+        value |= bits
+
 
 def sampler_of(samples: int) -> Sampler:
     """One per worker process: its tables are drawn once, not for every task or group."""
@@ -259,17 +331,35 @@ def proposals(chunk: Chunk, rare: float) -> np.ndarray:
 
 
 def idf_of(docs: DataFrame, text_col: str = "text", rare: float = RARE, chunk_bytes: int = 6 << 20, block_ids: int = 2_000_000) -> Idf:
-    """Exact counts of the shingles above the share ``rare``; there are at most (mean shingles per text) / ``rare``.
+    """Exact counts of the shingles above the share ``rare``; there are at most (mean shingles per text) / ``rare``.  Estimates of all others.
 
-    Proposals are counted in blocks of about ``block_ids``, one pass each.
+    Proposals are counted in blocks of about ``block_ids``, one pass each.  The
+    pass that proposes also fills the table of frequencies, which tasks hand on
+    in compressed parts; parts are merged by shuffle, and the driver gets one
+    byte for each cell.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = ["id", "part", "cells"], None
         for chunk in _chunks(batches, chunk_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array(proposals(chunk, rare).view(np.int64))], names=["id"])
-
-    proposed = stored(texts.mapInArrow(propose, "id long").distinct())
+            seen = seen or Frequencies()
+            seen.add(chunk.ids, chunk.sketches)
+            own = pa.array(proposals(chunk, rare).view(np.int64))
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names=names)
+        if seen is not None:
+            parts, cells = seen.parts()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], names=names)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        levels = merged_levels(rows.column("cells").to_pylist())
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    passed = stored(texts.mapInArrow(propose, "id long, part int, cells binary"))
+    levels = np.zeros(CELLS, np.uint8)
+    for row in passed.where("part is not null").select("part", "cells").groupBy("part").applyInArrow(merge, "part int, levels binary").toLocalIterator():
+        levels[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.levels, np.uint8)
+    proposed = stored(passed.where("id is not null").select("id").distinct())
     n_docs, n_ids = docs.count(), proposed.count()
     n_blocks = -(-n_ids // block_ids)
     rows = []
@@ -288,7 +378,10 @@ def idf_of(docs: DataFrame, text_col: str = "text", rare: float = RARE, chunk_by
         rows += counted.where(F.col("n") > rare * n_docs).collect()
     rows.sort(key=lambda r: r.id % (1 << 64))
     full = math.log(1 / rare)
-    return Idf(np.array([r.id for r in rows], np.int64).view(np.uint64), np.array([min(1.0, max(0.05, math.log(n_docs / r.n) / full)) for r in rows], np.float32))
+    exact = [min(1.0, max(0.05, math.log(n_docs / r.n) / full)) for r in rows]
+    # what is not above the share weighs one at least
+    by_level = np.maximum(1.0, (math.log(max(n_docs, 1)) - np.arange(256) / LEVEL_STEPS) / full).astype(np.float32)
+    return Idf(np.array([r.id for r in rows], np.int64).view(np.uint64), np.array(exact, np.float32), levels, by_level)
 
 
 class Links:

@@ -464,6 +464,33 @@ def test_idf_counts_frequent_shingles_exactly(spark):
     assert all(abs(want[k] - w) < 1e-5 for k, w in zip(found.ids.tolist(), found.weights.tolist(), strict=True))
 
 
+def spread_rows(n=400):
+    """Texts of own words; a fifth hold one passage, every fiftieth another; one text stands there a hundred times."""
+    draw = random.Random(3)
+    rows = [" ".join(f"w{draw.randrange(100_000)}" for _ in range(30)) for _ in range(n)]
+    rows = [t + (" pa pb pc pd pe" if i % 50 == 0 else "") + (" qa qb qc qd qe" if i % 200 == 0 else "") for i, t in enumerate(rows)]
+    return list(enumerate(rows + ["one two three four five six seven"] * 100))
+
+
+def test_every_shingle_has_its_own_idf(spark):
+    """Below the share ``rare`` too: shared passages weigh less than what one text holds alone, copies do not count."""
+    table = spark.createDataFrame(spread_rows(), "doc_id long, text string").repartition(4)
+    found = neardup.idf_of(table)
+    s = neardup.shingled([t.encode() for _, t in spread_rows()], neardup.WordHashes())
+    pairs = set(zip(s.ids.tolist(), np.repeat(s.sketches(), np.diff(s.starts)).tolist(), strict=True))
+    df, n = Counter(k for k, _ in pairs), len(spread_rows())
+    ids = np.array(sorted(df), np.uint64)
+    weight = found.of(ids)
+    want = np.array([math.log(n / df[k]) / math.log(1 / neardup.RARE) for k in ids.tolist()])
+    error = weight - want
+    assert (weight >= 1).all() and weight.max() > 1.5
+    assert abs(error.mean()) < 0.1 and np.abs(error).mean() < 0.25  # four draws: about 0.5 / ln(1 / rare)
+    passage = np.array([df[k] >= 8 for k in ids.tolist()])
+    assert passage.any() and weight[passage].mean() < weight[~passage].mean() - 0.4
+    again = neardup.idf_of(table.repartition(7))
+    assert (again.of(ids) == weight).all()
+
+
 def test_samples_agree_as_weights_do():
     draw = np.random.default_rng(0)
     sampler = neardup.Sampler(2000)
