@@ -587,3 +587,42 @@ def test_gru_scores_do_not_depend_on_blocks():
     want = gru_lm.score_docs(model, texts, units.end)
     for lanes, columns in ((1, 10), (3, 64), (7, 1)):
         assert np.allclose(gru_lm.score_docs(model, texts, units.end, lanes, columns), want, rtol=1e-5)
+
+
+def test_model_and_stored_parameters_do_not_depend_on_partitions(spark, monkeypatch):
+    """However many partitions a keyed repartition makes, shards stay the same; what is stored of them are sums over 64."""
+    docs = spark.createDataFrame([(i, prose(i, 30), "en") for i in range(300)], "doc_id long, text string, lang string")
+    stored, average, repartition = [], gru_lm.average, type(docs).repartition
+
+    def seen(shards):
+        stored.append(shards.select("shard").distinct().count())
+        return average(shards)
+
+    def scores():
+        return {r.doc_id: r.score for r in gru_lm.score(docs, F.col("doc_id") % 10 != 0, shard_docs=3, rates=(0.02,)).collect()}
+
+    monkeypatch.setattr(gru_lm, "average", seen)
+    want = scores()
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: repartition(self, n + 50 if cols else n, *cols))
+    got = scores()
+    assert stored == [2, 2] and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_words_are_counted_once_and_looked_up_alike(spark, monkeypatch):
+    """Units, base and known words of texts with words outside the head, of one or two characters, beyond ASCII, repeated, or none."""
+    texts = ["a a bb \u00e9 x\u00e9 \u00e9x zz\u20ac", "rare rare a", "", None, " \t\n", "\U0001f600\U0001f600 a bb", "bb new new2 \u00e9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(gru_lm, "HEAD", 3)
+    rows = gru_lm.score(docs, F.when(F.col("doc_id") < 6, True), rates=(0.02,)).collect()
+    own = [(t or "").lower().split() + [None] for t in texts]
+    counts = Counter(w for o in own[:6] for w in o)
+    n, v = sum(counts.values()), len(counts)
+    assert sorted(r.doc_id for r in rows) == list(range(7))
+    for r in rows:
+        words = own[r.doc_id]
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
+        assert abs(base - r.base_score) < 1e-6 and r.score < 0
+    words = [w.encode() for o in own for w in o if w]
+    want = [zlib.crc32(w.decode()[-2:].encode()) % gru_lm.BUCKETS for w in words]
+    assert gru_lm.bucket_numbers(words, {}).tolist() == want == gru_lm.bucket_numbers(words, {b"bb": zlib.crc32(b"bb") % gru_lm.BUCKETS}).tolist()
